@@ -103,6 +103,6 @@ def html_lines(df: DataFrame, html_col: str, n: int = 250, element: str | None =
     body = F.regexp_replace(body, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
     body = F.regexp_replace(body, r"(?i)<br\s*/?>|</(p|div|h[1-6]|li|tr|title)>", "\n")
     body = F.regexp_replace(body, r"<[^>]*>", "")
-    lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     rest = [c for c in df.columns if c != html_col]
     return df.select(*rest, F.posexplode(F.slice(lines, 1, n)).alias("line_no", "line"))

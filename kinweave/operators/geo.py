@@ -47,12 +47,11 @@ def nearest_place(
     where = df.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).dropna().distinct()
     where = where.withColumn("id", F.xxhash64("_lat", "_lon"))
     points = where.withColumn("_cell", F.concat_ws("/", *_cell(F.col("_lat"), F.col("_lon"), side)))
-    steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
     places = gazetteer.select(
         F.col(place_id).alias("id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), *fields
     ).where(F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
     for name, c in zip(("_x", "_y", "_z"), _cell(F.col("_lat"), F.col("_lon"), side)):
-        places = places.withColumn(name, F.explode(F.transform(steps, lambda s, c=c: c + s)))
+        places = places.withColumn(name, F.explode(F.array(c - 1, c, c + 1)))
     places = places.withColumn("_cell", F.concat_ws("/", "_x", "_y", "_z"))
     near = join_block(points, places.drop("_x", "_y", "_z"), ["_cell"], "id", False)
     km = haversine_km(F.col("_lat_l"), F.col("_lon_l"), F.col("_lat_r"), F.col("_lon_r"))
