@@ -271,6 +271,20 @@ def sample_pairs(
     return low_id_left(pairs, cols, id_col) if other is None else pairs
 
 
+def all_pairs(
+    df: DataFrame, id_col: str, max_pairs: int = 1_000_000, keep: list[str] | None = None
+) -> DataFrame:
+    """Every pair of a small table, from generated pair numbers; raises above ``max_pairs``.
+
+    Comparing everything with everything is only offered within this bound: the jobs that need it on
+    large tables use the exact joins of ``fuzzyjoin`` or blocking rules instead.
+    """
+    n = df.limit(rows_for_pairs(max_pairs) + 1).count()
+    if n * (n - 1) // 2 > max_pairs:
+        raise ValueError(f"more than {max_pairs} pairs: use blocking rules or a similarity join")
+    return sample_pairs(df, id_col, max_pairs, keep=keep)
+
+
 def attach_records(
     pairs: DataFrame, df: DataFrame, id_col: str, other: DataFrame | None = None
 ) -> DataFrame:

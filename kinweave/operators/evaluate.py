@@ -31,19 +31,24 @@ def true_pair_count(df: DataFrame, cluster: str) -> DataFrame:
 
 
 def truth_table(
-    scored: DataFrame, score: str = "match_weight", label: str = "label", missed: DataFrame | None = None
+    scored: DataFrame,
+    score: str = "match_weight",
+    label: str = "label",
+    missed: DataFrame | None = None,
+    pairs: str | None = None,
 ) -> DataFrame:
     """TP, FP, FN and TN when everything at or above each distinct score is called a match.
 
     ``missed`` is one row with ``true_pairs``: all true links, so that links no rule proposed count
-    as false negatives. Scores are counted first; the running sums go over distinct scores only.
+    as false negatives. ``pairs`` names a column saying how many pairs a row stands for. Scores are
+    counted first; the running sums go over distinct scores only.
     """
-    hit = F.col(label) == 1
-    per_score = scored.groupBy(F.col(score).alias("threshold")).agg(
-        F.count_if(hit).alias("_p"), F.count_if(~hit).alias("_n")
-    )
+    each = F.col(pairs) if pairs else F.lit(1)
+    yes = F.sum(F.when(F.col(label) == 1, each).otherwise(0)).cast("long")
+    no = F.sum(F.when(F.col(label) == 1, 0).otherwise(each)).cast("long")
+    per_score = scored.groupBy(F.col(score).alias("threshold")).agg(yes.alias("_p"), no.alias("_n"))
     summed = running_totals(per_score, "threshold", {"tp": "_p", "fp": "_n"}, descending=True)
-    totals = scored.agg(F.count_if(hit).alias("_all_p"), F.count_if(~hit).alias("_all_n"))
+    totals = scored.agg(yes.alias("_all_p"), no.alias("_all_n"))
     if missed is not None:
         # one row each
         totals = totals.join(F.broadcast(missed)).withColumn("_all_p", F.col("true_pairs"))

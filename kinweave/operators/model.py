@@ -403,8 +403,9 @@ def with_model_frequencies(
     model: Model, df: DataFrame, other: DataFrame | None
 ) -> tuple[DataFrame, DataFrame | None]:
     base = _link_base(model, df, other)
-    left = with_term_frequencies(df, model.tf_columns, base)
-    return left, None if other is None else with_term_frequencies(other, model.tf_columns, base)
+    todo = [c for c in model.tf_columns if f"tf_{c}" not in df.columns]
+    left = with_term_frequencies(df, todo, base)
+    return left, None if other is None else with_term_frequencies(other, todo, base)
 
 
 def predict(
@@ -414,26 +415,24 @@ def predict(
     other: DataFrame | None = None,
     threshold: float | None = None,
     retain_intermediate: bool = False,
+    carry: list[str] | None = None,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Scores every pair the model's rules bring together; with ``threshold`` only pairs reaching it.
 
     Compared fields and term frequencies travel with the records through the blocking join, so the
-    pairs themselves are never shuffled.
+    pairs themselves are never shuffled. ``carry`` names further record columns to keep. Records that
+    hold ``tf_<col>`` already keep those.
     """
     df, other = with_model_frequencies(model, df, other)
-    keep = list(dict.fromkeys([*model.columns, *[f"tf_{c}" for c in model.tf_columns]]))
+    keep = list(dict.fromkeys([*model.columns, *[f"tf_{c}" for c in model.tf_columns], *(carry or [])]))
     pairs = block_rules(df, list(model.rules), id_col, other, keep, tile_rows)
-    return finish_scores(add_scores(pairs, model), model, id_col, threshold, retain_intermediate)
-
-
-def finish_scores(
-    scored: DataFrame, model: Model, id_col: str, threshold: float | None, retain: bool
-) -> DataFrame:
+    scored = add_scores(pairs, model)
     if threshold is not None:
         scored = scored.where(F.col("match_probability") >= threshold)
     cols = [f"{id_col}_l", f"{id_col}_r", "match_weight", "match_probability", "match_key"]
-    if retain:
+    cols += [f"{c}_{s}" for c in (carry or []) for s in ("l", "r")]
+    if retain_intermediate:
         cols += [c for c in scored.columns if c.startswith(("gamma_", "bf_", "tf_"))]
     return scored.select(*cols)
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import correction_queries, table_queries  # noqa: F401
+from . import correction_queries, job_queries, pair_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
