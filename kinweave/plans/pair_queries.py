@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import cluster_label as label_of
 from ..operators import candidates, classify, cluster, compare, evaluate, model as m
 from ..operators.compare import Feature
-from ..session import checkpoint_root
+from ..session import checkpoint_root, stage
 from . import sqltext
 from .registry import query, table
 
@@ -706,6 +706,6 @@ def pair_classifier(spark, d):
     pairs = candidates.block_rules(_part(spark, d), _LOOSE, "id", keep=_COLS)
     features = compare.compute_features(pairs, _FEATURES, ["id_l", "id_r"])
     labelled = evaluate.label_pairs(features, _truth(spark, d), "id_l", "id_r")
-    split = evaluate.stratified_split(labelled, "label", ["id_l", "id_r"])
+    split = stage(evaluate.stratified_split(labelled, "label", ["id_l", "id_r"]), "split")
     fitted = classify.fit_pair_classifier(split.where("is_test = 0"), _FEATURE_NAMES, trees=5, depth=3)
     return classify.predict_pairs(fitted, split).select("id_l", "id_r", "label", "is_test", "predict")
