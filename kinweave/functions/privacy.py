@@ -66,37 +66,30 @@ def clk_encode(
 ) -> DataFrame:
     """Adds the sorted set bits of a keyed Bloom filter over ``fields``.
 
-    Each field spends about ``bits_per_field`` hash bits, shared evenly over its tokens. The hash is
-    SHA-256 of secret, field, token and round; ``bits`` must be at most 2**28.
+    Each field spends about ``bits_per_field`` hash bits, shared evenly over its tokens. One SHA-256
+    of secret, field and token gives two numbers h and g; round k sets bit (h + k·g) mod ``bits``.
     """
 
+    def number(digest: Column, at: int) -> Column:
+        return F.conv(F.substr(digest, F.lit(at), F.lit(7)), 16, 10).cast("long")
+
     def field_bits(f: ClkField) -> Column:
         tokens = clk_tokens(f, F.col(f.name))
         rounds = F.greatest(
             F.lit(1), F.round(F.lit(bits_per_field) / F.greatest(F.size(tokens), F.lit(1))).cast("int")
         )
+        seeds = F.transform(
+            tokens, lambda t: F.sha2(F.concat_ws("|", F.lit(secret), F.lit(f.name), t), 256)
+        )
+        seeds = F.transform(seeds, lambda s: F.struct(number(s, 1).alias("h"), number(s, 8).alias("g")))
 
-        def hashes(token: Column) -> Column:
+        def hashes(seed: Column) -> Column:
             return F.transform(
                 F.sequence(F.lit(1), rounds),
-                lambda k: F.pmod(
-                    F.conv(
-                        F.substr(
-                            F.sha2(
-                                F.concat_ws("|", F.lit(secret), F.lit(f.name), token, k.cast("string")),
-                                256,
-                            ),
-                            F.lit(1),
-                            F.lit(7),
-                        ),
-                        16,
-                        10,
-                    ).cast("int"),
-                    F.lit(bits),
-                ),
+                lambda k: ((seed["h"] + k * seed["g"]) % bits).cast("int"),
             )
 
-        return F.flatten(F.transform(tokens, hashes))
+        return F.flatten(F.transform(seeds, hashes))
 
     every = F.array_sort(F.array_distinct(F.concat(*[field_bits(f) for f in fields])))
     return df.withColumn(out, every)

@@ -7,20 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# fixed values: characters deleted, and characters turned into spaces, by default
+DELETED = r"[^ \-_A-Za-z0-9]+"
+SPACED = r"[\-_]"
+
+
 def clean(
     col: Column,
     lowercase: bool = True,
-    replace_by_none: str | None = r"[^ \-_A-Za-z0-9]+",
-    replace_by_whitespace: str | None = r"[\-_]",
+    replace_by_none: str | None = DELETED,
+    replace_by_whitespace: str | None = SPACED,
     remove_brackets: bool = True,
 ) -> Column:
     """Lower-case, drop bracketed text and special characters, turn - and _ into one space, trim."""
     out = F.lower(col) if lowercase else col
     if remove_brackets:
-        out = F.regexp_replace(out, r"\[[^\n]*?\]|\([^\n]*?\)|\{[^\n]*?\}", "")
+        bare = F.regexp_replace(out, r"\[[^\n]*?\]|\([^\n]*?\)|\{[^\n]*?\}", "")
+        # most values hold no bracket at all, and a plain search is much cheaper than the pattern
+        open_ = F.contains(out, F.lit("(")) | F.contains(out, F.lit("[")) | F.contains(out, F.lit("{"))
+        out = F.when(open_, bare).otherwise(out)
     if replace_by_none:
         out = F.regexp_replace(out, replace_by_none, "")
-    if replace_by_whitespace:
+    if replace_by_whitespace == SPACED:
+        out = F.translate(out, "-_", "  ")
+    elif replace_by_whitespace:
         out = F.regexp_replace(out, replace_by_whitespace, " ")
     return F.trim(F.regexp_replace(out, r"\s\s+", " "))
 

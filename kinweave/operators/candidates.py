@@ -55,58 +55,66 @@ def _pieces(df: DataFrame, keys: list[str], tile_rows: int, out: str) -> DataFra
     return broadcast_if_small(stage(sizes, "pieces"))
 
 
-def join_block(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    id_col: str,
-    same: bool,
-    tile_rows: int = TILE_ROWS,
-) -> DataFrame:
-    """Pairs of ``left`` and ``right`` with equal keys, columns suffixed ``_l`` and ``_r``.
-
-    With ``same`` both sides are one table and each unordered pair comes once, lower id left.
+def split_cells(
+    left: DataFrame, right: DataFrame, keys: list[str], id_col: str, same: bool, tile_rows: int
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with known keys, and the columns that bring their rows together.
+
+    Where no key has more than ``tile_rows`` rows these are the keys. Otherwise each row also gets a
+    cell (_i, _j): a key's left rows fall into pieces i and its right rows into pieces j, and every
+    row is copied to the cells of its piece. With ``same`` only cells with i <= j exist.
     """
     a, b = _known(left, keys), _known(right, keys)
-    on = same_on(tuple(keys))
-    in_order = F.col(f"{id_col}_l") < F.col(f"{id_col}_r")
     cut_a = _pieces(a, keys, tile_rows, "_pa")
     cut_b = cut_a if same else _pieces(b, keys, tile_rows, "_pb")
     if cut_a is None and cut_b is None:
-        l, r = _side(a, "l"), _side(b, "r")
-        return l.join(r, on & in_order if same else on)
-
+        return a, b, keys
+    on = [*keys, "_i", "_j"]
     if same:
         a = a.join(cut_a, keys, "left").withColumn("_pa", F.coalesce("_pa", F.lit(1)))
         a = a.withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_pa")).cast("int"))
-        l = a.withColumn("_i", F.col("_own")).withColumn(
-            "_j", F.explode(F.sequence(F.col("_own"), F.col("_pa") - 1))
-        )
-        r = a.withColumn("_j", F.col("_own")).withColumn(
-            "_i", F.explode(F.sequence(F.lit(0), F.col("_own")))
-        )
+        own, last = F.col("_own"), F.col("_pa") - 1
+        l = a.withColumn("_i", own).withColumn("_j", F.explode(F.sequence(own, last)))
+        r = a.withColumn("_j", own).withColumn("_i", F.explode(F.sequence(F.lit(0), own)))
     else:
-        one = left.sparkSession.createDataFrame([], a.select(*keys).schema)
-        cut_a = cut_a if cut_a is not None else one.withColumn("_pa", F.lit(1))
-        cut_b = cut_b if cut_b is not None else one.withColumn("_pb", F.lit(1))
+        none = left.sparkSession.createDataFrame([], a.select(*keys).schema)
+        cut_a = cut_a if cut_a is not None else none.withColumn("_pa", F.lit(1))
+        cut_b = cut_b if cut_b is not None else none.withColumn("_pb", F.lit(1))
 
-        def cells(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        def spread(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
             df = df.join(cut_a, keys, "left").join(cut_b, keys, "left")
             df = df.withColumns({p: F.coalesce(p, F.lit(1)) for p in ("_pa", "_pb")})
             return df.withColumn(own, F.pmod(F.xxhash64(id_col), F.col(mine)).cast("int")).withColumn(
                 other, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))
             )
 
-        l = cells(a, "_i", "_j", "_pa", "_pb")
-        r = cells(b, "_j", "_i", "_pb", "_pa")
+        l, r = spread(a, "_i", "_j", "_pa", "_pb"), spread(b, "_j", "_i", "_pb", "_pa")
+    return l.select(*left.columns, "_i", "_j"), r.select(*right.columns, "_i", "_j"), on
 
-    l = _side(l.select(*left.columns, "_i", "_j"), "l")
-    r = _side(r.select(*right.columns, "_i", "_j"), "r")
-    cell = same_on(("_i", "_j"))
-    if not same:
-        return l.join(r, on & cell).drop("_i_l", "_j_l", "_i_r", "_j_r")
-    pairs = l.join(r, on & cell & ((F.col("_i_l") < F.col("_j_l")) | in_order))
-    return low_id_left(pairs, left.columns, id_col)
+
+def join_block(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    id_col: str,
+    same: bool,
+    tile_rows: int = TILE_ROWS,
+) -> DataFrame:
+    """Pairs of ``left`` and ``right`` with equal keys, columns suffixed ``_l`` and ``_r``.
+
+    With ``same`` both sides are one table and each unordered pair comes once, lower id left.
+    """
+    l, r, on = split_cells(left, right, keys, id_col, same, tile_rows)
+    met = same_on(tuple(on))
+    in_order = F.col(f"{id_col}_l") < F.col(f"{id_col}_r")
+    tiled = len(on) > len(keys)
+    if same:
+        met = met & ((F.col("_i_l") < F.col("_j_l")) | in_order) if tiled else met & in_order
+    pairs = _side(l, "l").join(_side(r, "r"), met)
+    if not tiled:
+        return pairs
+    pairs = pairs.drop("_i_l", "_j_l", "_i_r", "_j_r")
+    return low_id_left(pairs, left.columns, id_col) if same else pairs
 
 
 def block(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage, unstage
+from ..session import stage, stage_measured, unstage
 from .skew import left_join_unique
 
 # a node with more neighbours than this is attached through the skew-safe join
@@ -14,11 +14,13 @@ HUB_DEGREE = 1_000_000
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """Adds to each row (u, v) the least node ``m`` among u and all its neighbours."""
-    least = stage(
-        edges.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("n")), "least"
+    least, seen = stage_measured(
+        edges.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("n")),
+        "least",
+        degree=F.max("n"),
     )
     lookup = least.select("u", F.least("u", "_m").alias("m"))
-    if least.where(F.col("n") > HUB_DEGREE).limit(1).count():
+    if (seen["degree"] or 0) > HUB_DEGREE:
         return left_join_unique(edges, lookup, ["u"], counts=least.select("u", "n"))
     return edges.join(lookup, "u")
 
@@ -37,11 +39,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(joined.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(
-            F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)
-        ).first()
+def _staged_edges(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges as a table, with a mark that tells two edge sets apart."""
+    h = F.xxhash64("u", "v")
+    return stage_measured(
+        edges, "edges", n=F.count(F.lit(1)), x=F.sum(h % 1_000_003), y=F.sum(F.shiftright(h, 20) % 1_000_033)
     )
 
 
@@ -52,16 +54,14 @@ def connected_components(pairs: DataFrame, left: str, right: str) -> DataFrame:
     logarithm of the size. Rounds are written to the checkpoint folder and the older one is deleted.
     """
     a, b = F.col(left), F.col(right)
-    edges = stage(
-        pairs.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
-        "edges",
+    edges, mark = _staged_edges(
+        pairs.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
-    mark = _mark(edges)
-    while mark[0]:
-        wide = _large_star(edges)
-        after = stage(_small_star(stage(wide, "edges")), "edges")
-        new_mark = _mark(after)
+    while mark["n"]:
+        wide = stage(_large_star(edges), "edges")
+        after, new_mark = _staged_edges(_small_star(wide))
         unstage(edges)
+        unstage(wide)
         edges = after
         if new_mark == mark:
             break

@@ -36,7 +36,7 @@ def unknown_city_or_state(
     df: DataFrame, ref: DataFrame, city: str = "city", state: str = "state", ref_state: str = "state_id"
 ) -> DataFrame:
     """Distinct city/state combinations whose city or whose state the reference does not hold."""
-    seen = df.select(city, state).dropna().distinct()
+    seen = stage(df.select(city, state).dropna().distinct(), "keys")
     cities = broadcast_if_small(ref.select(F.col(city)).distinct())
     states = broadcast_if_small(ref.select(F.col(ref_state).alias(state)).distinct())
     bad = seen.join(cities, city, "left_anti").unionByName(seen.join(states, state, "left_anti"))
@@ -47,8 +47,8 @@ def suggest_corrections(
     unknown: DataFrame, ref: DataFrame, max_distance: int = 3, key: str = "city_state", order: str = "ref_order"
 ) -> DataFrame:
     """Nearest reference key below ``max_distance`` edits; the first in reference order wins ties."""
-    l = unknown.select(F.col(key).alias("text"), F.xxhash64(key).alias("id")).distinct()
-    r = ref.select(F.col(key).alias("text"), F.col(order).alias("id"))
+    l = stage(unknown.select(F.col(key).alias("text"), F.xxhash64(key).alias("id")).distinct(), "keys")
+    r = stage(ref.select(F.col(key).alias("text"), F.col(order).alias("id")), "reference")
     near = edit_join(l, r, "text", "id", max_distance - 1)
     best = near.groupBy("text_l").agg(F.min(F.struct("edits", "id_r", "text_r")).alias("b"))
     return best.select(
@@ -159,9 +159,10 @@ def word_candidates(df: DataFrame, vocabulary: DataFrame, col: str, distance: in
         .where(F.length("text") > keep_up_to)
         .distinct()
     )
-    words = vocabulary.select(F.col("word").alias("text"), "frequency")
+    # both are read several times from here on
+    words = stage(vocabulary.select(F.col("word").alias("text"), "frequency"), "vocabulary")
     unknown = tokens.join(broadcast_if_small(words.select("text")), "text", "left_anti")
-    unknown = unknown.withColumn("id", F.xxhash64("text"))
+    unknown = stage(unknown.withColumn("id", F.xxhash64("text")), "tokens")
     near = edit_join(unknown, words.select("text", F.xxhash64("text").alias("id")), "text", "id", distance)
     return near.join(broadcast_if_small(words.withColumnRenamed("text", "text_r")), "text_r").select(
         F.col("text_l").alias("token"), F.col("text_r").alias("word"), "edits", "frequency"

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import dot, unit
-from .candidates import TILE_ROWS, join_block
+from ..session import stage
+from .candidates import TILE_ROWS, join_block, split_cells
 
 # ---- edit distance ------------------------------------------------------------------------------
 #
@@ -75,8 +76,8 @@ def edit_join(
 
     A key shared by very many rows is tiled like any other block.
     """
-    l = left.select(id_col, col, F.explode(probe_keys(F.col(col), distance)).alias("_key"))
-    r = right.select(id_col, col, F.explode(segment_keys(F.col(col), distance)).alias("_key"))
+    l = stage(left.select(id_col, col, F.explode(probe_keys(F.col(col), distance)).alias("_key")), "probes")
+    r = stage(right.select(id_col, col, F.explode(segment_keys(F.col(col), distance)).alias("_key")), "segments")
     met = join_block(l, r, ["_key"], id_col, False, tile_rows)
     edits = F.levenshtein(F.col(f"{col}_l"), F.col(f"{col}_r"), distance)
     return (
@@ -98,7 +99,7 @@ def cosine_join(
     keys: list[str] | None = None,
     same: bool = False,
     pivots: int = 32,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int = 2_000,
 ) -> DataFrame:
     """Pairs with cosine at least ``threshold``, as (id_l, id_r, cosine).
 
@@ -128,7 +129,7 @@ def cosine_join(
         nearest = angle.argmin(axis=1)
         return pd.DataFrame({"p": nearest.astype("int32"), "a": angle[np.arange(len(angle)), nearest]})
 
-    r = r.withColumn("_home", home(vec))
+    r = stage(r.withColumn("_home", home(vec)), "homes")
     spans = (
         r.groupBy(F.col("_home.p").alias("p"))
         .agg(F.min("_home.a").alias("lo"), F.max("_home.a").alias("hi"))
@@ -146,8 +147,11 @@ def cosine_join(
         inside = (angle + reach >= low) & (angle - reach <= high)
         return pd.Series([np.nonzero(row)[0].astype("int32") for row in near & inside])
 
-    l = l.withColumn("_pivot", F.explode(visits(vec)))
+    l = stage(l.withColumn("_visits", visits(vec)), "visits")
+    l = l.withColumn("_pivot", F.explode("_visits")).drop("_visits")
     r = r.select(id_col, *keys, vec, F.col("_home.p").alias("_pivot"))
+    if not keys:
+        return _matrix_pairs(l, r, vec, id_col, threshold, same, tile_rows)
     pairs = join_block(l, r, [*keys, "_pivot"], id_col, False, tile_rows)
     if same:
         pairs = pairs.where(F.col(f"{id_col}_l") < F.col(f"{id_col}_r"))
@@ -155,3 +159,47 @@ def cosine_join(
         f"{id_col}_l", f"{id_col}_r", dot(F.col(f"{vec}_l"), F.col(f"{vec}_r")).alias("cosine")
     )
     return scored.where(F.col("cosine") >= threshold)
+
+
+def _matrix_pairs(
+    l: DataFrame, r: DataFrame, vec: str, id_col: str, threshold: float, same: bool, tile_rows: int
+) -> DataFrame:
+    """The pairs of each pivot group as one matrix product per cell; only close pairs become rows.
+
+    A cell holds about ``tile_rows`` vectors per side, whatever the size of its group.
+    """
+    l, r, on = split_cells(l, r, ["_pivot"], id_col, False, tile_rows)
+    left_id, right_id = f"{id_col}_l", f"{id_col}_r"
+    id_type = l.schema[id_col].dataType
+    schema = T.StructType(
+        [
+            T.StructField(left_id, id_type),
+            T.StructField(right_id, r.schema[id_col].dataType),
+            T.StructField("cosine", T.DoubleType()),
+        ]
+    )
+
+    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({left_id: a[left_id][:0], right_id: b[right_id][:0], "cosine": np.zeros(0)})
+        ids_a, ids_b = a[left_id].to_numpy(), b[right_id].to_numpy()
+        right_side = np.stack(b[f"{vec}_r"].to_numpy()).astype(np.float64).T
+        parts = []
+        for at in range(0, len(a), 512):
+            some = ids_a[at : at + 512]
+            product = np.stack(a[f"{vec}_l"].to_numpy()[at : at + 512]).astype(np.float64) @ right_side
+            x, y = np.nonzero(product >= threshold)
+            if same:
+                keep = some[x] < ids_b[y]
+                x, y = x[keep], y[keep]
+            parts.append(pd.DataFrame({left_id: some[x], right_id: ids_b[y], "cosine": product[x, y]}))
+        return pd.concat(parts, ignore_index=True)
+
+    left_groups = _side(l, "l").groupBy(*[f"{k}_l" for k in on])
+    right_groups = _side(r, "r").groupBy(*[f"{k}_r" for k in on])
+    return left_groups.cogroup(right_groups).applyInPandas(multiply, schema)
+
+
+def _side(df: DataFrame, suffix: str) -> DataFrame:
+    """Fresh columns per side, so that a table can be grouped with itself."""
+    return df.select(*[F.col(c).alias(f"{c}_{suffix}") for c in df.columns])

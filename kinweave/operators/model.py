@@ -16,7 +16,7 @@ from statistics import median
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.similarity import register
+from ..functions.similarity import length_allows, register
 from ..session import stage
 from .candidates import TILE_ROWS, Rule, block_rules, join_block, sample_pairs
 from .compare import Comparison, Level, add_gammas, with_term_frequencies
@@ -79,13 +79,14 @@ def log_odds(p: float) -> float:
 
 
 def level_counts(gammas: DataFrame, comparisons: list[Comparison]) -> DataFrame:
-    """Pairs per (comparison, gamma), missing sides left out."""
+    """Pairs per (comparison, gamma), missing sides left out: patterns are counted, then taken apart."""
     names = [f"gamma_{c.name}" for c in comparisons]
+    patterns = gammas.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     return (
-        gammas.unpivot([], names, "name", "gamma")
+        patterns.unpivot(["n"], names, "name", "gamma")
         .where(F.col("gamma") >= 0)
         .groupBy(F.expr("substr(name, 7)").alias("comparison"), "gamma")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
@@ -374,6 +375,55 @@ def _tf_weight(c: Comparison) -> Column | None:
     return None if out is None else out.otherwise(F.lit(0.0))
 
 
+def _top_extra(c: Comparison) -> Column:
+    """Term-frequency weight of full agreement, from the records alone."""
+    top = c.scored[0]
+    if not top.tf_column:
+        return F.lit(0.0)
+    tf = F.greatest(F.col(f"tf_{top.tf_column}_l"), F.col(f"tf_{top.tf_column}_r"))
+    return F.coalesce(F.lit(top.tf_weight) * F.log2(F.lit(top.u) / tf), F.lit(0.0))
+
+
+def _best_weight(c: Comparison) -> Column:
+    """Most weight the pair can get from a similarity comparison, without measuring the similarity."""
+    a, b = F.col(f"{c.column}_l"), F.col(f"{c.column}_r")
+    w = [math.log2(l.m / l.u) for l in c.scored]
+    cuts = [l.cut for l in c.scored if l.metric == "jaro_winkler"]
+    return (
+        F.when(a.isNull() | b.isNull(), F.lit(0.0))
+        .when(a == b, F.lit(w[0]) + _top_extra(c))
+        .when(length_allows(a, b, min(cuts)), F.lit(max(w[1:])))
+        .otherwise(F.lit(w[-1]))
+    )
+
+
+def _measured(c: Comparison) -> bool:
+    kinds = [l.metric for l in c.levels]
+    plain = kinds[:2] == ["null", "exact"] and kinds[-1] == "else"
+    return plain and "jaro_winkler" in kinds and set(kinds[2:-1]) == {"jaro_winkler"}
+
+
+def within_reach(pairs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """Pairs that can still reach ``threshold`` before any similarity is measured.
+
+    Equality, edit distance and length are JVM expressions; only pairs whose best case passes go on
+    to the similarity measure, which runs in Python. No pair that reaches the threshold is lost.
+    """
+    cs = [filled(c) for c in model.comparisons]
+    costly = [c for c in cs if _measured(c)]
+    if not costly or not 0 < threshold < 1:
+        return pairs
+    cheap = [c for c in cs if not any(l.metric == "jaro_winkler" or l.metric is None for l in c.levels)]
+    rest = [c for c in cs if c not in costly and c not in cheap]
+    if rest:
+        return pairs
+    bounded = add_gammas(pairs, cheap)
+    terms = [_weight(c) for c in cheap] + [t for c in cheap if (t := _tf_weight(c)) is not None]
+    terms += [_best_weight(c) for c in costly]
+    bound = reduce(lambda a, b: a + b, terms, F.lit(log_odds(model.prior)))
+    return bounded.where(bound >= log_odds(threshold) - 1e-6).select(*pairs.columns)
+
+
 def add_scores(pairs: DataFrame, model: Model) -> DataFrame:
     """Adds ``gamma_*``, ``bf_*`` (and ``bf_tf_*``), ``match_weight`` and ``match_probability``."""
     cs = [filled(c) for c in model.comparisons]
@@ -427,6 +477,8 @@ def predict(
     df, other = with_model_frequencies(model, df, other)
     keep = list(dict.fromkeys([*model.columns, *[f"tf_{c}" for c in model.tf_columns], *(carry or [])]))
     pairs = block_rules(df, list(model.rules), id_col, other, keep, tile_rows)
+    if threshold is not None:
+        pairs = within_reach(pairs, model, threshold)
     scored = add_scores(pairs, model)
     if threshold is not None:
         scored = scored.where(F.col("match_probability") >= threshold)

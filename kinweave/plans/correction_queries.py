@@ -468,9 +468,9 @@ WITH t AS (
   SELECT c_custkey, list_distinct(list_transform(generate_series(1, length(' ' || c_name || ' ') - 1), lambda i: substr(' ' || c_name || ' ', CAST(i AS INTEGER), 2))) AS grams, 'c_name' AS f FROM customer
   UNION ALL
   SELECT c_custkey, list_distinct(list_transform(generate_series(1, length(CAST(c_nationkey AS VARCHAR))), lambda i: CAST(i AS VARCHAR) || ' ' || substr(CAST(c_nationkey AS VARCHAR), CAST(i AS INTEGER), 1))), 'c_nationkey' FROM customer),
-k AS (SELECT c_custkey, f, unnest(grams) AS g, greatest(1, CAST(round(300 / CAST(len(grams) AS DOUBLE)) AS INTEGER)) AS n FROM t),
-h AS (SELECT c_custkey, f, g, unnest(generate_series(1, n)) AS k FROM k)
-SELECT c_custkey, list_sort(list_distinct(list(CAST(CAST('0x' || left(sha256('secret|' || f || '|' || g || '|' || k), 7) AS BIGINT) % 1024 AS INTEGER)))) AS clk FROM h GROUP BY c_custkey
+k AS (SELECT c_custkey, unnest(list_transform(grams, lambda g: sha256('secret|' || f || '|' || g))) AS s, greatest(1, CAST(round(300 / CAST(len(grams) AS DOUBLE)) AS INTEGER)) AS n FROM t),
+h AS (SELECT c_custkey, CAST('0x' || left(s, 7) AS BIGINT) AS h, CAST('0x' || substr(s, 8, 7) AS BIGINT) AS g, unnest(generate_series(1, n)) AS k FROM k)
+SELECT c_custkey, list_sort(list_distinct(list(CAST((h + k * g) % 1024 AS INTEGER)))) AS clk FROM h GROUP BY c_custkey
 """
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,12 +34,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
+def _path(spark: SparkSession, label: str) -> str:
+    return f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, keeps statistics, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = _path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_measured(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`stage`, with aggregates observed while writing, so that they need no job of their own."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), label)
+    return staged, seen.get
 
 
 def unstage(df: DataFrame) -> None:
