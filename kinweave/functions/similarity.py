@@ -106,15 +106,21 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return F.nanvl(_jaro_winkler(a, b), F.lit(None).cast("double"))
 
 
+def jaro_needed(threshold: float) -> float:
+    """Least Jaro value of a pair whose Jaro-Winkler reaches ``threshold``.
+
+    Up to BOOST_ABOVE both are the same; above it the prefix closes at most four tenths of the gap.
+    """
+    return max(min(threshold, BOOST_ABOVE), (threshold - 0.4) / 0.6)
+
+
 def length_allows(a: Column, b: Column, threshold: float) -> Column:
     """False only where the lengths alone keep Jaro-Winkler below ``threshold``.
 
-    With r = shorter/longer length, Jaro is at most (2 + r)/3, and a Jaro-Winkler of t needs a Jaro
-    of (t - 0.4)/0.6 where the prefix counts and of t where it does not.
+    With r = shorter/longer length, Jaro is at most (2 + r)/3.
     """
-    needed = max(min(threshold, BOOST_ABOVE), (threshold - 0.4) / 0.6)
     ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
-    return ratio >= 3 * needed - 2 - 1e-9
+    return ratio >= 3 * jaro_needed(threshold) - 2 - 1e-9
 
 
 def register(spark: SparkSession) -> None:

@@ -55,16 +55,31 @@ def _pieces(df: DataFrame, keys: list[str], tile_rows: int, out: str) -> DataFra
     return broadcast_if_small(stage(sizes, "pieces"))
 
 
+def large_keys(
+    left: DataFrame, right: DataFrame, keys: list[str], same: bool, tile_rows: int
+) -> DataFrame | None:
+    """Keys with more than ``tile_rows`` rows on a side; None if there are none."""
+    a = _pieces(_known(left, keys), keys, tile_rows, "_p")
+    b = None if same else _pieces(_known(right, keys), keys, tile_rows, "_p")
+    found = [x.select(*keys) for x in (a, b) if x is not None]
+    if not found:
+        return None
+    return broadcast_if_small(stage(reduce(DataFrame.unionAll, found).distinct(), "large"))
+
+
 def split_cells(
-    left: DataFrame, right: DataFrame, keys: list[str], id_col: str, same: bool, tile_rows: int
+    left: DataFrame, right: DataFrame, keys: list[str], id_col: str, same: bool, tile_rows: int | None
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides with known keys, and the columns that bring their rows together.
 
     Where no key has more than ``tile_rows`` rows these are the keys. Otherwise each row also gets a
     cell (_i, _j): a key's left rows fall into pieces i and its right rows into pieces j, and every
-    row is copied to the cells of its piece. With ``same`` only cells with i <= j exist.
+    row is copied to the cells of its piece. With ``same`` only cells with i <= j exist. A
+    ``tile_rows`` of None says the caller knows that no key is large.
     """
     a, b = _known(left, keys), _known(right, keys)
+    if tile_rows is None:
+        return a, b, keys
     cut_a = _pieces(a, keys, tile_rows, "_pa")
     cut_b = cut_a if same else _pieces(b, keys, tile_rows, "_pb")
     if cut_a is None and cut_b is None:
@@ -98,7 +113,7 @@ def join_block(
     keys: list[str],
     id_col: str,
     same: bool,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = TILE_ROWS,
 ) -> DataFrame:
     """Pairs of ``left`` and ``right`` with equal keys, columns suffixed ``_l`` and ``_r``.
 

@@ -20,6 +20,7 @@ from ..functions.similarity import length_allows, register
 from ..session import stage
 from .candidates import TILE_ROWS, Rule, block_rules, join_block, sample_pairs
 from .compare import Comparison, Level, add_gammas, with_term_frequencies
+from .evidence import reaching_pairs
 
 # fixed values: prior of a fresh model, share of m on the exact level before training, EM stopping
 DEFAULT_PRIOR = 0.0001
@@ -470,18 +471,33 @@ def predict(
 ) -> DataFrame:
     """Scores every pair the model's rules bring together; with ``threshold`` only pairs reaching it.
 
+    A threshold also saves work: blocks above ``tile_rows`` are narrowed by what else a pair must
+    agree on, and similarities are measured only where they can decide. The result is the same.
     Compared fields and term frequencies travel with the records through the blocking join, so the
     pairs themselves are never shuffled. ``carry`` names further record columns to keep. Records that
     hold ``tf_<col>`` already keep those.
     """
     df, other = with_model_frequencies(model, df, other)
     keep = list(dict.fromkeys([*model.columns, *[f"tf_{c}" for c in model.tf_columns], *(carry or [])]))
-    pairs = block_rules(df, list(model.rules), id_col, other, keep, tile_rows)
-    if threshold is not None:
+    repeated = False
+    if threshold is None:
+        pairs = block_rules(df, list(model.rules), id_col, other, keep, tile_rows)
+    else:
+        need = list(dict.fromkeys([id_col, *keep]))
+        left = df.select(*need)
+        right = left if other is None else other.select(*need)
+        cs = [filled(c) for c in model.comparisons]
+        gain = log_odds(threshold) - log_odds(model.prior) if 0 < threshold < 1 else -math.inf
+        pairs, repeated = reaching_pairs(
+            left, right, list(model.rules), cs, gain, id_col, other is None, keep, tile_rows
+        )
         pairs = within_reach(pairs, model, threshold)
     scored = add_scores(pairs, model)
     if threshold is not None:
         scored = scored.where(F.col("match_probability") >= threshold)
+    if repeated:
+        # found by several fields; only pairs at the threshold are left here
+        scored = scored.dropDuplicates([f"{id_col}_l", f"{id_col}_r"])
     cols = [f"{id_col}_l", f"{id_col}_r", "match_weight", "match_probability", "match_key"]
     cols += [f"{c}_{s}" for c in (carry or []) for s in ("l", "r")]
     if retain_intermediate:
