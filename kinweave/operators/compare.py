@@ -236,11 +236,8 @@ def mean_score(features: DataFrame, names: list[str], out: str = "score") -> Dat
 def term_frequency(df: DataFrame, col: str) -> DataFrame:
     """Share of each value among the non-null values: (value, n, tf)."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(col).alias("_total"))
-    # one row: the total joins as a broadcast constant
-    return counts.join(F.broadcast(total)).select(
-        F.col(col), "n", (F.col("n") / F.col("_total")).alias(f"tf_{col}")
-    )
+    total = df.agg(F.count(col)).scalar()
+    return counts.select(F.col(col), "n", (F.col("n") / total).alias(f"tf_{col}"))
 
 
 def with_term_frequencies(df: DataFrame, cols: list[str], base: DataFrame | None = None) -> DataFrame:

@@ -126,9 +126,9 @@ def replace_tokens(df: DataFrame, mapping: DataFrame, col: str, id_col: str, fol
     tokens = F.split(F.col(col), " ")
     mapping = mapping.select("token", "replacement").dropna().dropDuplicates(["token"])
     if is_small(mapping):
-        # one row, behind the size check
-        one = mapping.agg(F.map_from_entries(F.collect_list(F.struct("token", "replacement"))).alias("_map"))
-        with_map = df.join(F.broadcast(one))
+        # a single value, behind the size check
+        entries = F.collect_list(F.struct("token", "replacement"))
+        with_map = df.withColumn("_map", mapping.agg(F.map_from_entries(entries)).scalar())
     else:
         pieces = df.select(id_col, F.explode(F.array_distinct(F.transform(tokens, look))).alias("token"))
         found = left_join_unique(pieces, mapping, ["token"]).where(F.col("replacement").isNotNull())

@@ -48,16 +48,14 @@ def truth_table(
     no = F.sum(F.when(F.col(label) == 1, 0).otherwise(each)).cast("long")
     per_score = scored.groupBy(F.col(score).alias("threshold")).agg(yes.alias("_p"), no.alias("_n"))
     summed = running_totals(per_score, "threshold", {"tp": "_p", "fp": "_n"}, descending=True)
-    totals = scored.agg(yes.alias("_all_p"), no.alias("_all_n"))
-    if missed is not None:
-        # one row each
-        totals = totals.join(F.broadcast(missed)).withColumn("_all_p", F.col("true_pairs"))
-    return summed.join(F.broadcast(totals)).select(
+    all_yes = (scored.agg(yes) if missed is None else missed.select("true_pairs")).scalar()
+    all_no = scored.agg(no).scalar()
+    return summed.select(
         "threshold",
         "tp",
         "fp",
-        (F.col("_all_p") - F.col("tp")).alias("fn"),
-        (F.col("_all_n") - F.col("fp")).alias("tn"),
+        (all_yes - F.col("tp")).alias("fn"),
+        (all_no - F.col("fp")).alias("tn"),
     )
 
 

@@ -342,13 +342,9 @@ def estimate_prior(
         n = F.col("n")
         total = df.agg(F.count(F.lit(1)).alias("n")).select((n * (n - 1) / 2).cast("long").alias("all_pairs"))
     else:
-        total = (
-            df.agg(F.count(F.lit(1)).alias("n"))
-            .join(F.broadcast(other.agg(F.count(F.lit(1)).alias("n2"))))
-            .select((F.col("n") * F.col("n2")).alias("all_pairs"))
-        )
-    # both sides are single rows
-    return total.join(F.broadcast(matched)).select(
+        rows = other.agg(F.count(F.lit(1))).scalar()
+        total = df.agg((F.count(F.lit(1)) * rows).alias("all_pairs"))
+    return total.withColumn("rule_pairs", matched.scalar()).select(
         "rule_pairs", "all_pairs", (F.col("rule_pairs") / recall / F.col("all_pairs")).alias("prior")
     )
 

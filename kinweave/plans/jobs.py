@@ -178,8 +178,11 @@ def _prepared(df: DataFrame, job: LinkJob, gazetteer: DataFrame | None, start: i
         fields = {c: g for c, g in geo.GEO_FIELDS[job.dataset].items() if c in df.columns}
         df = geo.reverse_geocode_fix(df, gazetteer, fields)
     df = clean_strings(df, skip=("latitude", "longitude", "rec_id", LABEL_COLUMN))
-    order = ["rec_id"] if "rec_id" in df.columns else df.columns
-    return stage(add_row_id(df, order, start, ID), "records")
+    if "rec_id" in df.columns:
+        return stage(add_row_id(df, ["rec_id"], start, ID), "records")
+    # no natural key: ids follow the order of the rows in a table written once, so equal rows spread too
+    lines = stage(df, "lines").withColumn("_line", F.monotonically_increasing_id())
+    return stage(add_row_id(lines, ["_line"], start, ID).drop("_line"), "records")
 
 
 def _complete(model: m.Model, df: DataFrame) -> None:

@@ -354,6 +354,18 @@ def predict_threshold(spark, d):
     return _rounded(m.predict(_part(spark, d), MODEL, "id", threshold=0.7))
 
 
+_WIDE = replace(MODEL, rules=(("brand",), ("kind",)))
+
+
+@query(
+    "predict_large_blocks",
+    f"WITH {_PART}, {sqltext.scored(_WIDE, 'part_rows', 'id')} SELECT id_l, id_r, round(match_weight, 6) AS match_weight, {_PROBABILITY}, match_key FROM scored WHERE 1 / (1 + pow(2, -match_weight)) >= 0.7",
+)
+def predict_large_blocks(spark, d):
+    """Every block counts as large, so all of them are narrowed by what else a pair must agree on."""
+    return _rounded(m.predict(_part(spark, d), _WIDE, "id", threshold=0.7, tile_rows=16))
+
+
 @query(
     "predict_intermediate",
     f"WITH {_SCORED} SELECT id_l, id_r, match_key, gamma_name, gamma_brand, gamma_kind, gamma_size, "
