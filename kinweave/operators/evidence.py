@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import jaro_needed
 from ..session import broadcast_if_small, stage
-from .candidates import Rule, join_block, large_keys, same_on
+from .candidates import TILE_ROWS, Rule, join_block, large_keys, same_on
 from .compare import Comparison, add_gammas
 from .fuzzyjoin import edit_join
 from .skew import left_join_unique
@@ -116,7 +116,7 @@ def similar_words(values: DataFrame, cut: float, tile_rows: int) -> DataFrame:
     return pairs.where((F.col("v_l") != F.col("v_r")) & (ratio >= share - 1e-9)).select("v_l", "v_r").distinct()
 
 
-def close_values(values: DataFrame, e: Evidence, tile_rows: int) -> DataFrame | None:
+def close_values(values: DataFrame, e: Evidence, tile_rows: int = TILE_ROWS) -> DataFrame | None:
     """(v, close): for each distinct value the other values at one of the evidence levels."""
     level = e.loosest()
     if level is None:
@@ -142,7 +142,7 @@ def _by_evidence(
     if not same:
         values = values.unionAll(r.select(F.col(col).alias("v")))
     values = stage(values.where(F.col("v").isNotNull()).distinct(), "values")
-    near = close_values(values, e, tile_rows)
+    near = close_values(values, e)
     own = F.array(F.col(col)) if e.exact else F.array().cast("array<string>")
     left = l.where(F.col(col).isNotNull())
     if near is None:

@@ -107,7 +107,7 @@ def test_rejected_corrections_stay(spark):
     ref = spark.createDataFrame([("Watford", "MA", 1), ("Newington", "CT", 2)], "city string, state_id string, ref_order int")
     ref = ref.withColumn("city_state", F.concat_ws(",", "city", "state_id"))
     found = correct.suggest_corrections(correct.unknown_city_or_state(df, ref), ref)
-    assert sorted((r[0], r[1]) for r in found.collect()) == [("Watfor,MA", "Watford,MA"), ("Newingon,CT", "Newington,CT")]
+    assert sorted((r[0], r[1]) for r in found.collect()) == [("Newingon,CT", "Newington,CT"), ("Watfor,MA", "Watford,MA")]
     fixed = correct.apply_corrections(df, found, found.where("original like 'Wat%'")).orderBy("id").collect()
     assert [r["city"] for r in fixed] == ["Watfor", "Newington", None]
 
