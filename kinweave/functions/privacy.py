@@ -73,26 +73,36 @@ def clk_encode(
     def number(digest: Column, at: int) -> Column:
         return F.conv(F.substr(digest, F.lit(at), F.lit(7)), 16, 10).cast("long")
 
-    def field_bits(f: ClkField) -> Column:
-        tokens = clk_tokens(f, F.col(f.name))
-        rounds = F.greatest(
-            F.lit(1), F.round(F.lit(bits_per_field) / F.greatest(F.size(tokens), F.lit(1))).cast("int")
-        )
-        seeds = F.transform(
-            tokens, lambda t: F.sha2(F.concat_ws("|", F.lit(secret), F.lit(f.name), t), 256)
+    def tokens(f: ClkField) -> Column:
+        return F.col(f"_tokens_{f.name}")
+
+    def rounds(f: ClkField) -> Column:
+        share = F.round(F.lit(bits_per_field) / F.greatest(F.size(tokens(f)), F.lit(1)))
+        return F.greatest(F.lit(1), share.cast("int"))
+
+    def seeds(f: ClkField) -> Column:
+        hashed = F.transform(
+            tokens(f), lambda t: F.sha2(F.concat_ws("|", F.lit(secret), F.lit(f.name), t), 256)
         )
-        seeds = F.transform(seeds, lambda s: F.struct(number(s, 1).alias("h"), number(s, 8).alias("g")))
+        return F.transform(hashed, lambda s: F.struct(number(s, 1).alias("h"), number(s, 8).alias("g")))
 
-        def hashes(seed: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(1), rounds),
-                lambda k: ((seed["h"] + k * seed["g"]) % bits).cast("int"),
+    def field_bits(f: ClkField) -> Column:
+        steps = F.col(f"_steps_{f.name}")
+        return F.flatten(
+            F.transform(
+                F.col(f"_seeds_{f.name}"),
+                lambda seed: F.transform(steps, lambda k: ((seed["h"] + k * seed["g"]) % bits).cast("int")),
             )
+        )
 
-        return F.flatten(F.transform(seeds, hashes))
-
-    every = F.array_sort(F.array_distinct(F.concat(*[field_bits(f) for f in fields])))
-    return df.withColumn(out, every)
+    # each part is a column of its own, so that none is evaluated again inside a lambda
+    parts = df.withColumns({f"_tokens_{f.name}": clk_tokens(f, F.col(f.name)) for f in fields})
+    parts = parts.withColumns(
+        {f"_steps_{f.name}": F.sequence(F.lit(1), rounds(f)) for f in fields}
+        | {f"_seeds_{f.name}": seeds(f) for f in fields}
+    )
+    every = F.sort_array(F.array_distinct(F.concat(*[field_bits(f) for f in fields])))
+    return parts.select(*df.columns, every.alias(out))
 
 
 def dice(a: Column, b: Column) -> Column:

@@ -76,7 +76,7 @@ def strip_digit_tokens(col: Column) -> Column:
 
 def digit_tokens(col: Column) -> Column:
     """All-digit tokens in a fixed order: two texts with equal results hold the same numbers."""
-    return F.array_sort(F.filter(tokenize(col), _is_digits))
+    return F.sort_array(F.filter(tokenize(col), _is_digits))
 
 
 def same_digit_multiset(a: Column, b: Column) -> Column:

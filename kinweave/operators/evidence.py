@@ -104,7 +104,7 @@ def similar_words(values: DataFrame, cut: float, tile_rows: int) -> DataFrame:
     each = values.where(F.length("v") > 0).select("v", F.explode(_characters(F.col("v"))).alias("t"))
     counts = each.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     ranked = each.join(broadcast_if_small(stage(counts, "characters")), "t")
-    ordered = ranked.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("all"))
+    ordered = ranked.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("all"))
     size = F.size("all")
     common = F.greatest(F.lit(1), F.ceil(size * share - 1e-9).cast("int"))
     keys = ordered.select(

@@ -55,7 +55,7 @@ def _places(spark, d) -> DataFrame:
     """Every nation with every segment found with it; all 125 combinations occur in the data."""
     nation = table(spark, d, "nation")
     segments = table(spark, d, "customer").select(F.col("c_mktsegment").alias("state_id")).distinct()
-    listed = segments.agg(F.array_sort(F.collect_set("state_id"))).scalar()  # five values
+    listed = segments.agg(F.sort_array(F.collect_set("state_id"))).scalar()  # five values
     rows = nation.withColumn("all", listed).select("*", F.posexplode("all").alias("pos", "state_id"))
     return rows.select(
         F.col("n_name").alias("city"),

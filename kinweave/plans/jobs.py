@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property, partial, reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -147,13 +148,20 @@ def labelled_truth(df: DataFrame, model: m.Model, label: str = LABEL_COLUMN, oth
 # ---- the configured job -------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
+@dataclass
 class JobResult:
+    """What a job gives. The truth table scores every candidate pair, so it is made when first asked for."""
+
     clusters: DataFrame
     model: m.Model
     missingness: DataFrame | None = None
     profile: DataFrame | None = None
-    truth: DataFrame | None = None
+    measure: Callable[[], DataFrame] | None = None
+
+    @cached_property
+    def truth(self) -> DataFrame | None:
+        """TP, FP, FN and TN per threshold; None without labels."""
+        return self.measure() if self.measure else None
 
     def roc(self) -> DataFrame:
         return evaluate.roc_points(self.truth)
@@ -225,12 +233,12 @@ def run_job(
         df = df.withColumn("source_dataset", F.lit("left"))
         other = other.withColumn("source_dataset", F.lit("right"))
     clusters = cluster_records(df, model, threshold, other)
-    truth = None
+    measure = None
     if all(has_labels(t) for t in tables):
-        truth = labelled_truth(df, model, LABEL_COLUMN, other)
+        measure = partial(labelled_truth, df, model, LABEL_COLUMN, other)
     if key is not None:
         clusters = encrypt_columns(clusters, ENCRYPTED[job.dataset], key)
-    return JobResult(clusters, model, shares, profile, truth)
+    return JobResult(clusters, model, shares, profile, measure)
 
 
 # ---- address and provider jobs ------------------------------------------------------------------
