@@ -22,20 +22,26 @@ BROADCAST_BYTES = 64 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named."""
+    """The shared folder the cluster names; a folder of our own only where none is named and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="kinweave-")
     return _OWN_DIRS[app]
 
 
+def _root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}"
+
+
 def _path(spark: SparkSession, label: str) -> str:
-    return f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -55,11 +61,11 @@ def stage_measured(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFr
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads (superseded rounds of an iteration)."""
     spark = df.sparkSession
-    root = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/"
     jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(_root(spark)).toUri().getPath() + "/"
     for file in df.inputFiles():
         parent = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if root in parent.toString():
+        if parent.toUri().getPath().startswith(root):
             fs = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
             fs.delete(parent, True)
             return
