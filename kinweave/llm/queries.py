@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import table
-from . import language, lines, sql
+from . import archives, chat, language, lines, quality, sql
 from .common import crc32_fold
 from .registry import query
 
@@ -23,3 +23,25 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_quality_rules", sql.QUALITY_RULES)
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return lines.judge(table(spark, folder, "documents").select("doc_id", "text", "source"), ["doc_id"])
+
+
+@query("op10_warc_archives")
+def op10_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return archives.archive(table(spark, folder, "pages"))
+
+
+@query("op7_chat_format", sql.CHAT_FORMAT)
+def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], turns.schema)
+    return chat.read_back(*chat.write(turns.unionByName(added)))
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held = F.coalesce(crc32_fold("doc_id", 5) == 0, F.lit(False))
+    labels = table(spark, folder, "labels").select("doc_id", "quality").where(~held)
+    found = quality.score(docs, quality.fit(docs, labels))
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")

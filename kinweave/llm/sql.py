@@ -45,3 +45,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, remo
     AND 100 * (n_words - removed_words) >= {lines.KEEP_PERCENT} * n_words AS kept
 FROM base
 """
+
+_ESCAPED = r"regexp_replace({}, '([\\<\[{}])', '\\\1', 'g')"
+_CHAT_SEGMENT = f"'<|turn|>' || {_ESCAPED.format('role', chr(92) + 'n')} || chr(10) || {_ESCAPED.format('text', '')} || '<|end|>' || chr(10)"
+
+CHAT_FORMAT = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+),
+s AS (
+  SELECT *, length({_CHAT_SEGMENT}) AS chars FROM t
+),
+p AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto
+  FROM s
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars,
+  (count(*) FILTER (role = 'assistant'))::BIGINT AS n_examples,
+  coalesce(sum(upto) FILTER (role = 'assistant'), 0)::BIGINT AS example_chars
+FROM p GROUP BY conv_id
+"""
