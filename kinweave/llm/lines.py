@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import left_join_unique
-from ..session import stage
+from ..session import stage, unstage
 
 #: Base rules (fixed values of the contract).
 MIN_WORDS = 50
@@ -96,41 +96,40 @@ def _lines(docs: DataFrame) -> DataFrame:
     return named.where("words > 0 and not _blank").drop("_blank")
 
 
+def line_table(docs: DataFrame) -> DataFrame:
+    """(host, doc, line, words): each line hash of each text on a host, written once.
+
+    ``words`` counts every occurrence in every copy of the text on that host.
+    """
+    return stage(_lines(docs).groupBy("host", "doc", "line").agg(F.sum("words").alias("words")), "lines")
+
+
+def text_table(docs: DataFrame) -> DataFrame:
+    """(host, doc, copies): each text of a host with the number of its rows."""
+    key = docs.select(F.coalesce("source", F.lit("")).alias("host"), _text_key().alias("doc"))
+    return stage(key.groupBy("host", "doc").agg(F.count(F.lit(1)).alias("copies")), "texts")
+
+
 def frequent_lines(
-    docs: DataFrame, min_documents: int = MIN_DOCUMENTS, host_percent: int = HOST_PERCENT
+    lines: DataFrame, texts: DataFrame, min_documents: int = MIN_DOCUMENTS, host_percent: int = HOST_PERCENT
 ) -> DataFrame:
     """(host, line, documents) of every line above the limits of its host."""
-    pairs = _lines(docs).select("host", "line", "doc").distinct()
-    held = pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(
+    held = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(
         F.col("documents") >= min_documents
     )
-    hosts = (
-        docs.select(F.coalesce("source", F.lit("")).alias("host"), _text_key().alias("doc"))
-        .distinct()
-        .groupBy("host")
-        .agg(F.count(F.lit(1)).alias("of"))
-    )
+    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     # both sides hold one row for each host or frequent line
     return held.join(hosts, "host").where(100 * F.col("documents") >= host_percent * F.col("of")).select(
         "host", "line", "documents"
     )
 
 
-def removed_words(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(host, doc, removed): words in frequent lines, of the texts that have any.
-
-    Copies of a text on a host give the same sum; ``n`` of them are divided out by taking lines of one copy.
-    """
-    lines = _lines(docs).groupBy("host", "doc", "line", "words").agg(F.count(F.lit(1)).alias("n"))
-    copies = (
-        docs.select(F.coalesce("source", F.lit("")).alias("host"), _text_key().alias("doc"))
-        .groupBy("host", "doc")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
+def removed_words(lines: DataFrame, texts: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(host, doc, removed): words in frequent lines of one copy of each text that has any."""
     hit = left_join_unique(lines, frequent.select("host", "line", F.lit(True).alias("hit")), ["host", "line"])
-    sums = hit.where("hit").groupBy("host", "doc").agg(F.sum(F.col("words") * F.col("n")).alias("all_removed"))
-    return sums.join(copies, ["host", "doc"]).select(
-        "host", "doc", (F.col("all_removed") / F.col("copies")).cast("long").alias("removed")
+    sums = hit.where("hit").groupBy("host", "doc").agg(F.sum("words").alias("in_all"))
+    return sums.join(texts, ["host", "doc"]).select(
+        "host", "doc", (F.col("in_all") / F.col("copies")).cast("long").alias("removed")
     )
 
 
@@ -145,8 +144,11 @@ def judge(
 
     Texts themselves are not shuffled: only line hashes and text keys are.
     """
-    frequent = stage(frequent_lines(docs, min_documents, host_percent), "frequent-lines")
-    gone = stage(removed_words(docs, frequent), "removed-words")
+    lines, texts = line_table(docs), text_table(docs)
+    frequent = stage(frequent_lines(lines, texts, min_documents, host_percent), "frequent-lines")
+    gone = stage(removed_words(lines, texts, frequent), "removed-words")
+    unstage(lines)
+    unstage(texts)
     own = docs.withColumns({"_host": F.coalesce("source", F.lit("")), "_doc": _text_key()})
     base = _with_base(own, list(dict.fromkeys([*keep, "_host", "_doc"]))).drop("_t")
     found = left_join_unique(
