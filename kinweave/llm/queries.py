@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import table
-from . import archives, chat, language, lines, quality, sql
+from . import archives, chat, fingerprint, language, lines, quality, sql
 from .common import crc32_fold
 from .registry import query
 
@@ -45,3 +45,8 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", "quality").where(~held)
     found = quality.score(docs, quality.fit(docs, labels))
     return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query("op2_document_fingerprints")
+def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, folder, "documents"))
