@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import table
-from . import archives, chat, fingerprint, language, lines, quality, sql
+from . import archives, bpe, chat, fingerprint, language, lines, quality, sql, tokens
 from .common import crc32_fold
 from .registry import query
 
@@ -50,3 +50,20 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_document_fingerprints")
 def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, folder, "documents"))
+
+
+def byte_bpe_path() -> str:
+    """The public vocabulary file of the token queries; installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op5_bpe_round_trip")
+def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digest(table(spark, folder, "documents"), byte_bpe_path())
+
+
+@query("op4_token_records")
+def op4_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.round_trip(table(spark, folder, "documents"), byte_bpe_path())
