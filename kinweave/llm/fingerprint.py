@@ -13,7 +13,7 @@ common.
 
 Decisions: a null text is empty; two empty texts have likeness 1, an empty and another 0. A text that
 becomes a single phrase before level 2 is represented by that phrase. Slots without a phrase borrow from the
-next filled slot. Rows go by descending id (nulls last), ties by text; the next document of the last row
+next filled slot. Rows go by descending id (nulls last), ties by a hash of the text; the next document of the last row
 is the first. A single row is its own next document.
 """
 
@@ -212,7 +212,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.desc_nulls_last("doc_id"), F.asc("text")]
+    # ranges are sampled on the driver, so their key holds a hash and not the text
+    order = [F.desc_nulls_last("doc_id"), F.xxhash64("text").asc()]
     placed = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     fields = arrow_schema(_STREAMED)
 

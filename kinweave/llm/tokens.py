@@ -8,7 +8,7 @@ before it in the shard, so that readers may visit records in any order.
 Texts are dealt out once, by ranges of document ids; a task encodes its range as a stream and writes a shard. A
 task's files have names of its attempt, and only finished tasks are in the manifest.
 
-Decisions: a null text is empty and its record holds the end id alone. Missing ids come first, ties by text.
+Decisions: a null text is empty and its record holds the end id alone. Missing ids come first, ties by a hash of the text.
 Ids take two bytes if the vocabulary and the end id fit, else four. An empty table makes no shard. A checksum or
 index that does not match raises.
 """
@@ -129,7 +129,8 @@ def frames(payloads: list[bytes]) -> list[bytes]:
 def write_records(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> DataFrame:
     """Encodes and writes (doc_id, text) in ascending id order; the manifest, one row for each shard."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.asc_nulls_first("doc_id"), F.asc("text")]
+    # ranges are sampled on the driver, so their key holds a hash and not the text
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()]
     n = shuffle_partitions(docs.sparkSession)
     placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     fields = arrow_schema(_MANIFEST)
