@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import table
-from . import archives, bpe, chat, fingerprint, language, lines, quality, sql, tokens
+from . import archives, bpe, chat, fingerprint, language, lines, packing, quality, sql, tokens
 from .common import crc32_fold
 from .registry import query
 
@@ -67,3 +67,9 @@ def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_token_records")
 def op4_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.round_trip(table(spark, folder, "documents"), byte_bpe_path())
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return packing.pack(tokens.count_tokens(docs, byte_bpe_path(), ["doc_id"]))
