@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import table
-from . import archives, bpe, chat, fingerprint, language, lines, packing, quality, sql, tokens
+from . import archives, bpe, chat, fingerprint, language, lines, neardup, packing, quality, sql, tokens
 from .common import crc32_fold
 from .registry import query
 
@@ -73,3 +73,8 @@ def op4_token_records(spark: SparkSession, folder: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return packing.pack(tokens.count_tokens(docs, byte_bpe_path(), ["doc_id"]))
+
+
+@query("op3_minhash_near_duplicates")
+def op3_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.classes(table(spark, folder, "documents"))
