@@ -31,42 +31,47 @@ KEEP_PERCENT = 30
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
-def _with_base(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Word and line counts of each text, with the text; one pass without a shuffle.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, also where Catalyst moves the expression about."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _repeated(hashes: Column) -> Column:
+    """Positions in windows of three that occur twice or more: windows sorted by hash, equal neighbours."""
+    at = lambda i: F.get(hashes, i)
+    starts = F.when(F.size(hashes) >= 3, F.sequence(F.lit(0), F.size(hashes) - 3)).otherwise(F.array().cast("array<int>"))
+    windows = F.transform(starts, lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("i")))
+    twice = _let(
+        F.sort_array(windows),
+        lambda s: F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])),
+    )
+    covered = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
+    return F.size(F.array_distinct(covered)).cast("long")
 
-    The arrays (words, hashes of three-word windows, their sorted positions) each become a column
-    before they are used twice, so Catalyst evaluates them once.
-    """
+
+def _with_base(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Word and line counts of each text; one pass without a shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    a = docs.select(*keep, text.alias("_t"))
-    a = a.withColumn("_w", F.filter(F.split("_t", _SPACES), lambda w: w != ""))
-    a = a.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    a = a.select(
-        *keep,
-        "_t",
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.regexp_replace("_t", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
-    )
-    at = lambda i: F.get(F.col("_h"), i)
-    windows = F.transform(
-        F.when(F.size("_h") >= 3, F.sequence(F.lit(0), F.size("_h") - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("i")),
+    words = F.filter(F.split(text, _SPACES), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    of_words = _let(
+        words,
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            _let(F.transform(w, lambda x: F.xxhash64(x)), _repeated).alias("n_repeat_words"),
+        ),
     )
-    a = a.withColumn("_s", F.sort_array(windows))
-    # positions of windows whose neighbour in hash order is equal: those found twice or more
-    twice = F.filter(
-        "_s",
-        lambda x, i: (F.get(F.col("_s"), i - 1)["h"] == x["h"]) | (F.get(F.col("_s"), i + 1)["h"] == x["h"]),
+    counted = docs.select(
+        *keep,
+        of_words.alias("_c"),
+        (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+        _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
     )
-    covered = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-    a = a.withColumn("n_repeat_words", F.size(F.array_distinct(covered)).cast("long"))
-    failed = (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
+    failed = (F.col("_c.n_words") < MIN_WORDS) | (
+        100 * F.col("_c.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_c.n_words")
     )
-    return a.withColumn("base_failed", failed).drop("_h", "_s")
+    return counted.select(*keep, "_c.*", "n_symbols", "n_dup_lines", failed.alias("base_failed"))
 
 
 def _normal(line: Column) -> Column:
@@ -150,7 +155,7 @@ def judge(
     unstage(lines)
     unstage(texts)
     own = docs.withColumns({"_host": F.coalesce("source", F.lit("")), "_doc": _text_key()})
-    base = _with_base(own, list(dict.fromkeys([*keep, "_host", "_doc"]))).drop("_t")
+    base = _with_base(own, list(dict.fromkeys([*keep, "_host", "_doc"])))
     found = left_join_unique(
         base, gone.select(F.col("host").alias("_host"), F.col("doc").alias("_doc"), "removed"), ["_host", "_doc"]
     )

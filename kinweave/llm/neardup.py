@@ -190,8 +190,11 @@ class _Texts:
         return found
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and class_id of every row."""
+def resolve(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and (node, class_id, first_id, chosen) of every text that is not alone.
+
+    ``first_id`` is the least id of the text, ``chosen`` marks the text that stands for its class.
+    """
     rows = stage(sketch(docs), "sketches")
     nodes = stage(
         rows.groupBy("node").agg(
@@ -238,7 +241,32 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     named = nodes.select("node", "first_id", "copies").join(parts, "node", "left")
     several = named.where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
-    ids = several.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    lookup = stage(several.select("node", "component").join(ids, "component").select("node", "class_id"), "classes")
-    found = left_join_unique(rows.select("doc_id", "node"), lookup, ["node"])
+    order = F.struct(F.col("first_id").isNull().alias("_none"), "first_id", F.col("node").alias("_chosen"))
+    ids = several.groupBy("component").agg(F.min(order).alias("_least"))
+    lookup = several.join(ids, "component").select(
+        "node",
+        F.col("_least.first_id").alias("class_id"),
+        "first_id",
+        (F.col("node") == F.col("_least._chosen")).alias("chosen"),
+    )
+    return rows, stage(lookup, "classes")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and class_id of every row."""
+    rows, lookup = resolve(docs, similarity)
+    found = left_join_unique(rows.select("doc_id", "node"), lookup.select("node", "class_id"), ["node"])
     return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stand for their class: one row of each class, that of the least id."""
+    rows, lookup = resolve(docs, similarity)
+    own = docs.withColumn("_node", _node())
+    found = left_join_unique(own, lookup.select(F.col("node").alias("_node"), "first_id", "chosen"), ["_node"])
+    stays = F.col("chosen").isNull() | (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    kept = found.where(stays).select(*docs.columns, "_node")
+    repeated = rows.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():  # an id and its text given more than once
+        kept = kept.dropDuplicates(["doc_id", "_node"])
+    return kept.drop("_node")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from ..plans.registry import table
 from . import archives, bpe, chat, fingerprint, language, lines, neardup, packing, quality, sql, tokens
 from .common import crc32_fold
 from .registry import query
+from .stages import byte_bpe_path
 
 
 @query("op8_language_id")
@@ -52,13 +54,6 @@ def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, folder, "documents"))
 
 
-def byte_bpe_path() -> str:
-    """The public vocabulary file of the token queries; installed on every node."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query("op5_bpe_round_trip")
 def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(table(spark, folder, "documents"), byte_bpe_path())
@@ -78,3 +73,8 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_minhash_near_duplicates")
 def op3_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(table(spark, folder, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
