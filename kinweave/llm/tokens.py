@@ -23,15 +23,30 @@ from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
 from .checksums import crc32c, masked
-from .common import AttemptFile, arrow_schema, as_batch, new_folder, open_folder, read_file, shuffle_partitions, spread
-from .units import REMEMBERED, pieces
+from .common import (
+    AttemptFile,
+    arrow_schema,
+    as_batch,
+    map_batches,
+    new_folder,
+    open_folder,
+    read_file,
+    shuffle_partitions,
+    spread,
+    text_slices,
+)
+from .units import REMEMBERED
 
 END_ID = 2
+
+#: Characters encoded together: bounds the work arrays.
+ENCODED_CHARS = 1 << 24
 _INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("offset", "<i8"), ("tokens", "<i8"), ("start", "<i8")])
 _MANIFEST = "part int, file string, index string, width int, records long, tokens long"
 
@@ -58,35 +73,82 @@ class LibraryEncoder:
         self.added = [t["content"] for t in found["added_tokens"]]
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.code = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        # a byte-level token has one letter for each byte
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.code).tobytes() for x in got]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text."""
-        plain = [self.by_piece and not any(t in x for t in self.added) for x in texts]
+    def _learn(self, fresh: set[str]) -> None:
+        """Encodes new pieces. Those that begin a word at a blank are encoded as one long text and cut again
+        where the bytes of the tokens reach the ends of the pieces; that spares an object for each piece.
+        """
+        joined = [p for p in fresh if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+        for low in range(0, len(joined), 50_000):
+            part = joined[low : low + 50_000]
+            ids = np.array(
+                self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=self.code
+            )
+            upto = np.cumsum(self.bytes_of[ids])
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in part])
+            at = np.searchsorted(upto, ends)
+            if not (upto[at] == ends).all():
+                raise ValueError("pieces of a text were not encoded apart")
+            cuts = ((at + 1) * self.code.itemsize).tolist()
+            packed = ids.tobytes()
+            self.known.update(zip(part, map(packed.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        other = list(fresh.difference(joined))
+        self.known.update(zip(other, self._whole(other) if other else [], strict=True))
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Distinct pieces of plain texts: (piece numbers, pieces, number of pieces of each text).
+
+        Cut in Arrow before every blank and between a Latin letter and a full stop or comma, where the
+        tokenizer's pattern also begins a new word.
+        """
+        marked = pc.replace_substring(pa.array(texts, type=pa.large_string()), " ", "\0 ")
+        marked = pc.replace_substring_regex(marked, r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF])([.,])", "\\1\0\\2")
+        lists = pc.split_pattern(marked, "\0")
+        coded = lists.flatten().dictionary_encode()
+        sizes = np.diff(lists.offsets.to_numpy())
+        return coded.indices.to_numpy(), coded.dictionary.to_pylist(), sizes
+
+    def _codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in one array, number of ids of each text) for plain texts."""
+        number, distinct, sizes = self._cut(texts)
         if len(self.known) > REMEMBERED:
             self.known = {}
-        parts = [pieces(t) if p else None for t, p in zip(texts, plain, strict=True)]
-        fresh: set[str] = set()
-        for p in parts:
-            fresh.update(filterfalse(self.known.__contains__, p or ()))
-        new = list(fresh)
-        for low in range(0, len(new), 50_000):
-            part = new[low : low + 50_000]
-            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            ids = [x.ids for x in got]
-            packed = np.array([i for x in ids for i in x], dtype=self.code).tobytes()
-            at = 0
-            for piece, x in zip(part, ids, strict=True):
-                end = at + len(x) * self.code.itemsize
-                self.known[piece] = packed[at:end]
-                at = end
-        get = self.known.__getitem__
-        odd = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]) if not all(plain) else ())
-        return [next(odd) if p is None else b"".join(map(get, p)) for p in parts]
+        self._learn(set(filterfalse(self.known.__contains__, distinct)))
+        packed = list(map(self.known.__getitem__, distinct))
+        table = np.frombuffer(b"".join(packed), dtype=self.code)
+        length = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.code.itemsize
+        start = np.cumsum(length) - length
+        n = length[number]
+        total = np.cumsum(n)
+        at = np.repeat(start[number] - (total - n), n) + np.arange(total[-1] if len(total) else 0)
+        ends = np.concatenate(([0], total))[np.cumsum(sizes)]
+        return table[at], np.diff(ends, prepend=0)
+
+    def _plain(self, text: str) -> bool:
+        return self.by_piece and "  " not in text and "\0" not in text and not any(t in text for t in self.added)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if self._plain(t)]
+        for low, high in text_slices([texts[i] for i in plain], ENCODED_CHARS):
+            part = plain[low:high]
+            ids, counts = self._codes([texts[i] for i in part])
+            cuts = np.cumsum(counts) * self.code.itemsize
+            packed = ids.tobytes()
+            for i, a, b in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                out[i] = packed[a:b]
+        odd = sorted(set(range(len(texts))).difference(plain))
+        for i, x in zip(odd, self._whole([texts[i] for i in odd]) if odd else [], strict=True):
+            out[i] = x
+        return out
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
@@ -100,8 +162,6 @@ def library_encoder(path: str) -> LibraryEncoder:
 
 def count_tokens(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """``keep`` columns and n_tokens of every text; no shuffle."""
-    from .common import map_batches
-
     kept = docs.select(*keep).schema
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
 

@@ -13,7 +13,7 @@ import regex
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 #: A task remembers the codes of about so many pieces, then forgets them all: memory, not results.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 def pieces(text: str) -> list[str]:
