@@ -9,9 +9,9 @@ Registers are banded by four; texts that share a band are candidates, and a cand
 probability Jaccard is 0.8 or more. At 0.8 a pair misses all 20 bands about once in 40,000.
 
 Classes are the connected components of the links. Equal texts are one node. In each bucket all texts are first
-compared with the bucket's least text; then only pairs that are still in different components are
-compared, so a large group of copies costs a star and not all its pairs, and no pair that could join two classes is
-left out. Nothing is capped.
+compared with one hub; then the pairs of a bucket that are still in different components are measured in tiles
+of bounded size by matrix products, and only links that join components leave a tile. So a large group of copies costs a
+star and some tiles and not a list of all its pairs, and no link that could join two classes is left out. Nothing is capped.
 
 Decisions: a text of fewer than five words has one element of all its words. Equal texts are one class, empty and
 null ones too; other texts without a word are linked to nothing. ``class_id`` is the least id of the class (null only if
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.cluster import connected_components
 from ..operators.skew import left_join_unique
 from ..session import broadcast_if_small, stage, unstage
-from .common import WordHashes, map_batches, mix64, text_slices, word_windows
+from .common import WordHashes, arrow_schema, as_batch, map_batches, mix64, shuffle_partitions, text_slices, word_windows
 
 WORDS_IN_ELEMENT = 5
 SIMILARITY = 0.8
@@ -150,16 +150,20 @@ class _Texts:
     def __init__(self, docs: DataFrame, nodes: DataFrame):
         self.docs, self.nodes = docs, nodes
 
+    def of(self, some: DataFrame) -> DataFrame:
+        """(node, text) of the given nodes, each once, as a table."""
+        wanted = stage(self.nodes.select("node", "first_id").join(some, "node"), "wanted")
+        read = self.docs.select(F.col("doc_id").alias("_id"), "text", _node().alias("_node"))
+        same = (F.col("node") == F.col("_node")) & F.col("first_id").eqNullSafe(F.col("_id"))
+        met = read.join(broadcast_if_small(wanted), same).select("node", F.coalesce("text", F.lit("")).alias("text"))
+        found = stage(met.dropDuplicates(["node"]), "candidate-texts")
+        unstage(wanted)
+        return found
+
     def verified(self, pairs: DataFrame, similarity: float) -> DataFrame:
         """The pairs (a, b) whose exact similarity reaches ``similarity``."""
         both = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = stage(self.nodes.select("node", "first_id").join(both, "node"), "wanted")
-        key = {"doc_id": F.col("first_id"), "_node": F.col("node")}
-        read = self.docs.select(F.col("doc_id").alias("_id"), "text", _node().alias("_node"))
-        met = read.join(
-            broadcast_if_small(wanted), (key["_node"] == F.col("_node")) & key["doc_id"].eqNullSafe(F.col("_id"))
-        )
-        texts = stage(met.select("node", "text").dropDuplicates(["node"]), "candidate-texts")
+        texts = self.of(both)
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -186,10 +190,123 @@ class _Texts:
 
         found = stage(map_batches(rows, work, "a binary, b binary"), "links")
         unstage(texts)
-        unstage(wanted)
         return found
 
 
+def _shared_columns(h: np.ndarray, of: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """For each element a column number if texts of two parts hold it, else -1."""
+    order = np.argsort(h, kind="stable")
+    at = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+    p = part[of[order]]
+    both = np.minimum.reduceat(p, at) != np.maximum.reduceat(p, at)
+    column = np.where(both, np.cumsum(both) - 1, -1)
+    out = np.empty(len(h), dtype=np.int64)
+    out[order] = np.repeat(column, np.diff(at, append=len(h)))
+    return out
+
+
+def tile_links(
+    texts: list[str], part: np.ndarray, side: np.ndarray | None, similarity: float, columns: int = 2048
+) -> list[tuple[int, int]]:
+    """Links between different parts among the texts of a tile, enough to join all parts that any link joins.
+
+    Common mass of all pairs comes from blocked matrix products; only pairs that can reach the similarity and are
+    still in different parts get the exact measure. With ``side``, only pairs of different sides count.
+    """
+    m = len(texts)
+    of, h, w = elements(texts, WordHashes())
+    own = [(h[a:b], w[a:b]) for a, b in zip(*(np.searchsorted(of, np.arange(m) + k) for k in (0, 1)), strict=True)]
+    total = np.bincount(of, weights=w, minlength=m)
+    column = _shared_columns(h, of, part) if len(h) else h.astype(np.int64)
+    common = np.zeros((m, m), dtype=np.float32)
+    for low in range(0, int(column.max(initial=-1)) + 1, columns):
+        here = (column >= low) & (column < low + columns)
+        mass = np.zeros((m, columns), dtype=np.float32)
+        mass[of[here], column[here] - low] = w[here] / total[of[here]]
+        common += mass @ (mass > 0).astype(np.float32).T
+    able = np.minimum(common, common.T)  # a bound of the similarity
+    single = np.array([(x[1] == 1).all() for x in own])
+    shared = common * total[:, None]
+    exact = shared / np.maximum(total[:, None] + total[None, :] - shared, 1e-9)
+    able = np.where(single[:, None] & single[None, :], exact, able)  # of unweighted texts the similarity itself
+    able[np.tril_indices(m)] = 0
+    able[part[:, None] == part[None, :]] = 0
+    if side is not None:
+        able[side[:, None] == side[None, :]] = 0
+    x, y = np.nonzero(able >= similarity - 1e-4)
+    root = np.arange(int(part.max(initial=-1)) + 1)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for k in np.argsort(-able[x, y], kind="stable").tolist():
+        i, j = int(x[k]), int(y[k])
+        p, q = find(part[i]), find(part[j])
+        if p != q and probability_jaccard(own[i], own[j]) >= similarity - 1e-9:
+            root[p] = q
+            out.append((i, j))
+    return out
+
+
+#: Texts of one block of a bucket; a tile holds two blocks at most.
+BLOCK_TEXTS = 512
+
+
+def _rest(docs, members, parts, nodes, texts: _Texts, similarity: float) -> DataFrame | None:
+    """Links inside buckets whose texts are still in several components, or None if there is no such bucket.
+
+    A bucket is cut into blocks; each pair of blocks is a tile, and a task sees one tile at a time. All pairs
+    of different components are measured, but only links that join components leave the tile.
+    """
+    placed = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    mixed = placed.groupBy("key").agg(
+        F.min("part").alias("least"), F.max("part").alias("most"), F.count(F.lit(1)).alias("n")
+    )
+    mixed = mixed.where("least != most").select("key", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int").alias("blocks"))
+    rows = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = stage(rows, "open-buckets")
+    if rows.isEmpty():
+        return None
+    found = texts.of(rows.select("node").distinct())
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tiled = rows.select("key", "node", "part", "block", other.alias("_o")).select(
+        "key",
+        F.least("block", "_o").alias("low"),
+        F.greatest("block", "_o").alias("high"),
+        "block",
+        "node",
+        "part",
+    )
+    full = tiled.join(found, "node").select("key", "low", "high", "block", "node", "part", "text")
+    tile = ["key", "low", "high"]
+    dealt = full.repartition(shuffle_partitions(docs.sparkSession), *tile).sortWithinPartitions(*tile)
+    fields = arrow_schema("a binary, b binary")
+
+    def links(held: list[tuple]) -> dict:
+        low, high = held[0][1:3]
+        _, part = np.unique([r[5] for r in held], return_inverse=True)
+        side = np.array([r[3] for r in held]) if low != high else None
+        got = tile_links([r[6] for r in held], part, side, similarity) if part.max() else []
+        return {"a": [held[i][4] for i, _ in got], "b": [held[j][4] for _, j in got]}
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    yield as_batch(links(held), fields)
+                    held = []
+                held.append(row)
+        if held:
+            yield as_batch(links(held), fields)
+
+    return stage(dealt.mapInArrow(run, "a binary, b binary").distinct(), "more-links")
+
+
 def resolve(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows, and (node, class_id, first_id, chosen) of every text that is not alone.
 
@@ -208,7 +325,12 @@ def resolve(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     least = int((similarity - SLACK) * REGISTERS)
     banded = nodes.select("node", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stage(banded.join(buckets.select("key", "rep"), "key"), "members")
+    members = stage(banded.join(buckets, "key"), "members")
+    # the hub of a bucket is the text that shares most buckets with most texts: the least edited of a group of copies
+    crowd = members.groupBy("node").agg(F.sum("n").alias("crowd"))
+    crowded = members.select("key", "node").join(crowd, "node")
+    hubs = crowded.groupBy("key").agg(F.max(F.struct("crowd", "node"))["node"].alias("rep"))
+    members = stage(members.select("key", "node").join(hubs, "key"), "members")
     texts = _Texts(docs, nodes)
 
     stars = members.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
@@ -218,25 +340,8 @@ def resolve(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     links = texts.verified(stage(likely.select("a", "b"), "stars"), similarity)
     parts = stage(connected_components(links, "a", "b"), "components")
 
-    # buckets whose members are still in several components
-    placed = members.join(parts, "node", "left").select("key", "node", "rep", F.coalesce("component", "node").alias("part"))
-    mixed = placed.groupBy("key").agg(
-        F.min("part").alias("least"), F.max("part").alias("most"), F.min(F.when(F.col("node") == F.col("rep"), F.col("part"))).alias("main")
-    )
-    mixed = mixed.where("least != most").select("key", "main")
-    open_rows = placed.join(mixed, "key").join(nodes.select("node", "registers"), "node")
-    open_rows = stage(open_rows, "open-buckets")
-    a = open_rows.where("part != main").select("key", F.col("node").alias("a"), F.col("part").alias("_pa"), F.col("registers").alias("_ra"))
-    b = open_rows.where("node != rep").select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("part").alias("_pb"), F.col("registers").alias("_rb"), "main")
-    new = (
-        (F.col("key") == F.col("_key"))
-        & (F.col("_pa") != F.col("_pb"))
-        & ((F.col("_pb") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (_agreeing(F.col("_ra"), F.col("_rb")) >= least)
-    )
-    rest = stage(a.join(b, new).select("a", "b").distinct(), "rest")
-    if not rest.isEmpty():
-        more = texts.verified(rest, similarity)
+    more = _rest(docs, members, parts, nodes, texts, similarity)
+    if more is not None:
         parts = stage(connected_components(links.unionByName(more), "a", "b"), "components")
 
     named = nodes.select("node", "first_id", "copies").join(parts, "node", "left")
