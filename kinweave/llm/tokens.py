@@ -46,7 +46,7 @@ from .units import REMEMBERED
 END_ID = 2
 
 #: Characters encoded together: bounds the work arrays.
-ENCODED_CHARS = 1 << 24
+ENCODED_CHARS = 1 << 22
 _INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("offset", "<i8"), ("tokens", "<i8"), ("start", "<i8")])
 _MANIFEST = "part int, file string, index string, width int, records long, tokens long"
 
