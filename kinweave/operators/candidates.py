@@ -7,13 +7,14 @@ holds more than two pieces, however large the block is. Nothing is dropped or ca
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, stage
-from .ordering import dense_positions
+from .ordering import add_row_id, dense_positions
 from .skew import left_join_unique
 
 TILE_ROWS = 10_000
@@ -240,15 +241,10 @@ def rows_for_pairs(max_pairs: int) -> int:
 
 
 def _sample_rows(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """The ``n`` rows whose keyed digest is smallest, numbered from 0; ``n`` is bounded by the pair cap."""
+    """The ``n`` rows whose keyed digest is smallest, numbered from 0 without a window over one task."""
     digest = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
     picked = df.withColumn("_digest", digest).orderBy("_digest", id_col).limit(n)
-    return stage(
-        picked.withColumn(
-            "_pos", (F.row_number().over(Window.orderBy("_digest", id_col)) - 1).cast("long")
-        ).drop("_digest"),
-        "sample",
-    )
+    return add_row_id(picked, ["_digest", id_col], 0, "_pos").drop("_digest")
 
 
 def sample_pairs(
@@ -280,9 +276,11 @@ def sample_pairs(
         left = right = rows
     else:
         na, nb = df.count(), other.count()
-        share = min(1.0, (max_pairs / max(na * nb, 1)) ** 0.5)
-        left = _sample_rows(df.select(*cols), id_col, max(1, int(na * share)), seed)
-        right = _sample_rows(other.select(*cols), id_col, max(1, int(nb * share)), seed)
+        # the smaller side keeps up to the square root of the bound, the other fills what is left
+        small = min(na, nb, math.isqrt(max_pairs))
+        large = min(max(na, nb), max_pairs // max(small, 1))
+        left = _sample_rows(df.select(*cols), id_col, small if na <= nb else large, seed)
+        right = _sample_rows(other.select(*cols), id_col, large if na <= nb else small, seed)
         n = right.count()
         numbers = spark.range(left.count() * n).select(
             F.floor(p / n).cast("long").alias("_pos_l"), (p % n).alias("_pos_r")
@@ -294,18 +292,14 @@ def sample_pairs(
     return low_id_left(pairs, cols, id_col) if other is None else pairs
 
 
-def all_pairs(
-    df: DataFrame, id_col: str, max_pairs: int = 1_000_000, keep: list[str] | None = None
-) -> DataFrame:
-    """Every pair of a small table, from generated pair numbers; raises above ``max_pairs``.
+def all_pairs(df: DataFrame, id_col: str, keep: list[str] | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Every pair of a table, lower id left: one block of all rows, cut into tiles.
 
-    Comparing everything with everything is only offered within this bound: the jobs that need it on
-    large tables use the exact joins of ``fuzzyjoin`` or blocking rules instead.
+    Its size is the square of the table's by definition; jobs use exact joins or blocking rules instead.
     """
-    n = df.limit(rows_for_pairs(max_pairs) + 1).count()
-    if n * (n - 1) // 2 > max_pairs:
-        raise ValueError(f"more than {max_pairs} pairs: use blocking rules or a similarity join")
-    return sample_pairs(df, id_col, max_pairs, keep=keep)
+    cols = list(dict.fromkeys([id_col, *(keep or [])]))
+    rows = df.select(*cols).withColumn("_all", F.lit(1))
+    return join_block(rows, rows, ["_all"], id_col, True, tile_rows).drop("_all_l", "_all_r")
 
 
 def attach_records(

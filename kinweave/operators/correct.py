@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import edit_ratio, digit_tokens
 from ..session import broadcast_if_small, is_small, stage
 from .candidates import sorted_neighbourhood
 from .cluster import connected_components
 from .fuzzyjoin import cosine_join, edit_join
+from .ordering import dense_positions
 from .skew import left_join_unique
 
 NOTHING_FOUND = "Nothing Found"  # fixed value
@@ -61,12 +63,10 @@ def suggest_by_embedding(
 ) -> DataFrame:
     """Nearest reference entry by cosine, or a fixed text where none reaches ``threshold``."""
     near = cosine_join(unknown, ref, vec, id_col, threshold)
-    best = near.groupBy(f"{id_col}_l").agg(
-        F.max(F.struct("cosine", (-F.col(f"{id_col}_r")).alias("neg"))).alias("b")
-    )
-    best = best.select(
-        F.col(f"{id_col}_l").alias(id_col), F.col("b.cosine").alias("cosine"), (-F.col("b.neg")).alias("_ref")
-    )
+    # the best entry, the least id among equally good ones; ids may be of any type that can be ordered
+    order = F.struct((-F.col("cosine")).alias("less"), F.col(f"{id_col}_r").alias("ref"), "cosine")
+    best = near.groupBy(F.col(f"{id_col}_l").alias(id_col)).agg(F.min(order).alias("b"))
+    best = best.select(id_col, F.col("b.cosine").alias("cosine"), F.col("b.ref").alias("_ref"))
     named = best.join(ref.select(F.col(id_col).alias("_ref"), F.col(name).alias("suggested")), "_ref").drop("_ref")
     return unknown.select(id_col).join(named, id_col, "left").withColumn(
         "suggested", F.coalesce("suggested", F.lit(NOTHING_FOUND))
@@ -117,14 +117,15 @@ def replace_tokens(df: DataFrame, mapping: DataFrame, col: str, id_col: str, fol
 
     A mapping shown to be small becomes one map value next to each row, with no shuffle. A large one
     is joined to the distinct tokens of each row, and rows get their own few replacements back.
-    ``fold`` looks tokens up in lower case.
+    ``fold`` looks tokens up in lower case. A token given several replacements takes the first in text order.
     """
 
     def look(token: Column) -> Column:
         return F.lower(token) if fold else token
 
     tokens = F.split(F.col(col), " ")
-    mapping = mapping.select("token", "replacement").dropna().dropDuplicates(["token"])
+    mapping = mapping.select("token", "replacement").dropna()
+    mapping = stage(mapping.groupBy("token").agg(F.min("replacement").alias("replacement")), "mapping")
     if is_small(mapping):
         # a single value, behind the size check
         entries = F.collect_list(F.struct("token", "replacement"))
@@ -211,13 +212,23 @@ def cluster_addresses(
 ) -> DataFrame:
     """Group number per address: same numbers in the text and cosine at least ``threshold``; 0 = none.
 
-    Equal numbers are an equality key of the join; groups are connected components named by their
-    lowest id plus one.
+    Equal numbers are an equality key of the join, as a digest that is checked on the joined rows. Groups are
+    connected components, named by their least id plus one, or, where ids are not whole numbers, numbered from 1 in the
+    order of their least ids. A missing text or id has no group.
     """
-    # a fixed-width digest of the numbers is the block key
-    keyed = df.select(id_col, vec, F.xxhash64(F.array_join(digit_tokens(F.col(text)), " ")).alias("_numbers"))
-    near = cosine_join(keyed, keyed, vec, id_col, threshold, ["_numbers"], same=True)
-    found = connected_components(near, f"{id_col}_l", f"{id_col}_r")
-    joined = df.join(found, df[id_col] == found["node"], "left")
-    group = F.coalesce(found["component"] + 1, F.lit(0).cast("long"))
-    return joined.select(*[df[c] for c in df.columns], group.alias("group_id"))
+    numbers = F.array_join(digit_tokens(F.col(text)), " ")
+    keyed = df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull())
+    keyed = keyed.select(id_col, vec, F.xxhash64(numbers).alias("_numbers"), numbers.alias("_text"))
+    near = cosine_join(keyed.drop("_text"), keyed.drop("_text"), vec, id_col, threshold, ["_numbers"], same=True)
+    own = keyed.select(id_col, "_text")
+    for side in ("l", "r"):
+        near = near.join(own.withColumnsRenamed({c: f"{c}_{side}" for c in own.columns}), f"{id_col}_{side}")
+    near = near.where("_text_l = _text_r")
+    found = stage(connected_components(near, f"{id_col}_l", f"{id_col}_r"), "components")
+    if isinstance(df.schema[id_col].dataType, T.IntegralType):
+        numbered = found.withColumn("group_id", F.col("component") + 1)
+    else:
+        numbered = found.join(dense_positions(found, "component", "group_id"), "component")
+    groups = numbered.select(F.col("node").alias(id_col), F.col("group_id").cast("long").alias("group_id"))
+    joined = left_join_unique(df, groups, [id_col])
+    return joined.select(*df.columns, F.coalesce("group_id", F.lit(0).cast("long")).alias("group_id"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .candidates import canonical_pairs
 from .ordering import add_row_id, running_totals
+from .skew import left_join_unique
 
 
 def label_pairs(pairs: DataFrame, truth: DataFrame, left: str, right: str, out: str = "label") -> DataFrame:
@@ -47,9 +49,10 @@ def truth_table(
     yes = F.sum(F.when(F.col(label) == 1, each).otherwise(0)).cast("long")
     no = F.sum(F.when(F.col(label) == 1, 0).otherwise(each)).cast("long")
     per_score = scored.groupBy(F.col(score).alias("threshold")).agg(yes.alias("_p"), no.alias("_n"))
+    per_score = stage(per_score, "per-score")
     summed = running_totals(per_score, "threshold", {"tp": "_p", "fp": "_n"}, descending=True)
-    all_yes = (scored.agg(yes) if missed is None else missed.select("true_pairs")).scalar()
-    all_no = scored.agg(no).scalar()
+    all_yes = (per_score.agg(F.sum("_p")) if missed is None else missed.select("true_pairs")).scalar()
+    all_no = per_score.agg(F.sum("_n")).scalar()
     return summed.select(
         "threshold",
         "tp",
@@ -88,13 +91,13 @@ def stratified_split(
     """Marks ``test_share`` of the rows of each label (nearest count) in a keyed digest order.
 
     Positions come from one range-partitioned sort by (label, digest), so a label of any size is
-    spread over all partitions.
+    spread over all partitions. Rows without a label stay, with a missing mark.
     """
     digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
     placed = add_row_id(df.withColumn("_digest", digest), [label, "_digest", *keys], 1, "_pos")
-    sizes = placed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
-    # one row per label value
-    joined = placed.join(F.broadcast(sizes), label)
+    sizes = placed.where(F.col(label).isNotNull()).groupBy(label)
+    sizes = sizes.agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    joined = left_join_unique(placed, sizes, [label])
     rank = F.col("_pos") - F.col("_first") + 1
     test = rank <= F.floor(F.col("_n") * test_share + 0.5)
     return joined.select(*df.columns, test.cast("int").alias(out))
@@ -104,14 +107,18 @@ def accuracy(df: DataFrame, label: str = "label", predict: str = "predict") -> D
     return df.agg(F.avg((F.col(label) == F.col(predict)).cast("int")).alias("accuracy"))
 
 
-def confusion_matrix(df: DataFrame, label: str = "label", predict: str = "predict") -> DataFrame:
-    """One row per actual class, one column per predicted class (0 and 1)."""
-    table = df.groupBy(F.col(label).alias("actual")).pivot(predict, [0, 1]).agg(F.count(F.lit(1)))
-    return table.select(
-        "actual",
-        F.coalesce("0", F.lit(0)).alias("predicted_0"),
-        F.coalesce("1", F.lit(0)).alias("predicted_1"),
-    )
+def confusion_matrix(
+    df: DataFrame, label: str = "label", predict: str = "predict", classes: list | None = None
+) -> DataFrame:
+    """One row per actual class, one column ``predicted_<class>`` per predicted class.
+
+    Classes are those stated, or 0, 1 and whatever else is predicted (a handful of values).
+    """
+    if classes is None:
+        found = df.select(predict).distinct().where(F.col(predict).isNotNull())
+        classes = sorted({0, 1, *(r[0] for r in found.collect())}, key=lambda v: (isinstance(v, str), v))
+    hits = [F.count(F.when(F.col(predict) == F.lit(v), 1)).alias(f"predicted_{v}") for v in classes]
+    return df.groupBy(F.col(label).alias("actual")).agg(*hits)
 
 
 def classification_report(df: DataFrame, label: str = "label", predict: str = "predict") -> DataFrame:

@@ -3,8 +3,9 @@
 A pair that agrees on a blocking rule only is worth a known weight. If that is below what the
 threshold asks for, the pair must also agree, exactly or closely, on at least one of a few further
 fields. So a large block is joined once per such field on (block key, field value), where a record is
-copied to the values close to its own. Close values are found among the distinct values of the
-field. No pair that reaches the threshold is lost, and nothing is capped.
+copied to the values close to its own. Close values are sought among the distinct values of one
+block, so at most the pairs of a tiled block are compared. No pair that reaches the threshold is
+lost, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -16,12 +17,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import jaro_needed
-from ..session import broadcast_if_small, stage
+from ..functions.similarity import length_allows
+from ..session import stage
 from .candidates import TILE_ROWS, Rule, join_block, large_keys, same_on
 from .compare import Comparison, add_gammas
-from .fuzzyjoin import edit_join
-from .skew import left_join_unique
 
 
 @dataclass(frozen=True)
@@ -43,24 +42,24 @@ class Evidence:
 
 
 def plan_evidence(
-    comparisons: list[Comparison], rule: Rule, needed: float, extra: dict[str, float]
+    comparisons: list[Comparison], rule: Rule, needed: float, extra: dict[str, list[float]]
 ) -> list[Evidence] | None:
     """Fields of which at least one must speak for a match, for a pair of this block to gain ``needed``.
 
-    ``extra`` bounds each field's term-frequency weight. Fields are left out, the least telling first,
+    ``extra`` bounds the term-frequency weight of each level of a field. Fields are left out, the least telling first,
     as long as all the left-out ones together cannot make up ``needed``. None if the block key alone
     suffices, or if a field that cannot be joined on would have to be used.
     """
     sure = 0.0
     choices = []
     for c in comparisons:
-        w = [math.log2(l.m / l.u) for l in c.scored]
-        top = w[0] + extra.get(c.name, 0.0)
+        more = extra.get(c.name) or [0.0] * len(c.scored)
+        w = [math.log2(l.m / l.u) + x for l, x in zip(c.scored, more, strict=True)]
         if c.column in rule:
-            sure += top
+            sure += w[0]
             continue
         n = len(w)
-        levels = {n - 1: top, **{n - 1 - i: v for i, v in enumerate(w) if i > 0}}
+        levels = {n - 1 - i: v for i, v in enumerate(w)}
         good = frozenset(g for g, v in levels.items() if v > 0)
         if not good:
             continue
@@ -83,54 +82,32 @@ def plan_evidence(
     return kept
 
 
-def _characters(col: Column) -> Column:
-    """Each character with its running number among equal ones: a multiset written as a set."""
-    chars = F.transform(F.sequence(F.lit(1), F.length(col)), lambda i: F.substr(col, i, F.lit(1)))
-    return F.transform(
-        chars,
-        lambda c, i: F.concat(
-            c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")
-        ),
-    )
+def close_values(values: DataFrame, keys: list[str], e: Evidence, tile_rows: int = TILE_ROWS) -> DataFrame | None:
+    """(keys, v_l, v_r): pairs of different values of one block at one of the evidence levels, both ways.
 
-
-def similar_words(values: DataFrame, cut: float, tile_rows: int) -> DataFrame:
-    """Candidate pairs (v_l, v_r) of distinct texts that may reach a Jaro-Winkler of ``cut``.
-
-    Jaro j needs common characters: of a text of length n at least n·(3j - 2). By the prefix
-    principle two such texts share one of their rarest n - that + 1 characters.
+    ``values`` holds the distinct (keys, v). Each unordered pair of a block is compared once, in tiles;
+    lengths rule out what they can before a similarity is measured.
     """
-    share = max(3 * jaro_needed(cut) - 2, 0.0)
-    each = values.where(F.length("v") > 0).select("v", F.explode(_characters(F.col("v"))).alias("t"))
-    counts = each.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    ranked = each.join(broadcast_if_small(stage(counts, "characters")), "t")
-    ordered = ranked.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("all"))
-    size = F.size("all")
-    common = F.greatest(F.lit(1), F.ceil(size * share - 1e-9).cast("int"))
-    keys = ordered.select(
-        "v", size.alias("n"), F.xxhash64("v").alias("id"), F.explode(F.slice("all", F.lit(1), size - common + 1)).alias("k")
-    ).select("v", "n", "id", F.col("k.t").alias("t"))
-    keys = stage(keys, "prefixes")
-    pairs = join_block(keys, keys, ["t"], "id", False, tile_rows)
-    ratio = F.least("n_l", "n_r") / F.greatest("n_l", "n_r")
-    return pairs.where((F.col("v_l") != F.col("v_r")) & (ratio >= share - 1e-9)).select("v_l", "v_r").distinct()
-
-
-def close_values(values: DataFrame, e: Evidence, tile_rows: int = TILE_ROWS) -> DataFrame | None:
-    """(v, close): for each distinct value the other values at one of the evidence levels."""
     level = e.loosest()
     if level is None:
         return None
-    if level.metric == "levenshtein":
-        keyed = values.withColumn("id", F.xxhash64("v"))
-        pairs = edit_join(keyed, keyed, "v", "id", int(level.cut), tile_rows).where("v_l <> v_r")
-    else:
-        pairs = similar_words(values, level.cut, tile_rows)
+    pairs = value_pairs(values, keys, level, tile_rows)
     c = e.comparison
-    named = pairs.select(F.col("v_l").alias(f"{c.column}_l"), F.col("v_r").alias(f"{c.column}_r"))
-    judged = add_gammas(named, [c]).where(F.col(f"gamma_{c.name}").isin(*e.gammas))
-    found = judged.groupBy(F.col(f"{c.column}_l").alias("v")).agg(F.collect_set(f"{c.column}_r").alias("close"))
-    return stage(found, "close")
+    on = [f"{k}_l" for k in keys]
+    named = pairs.select(*on, F.col("v_l").alias(f"{c.column}_l"), F.col("v_r").alias(f"{c.column}_r"))
+    judged = add_gammas(named.withColumnsRenamed({k: f"_key_{k}" for k in on}), [c])
+    judged = judged.where(F.col(f"gamma_{c.name}").isin(*e.gammas))
+    back = [F.col(f"_key_{k}_l").alias(k) for k in keys]
+    one = judged.select(*back, F.col(f"{c.column}_l").alias("v_l"), F.col(f"{c.column}_r").alias("v_r"))
+    return stage(one.unionAll(one.select(*keys, F.col("v_r"), F.col("v_l"))), "close")
+
+
+def value_pairs(values: DataFrame, keys: list[str], level, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Unordered pairs of different values of a block whose lengths allow the level."""
+    pairs = join_block(values, values, keys, "v", True, tile_rows)
+    if level.metric == "levenshtein":
+        return pairs.where(F.abs(F.length("v_l") - F.length("v_r")) <= int(level.cut))
+    return pairs.where(length_allows(F.col("v_l"), F.col("v_r"), level.cut))
 
 
 def _by_evidence(
@@ -138,20 +115,17 @@ def _by_evidence(
 ) -> DataFrame:
     """Pairs of a large block that agree on one field at an evidence level."""
     col = e.comparison.column
-    values = l.select(F.col(col).alias("v"))
+    values = l.select(*keys, F.col(col).alias("v"))
     if not same:
-        values = values.unionAll(r.select(F.col(col).alias("v")))
+        values = values.unionAll(r.select(*keys, F.col(col).alias("v")))
     values = stage(values.where(F.col("v").isNotNull()).distinct(), "values")
-    near = close_values(values, e)
-    own = F.array(F.col(col)) if e.exact else F.array().cast("array<string>")
+    near = close_values(values, keys, e, tile_rows)
     left = l.where(F.col(col).isNotNull())
-    if near is None:
-        left = left.withColumn("_value", F.explode(own))
-    else:
-        lookup = near.withColumnRenamed("v", col)
-        left = left_join_unique(left, lookup, [col])
-        reach = F.concat(own, F.coalesce("close", F.array().cast("array<string>")))
-        left = left.withColumn("_value", F.explode(reach)).drop("close")
+    ways = [left.withColumn("_value", F.col(col))] if e.exact else []
+    if near is not None:
+        lookup = near.withColumnsRenamed({"v_l": col, "v_r": "_value"})
+        ways.append(left.join(lookup, [*keys, col]).select(*left.columns, "_value"))
+    left = reduce(DataFrame.unionAll, ways)
     right = r.withColumn("_value", F.col(col))
     pairs = join_block(left, right, [*keys, "_value"], id_col, False, tile_rows).drop("_value_l", "_value_r")
     return pairs.where(F.col(f"{id_col}_l") < F.col(f"{id_col}_r")) if same else pairs
@@ -199,15 +173,19 @@ def reaching_pairs(
     return reduce(DataFrame.unionAll, parts), repeated
 
 
-def _extra_weights(rows: DataFrame, comparisons: list[Comparison]) -> dict[str, float]:
-    """Largest term-frequency weight each field can add: that of its rarest value in these blocks."""
+def _extra_weights(rows: DataFrame, comparisons: list[Comparison]) -> dict[str, list[float]]:
+    """Largest term-frequency weight of each level of each field: that of the rarest value in these blocks."""
     cols = list(dict.fromkeys(t for c in comparisons for t in c.tf_columns))
     if not cols:
         return {}
-    least = rows.agg(*[F.min(f"tf_{t}").alias(t) for t in cols]).first()
-    out = {}
-    for c in comparisons:
-        top = c.scored[0]
-        if top.tf_column and least[top.tf_column]:
-            out[c.name] = max(0.0, top.tf_weight * math.log2(top.u / least[top.tf_column]))
-    return out
+    seen = rows.agg(*[f(f"tf_{t}").alias(f"{n}_{t}") for t in cols for n, f in (("min", F.min), ("max", F.max))]).first()
+
+    def bound(level) -> float:
+        least, most = (seen[f"{n}_{level.tf_column}"] if level.tf_column else None for n in ("min", "max"))
+        if not least:
+            return 0.0
+        # a missing frequency adds nothing, so 0 is always in reach; a negative weight gains by frequent values
+        rarest = least if level.tf_weight >= 0 else most
+        return max(0.0, level.tf_weight * math.log2(level.u / rarest))
+
+    return {c.name: [bound(level) for level in c.scored] for c in comparisons}

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
+from ..session import stage
 from .candidates import join_block
 from .skew import left_join_unique
 
@@ -28,23 +30,52 @@ def _cell(lat: Column, lon: Column, side: float) -> list[Column]:
     return [F.floor(v / side).cast("int") for v in (x, y, F.sin(F.radians(lat)))]
 
 
+#: The search for the nearest place widens from the first radius by this factor until every point has one.
+WIDER = 4
+_HALF_ROUND_KM = 20_016.0  # no two points of the earth are further apart
+
+
 def nearest_place(
     df: DataFrame,
     gazetteer: DataFrame,
-    radius_km: float,
+    radius_km: float | None,
     fields: list[str],
     lat: str = "latitude",
     lon: str = "longitude",
     place_id: str = "place_id",
 ) -> DataFrame:
-    """Nearest gazetteer entry within ``radius_km`` per distinct coordinate, with its ``fields``.
+    """Nearest gazetteer entry per distinct coordinate, with its ``fields``; with ``radius_km`` only within it.
+
+    Without a radius, points that have no entry within 25 km are sought again in wider and wider circles; each
+    round takes only the points still without one, so a wide circle is searched for few of them.
+    """
+    where = df.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).dropna().distinct()
+    if radius_km is not None:
+        return _within(where, gazetteer, radius_km, fields, lat, lon, place_id)
+    open_points, found, radius = stage(where, "points"), [], 25.0
+    known = gazetteer.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    if known.isEmpty():
+        return _within(open_points, gazetteer, radius, fields, lat, lon, place_id)
+    while True:
+        radius = min(radius, _HALF_ROUND_KM)
+        found.append(stage(_within(open_points, known, radius, fields, lat, lon, place_id), "places"))
+        met = found[-1].select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
+        open_points = stage(open_points.join(met, ["_lat", "_lon"], "left_anti"), "points")
+        if radius >= _HALF_ROUND_KM or open_points.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+        radius *= WIDER
+
+
+def _within(
+    where: DataFrame, gazetteer: DataFrame, radius_km: float, fields: list[str], lat: str, lon: str, place_id: str
+) -> DataFrame:
+    """Nearest entry within ``radius_km`` of each distinct point.
 
     A grid with cells as wide as the radius puts every entry within reach into the same or a touching
     cell, so entries are copied to those 27 cells and coordinates are joined by their one cell.
     Each distinct coordinate is looked up once, however many records share it.
     """
-    side = 2 * math.sin(radius_km / (2 * EARTH_KM))
-    where = df.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).dropna().distinct()
+    side = 2 * math.sin(min(radius_km / (2 * EARTH_KM), math.pi / 2)) + 1e-12
     where = where.withColumn("id", F.xxhash64("_lat", "_lon"))
     points = where.withColumn("_cell", F.concat_ws("/", *_cell(F.col("_lat"), F.col("_lon"), side)))
     places = gazetteer.select(
@@ -62,12 +93,12 @@ def nearest_place(
 
 
 def reverse_geocode_fix(
-    df: DataFrame, gazetteer: DataFrame, fields: dict[str, str], radius_km: float = 25.0, lat: str = "latitude", lon: str = "longitude"
+    df: DataFrame, gazetteer: DataFrame, fields: dict[str, str], radius_km: float | None = None, lat: str = "latitude", lon: str = "longitude"
 ) -> DataFrame:
     """Overwrite address columns by the nearest place's value where it has one.
 
     ``fields`` maps record columns to gazetteer columns, e.g. ``{"zip": "postcode"}``. Rows without
-    coordinates, or with no place within the radius, stay as they are.
+    coordinates (or, with a radius, with no place within it) stay as they are.
     """
     place = nearest_place(df, gazetteer, radius_km, list(dict.fromkeys(fields.values())), lat, lon)
     joined = left_join_unique(df, place, [lat, lon])
@@ -89,9 +120,9 @@ GEO_FIELDS = {
 
 
 def attach_place_name(
-    df: DataFrame, gazetteer: DataFrame, radius_km: float = 25.0, lat: str = "latitude", lon: str = "longitude", out: str = "display_name"
+    df: DataFrame, gazetteer: DataFrame, radius_km: float | None = None, lat: str = "latitude", lon: str = "longitude", out: str = "display_name"
 ) -> DataFrame:
-    """The nearest place's display name, null where none is in reach."""
+    """The nearest place's display name, null without coordinates (or with none within a radius)."""
     place = nearest_place(df, gazetteer, radius_km, ["display_name"], lat, lon)
     joined = left_join_unique(df, place, [lat, lon])
     return joined.select(*df.columns, F.col("_place.display_name").alias(out))

@@ -372,25 +372,24 @@ def _tf_weight(c: Comparison) -> Column | None:
     return None if out is None else out.otherwise(F.lit(0.0))
 
 
-def _top_extra(c: Comparison) -> Column:
-    """Term-frequency weight of full agreement, from the records alone."""
-    top = c.scored[0]
-    if not top.tf_column:
+def _level_extra(level) -> Column:
+    """Term-frequency weight of a level, from the records alone."""
+    if not level.tf_column:
         return F.lit(0.0)
-    tf = F.greatest(F.col(f"tf_{top.tf_column}_l"), F.col(f"tf_{top.tf_column}_r"))
-    return F.coalesce(F.lit(top.tf_weight) * F.log2(F.lit(top.u) / tf), F.lit(0.0))
+    tf = F.greatest(F.col(f"tf_{level.tf_column}_l"), F.col(f"tf_{level.tf_column}_r"))
+    return F.coalesce(F.lit(level.tf_weight) * F.log2(F.lit(level.u) / tf), F.lit(0.0))
 
 
 def _best_weight(c: Comparison) -> Column:
     """Most weight the pair can get from a similarity comparison, without measuring the similarity."""
     a, b = F.col(f"{c.column}_l"), F.col(f"{c.column}_r")
-    w = [math.log2(l.m / l.u) for l in c.scored]
+    w = [F.lit(math.log2(l.m / l.u)) + _level_extra(l) for l in c.scored]
     cuts = [l.cut for l in c.scored if l.metric == "jaro_winkler"]
     return (
         F.when(a.isNull() | b.isNull(), F.lit(0.0))
-        .when(a == b, F.lit(w[0]) + _top_extra(c))
-        .when(length_allows(a, b, min(cuts)), F.lit(max(w[1:])))
-        .otherwise(F.lit(w[-1]))
+        .when(a == b, w[0])
+        .when(length_allows(a, b, min(cuts)), F.greatest(*w[1:]))
+        .otherwise(w[-1])
     )
 
 

@@ -40,7 +40,7 @@ suggestions AS (
 def _addresses(spark, d) -> DataFrame:
     nation = F.broadcast(table(spark, d, "nation"))  # 25 rows at every scale
     rows = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    city = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.left("n_name", F.lit(3)), F.substring("n_name", 5, 99)))
+    city = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.left("n_name", F.lit(3)), F.expr("substring(n_name, 5)")))
     state = F.when(
         F.col("c_custkey") % 11 == 0, F.left("c_mktsegment", F.length("c_mktsegment") - 1)
     )
@@ -143,7 +143,7 @@ def expand_abbreviations(spark, d):
 # the vocabulary: cleaned words of the documents, with the number of documents using them
 _WORDS = f"""
 doc_words AS (SELECT doc_id, unnest(list_distinct(string_split({clean_sql('text')}, ' '))) AS word FROM documents),
-vocabulary AS (SELECT word, count(*) AS frequency FROM doc_words WHERE word <> '' GROUP BY 1 HAVING count(*) >= 20),
+vocabulary AS (SELECT word, count(*) AS frequency FROM doc_words WHERE word <> '' GROUP BY 1),
 lines AS (SELECT item_id, {clean_sql('text')} AS text FROM benchmark),
 tokens AS (SELECT DISTINCT w AS token FROM (SELECT unnest(string_split(text, ' ')) AS w FROM lines) WHERE length(w) > 3),
 candidates AS (
@@ -160,8 +160,7 @@ def _vocabulary(spark, d) -> DataFrame:
     words = table(spark, d, "documents").select(
         F.explode(F.array_distinct(F.split(text.clean(F.col("text")), " "))).alias("word")
     )
-    counted = words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
-    return counted.where("frequency >= 20")
+    return words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def _lines(spark, d) -> DataFrame:

@@ -9,6 +9,7 @@ from functools import cached_property, partial, reduce
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.privacy import encrypt_columns
 from ..functions.text import clean_strings, mask_tail
@@ -116,8 +117,17 @@ def cluster_records(
     return joined.select(*records.columns, F.coalesce("_cluster", ID).alias("cluster_id"))
 
 
-def labelled_truth(df: DataFrame, model: m.Model, label: str = LABEL_COLUMN, other: DataFrame | None = None) -> DataFrame:
-    """Truth table of the model against a label column, counting copies without pairing them."""
+def labelled_truth(
+    df: DataFrame,
+    model: m.Model,
+    label: str = LABEL_COLUMN,
+    other: DataFrame | None = None,
+    digits: int | None = None,
+) -> DataFrame:
+    """Truth table of the model against a label column, counting copies without pairing them.
+
+    Every distinct weight is a threshold; ``digits`` rounds weights first, for a shorter table.
+    """
     cols = list(dict.fromkeys([*model.columns, label]))
     left = stage(profiles_of(df, cols, ID), "profiles")
     left = compare.with_term_frequencies(left, model.tf_columns, df)
@@ -129,7 +139,7 @@ def labelled_truth(df: DataFrame, model: m.Model, label: str = LABEL_COLUMN, oth
     else:
         right = None
     same = F.coalesce(F.col(f"{label}_l") == F.col(f"{label}_r"), F.lit(False)).cast("int")
-    score = F.round("match_weight", 3).alias("match_weight")
+    score = F.col("match_weight") if digits is None else F.round("match_weight", digits).alias("match_weight")
     scored = m.predict(left, model, ID, right, carry=[label, "copies"]).select(
         score, same.alias("label"), (F.col("copies_l") * F.col("copies_r")).alias("pairs")
     )
@@ -156,6 +166,8 @@ class JobResult:
     model: m.Model
     missingness: DataFrame | None = None
     profile: DataFrame | None = None
+    other_missingness: DataFrame | None = None
+    other_profile: DataFrame | None = None
     measure: Callable[[], DataFrame] | None = None
 
     @cached_property
@@ -173,21 +185,42 @@ class JobResult:
 def _load(spark: SparkSession, job: LinkJob) -> list[DataFrame]:
     if job.source == "jdbc":
         return [read_jdbc(spark, table=t, **job.jdbc) for t in job.paths]
-    return [read_table(spark, p, None if job.source == "auto" else job.source) for p in job.paths]
+    fmt = None if job.source == "auto" else job.source
+    schema = None
+    if job.json_orient == "columns":  # column-oriented files need their columns named
+        schema = T.StructType([*PRESETS[job.dataset], T.StructField(LABEL_COLUMN, T.StringType())])
+    found = [
+        read_table(spark, p, fmt, schema, json_orient=job.json_orient, multiline=job.multiline) for p in job.paths
+    ]
+    if schema is None:
+        return found
+    # a named column that no row holds is not a column of the file
+    return [t.drop(LABEL_COLUMN) if t.where(F.col(LABEL_COLUMN).isNotNull()).isEmpty() else t for t in found]
 
 
 def _prepared(df: DataFrame, job: LinkJob, gazetteer: DataFrame | None, start: int) -> DataFrame:
-    """Known columns as text, optional place correction, cleaning, and a row id."""
-    preset = PRESETS[job.dataset]
-    wanted = [f for f in preset if f.name in df.columns]
-    label = [F.col(LABEL_COLUMN).cast("string").alias(LABEL_COLUMN)] if has_labels(df) else []
-    df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted], *label)
-    if job.geocoding and gazetteer is not None and {"latitude", "longitude"} <= set(df.columns):
+    """Preset columns in their types, optional place correction, cleaning, and a row id.
+
+    Columns outside the preset stay as they are.
+    """
+    preset = {f.name: f for f in PRESETS[job.dataset]}
+    if ID in df.columns:
+        raise ValueError(f"the job names its records in {ID}: rename that column")
+    typed = {f.name: F.col(f.name).cast(f.dataType) for f in preset.values() if f.name in df.columns}
+    if has_labels(df):
+        typed[LABEL_COLUMN] = F.col(LABEL_COLUMN).cast("string")
+    df = df.withColumns(typed)
+    if job.geocoding:
+        if gazetteer is None or not {"latitude", "longitude"} <= set(df.columns):
+            raise ValueError("geocoding needs a gazetteer, and latitude and longitude in the table")
         fields = {c: g for c, g in geo.GEO_FIELDS[job.dataset].items() if c in df.columns}
         df = geo.reverse_geocode_fix(df, gazetteer, fields)
-    df = clean_strings(df, skip=("latitude", "longitude", "rec_id", LABEL_COLUMN))
+    others = [c for c in df.columns if c not in preset]
+    df = clean_strings(df, skip=("latitude", "longitude", "rec_id", *others))
     if "rec_id" in df.columns:
-        return stage(add_row_id(df, ["rec_id"], start, ID), "records")
+        # repeated or missing record ids are told apart by the other columns
+        order = ["rec_id", *[c for c in df.columns if c in preset and c != "rec_id"]]
+        return stage(add_row_id(df, order, start, ID), "records")
     # no natural key: ids follow the order of the rows in a table written once, so equal rows spread too
     lines = stage(df, "lines").withColumn("_line", F.monotonically_increasing_id())
     return stage(add_row_id(lines, ["_line"], start, ID).drop("_line"), "records")
@@ -221,11 +254,12 @@ def run_job(
         _complete(chosen.model, t)
     df, other = tables[0], tables[1] if len(tables) == 2 else None
 
-    shares = profile = None
-    if job.profile:
-        cols = [c for c in df.columns if c != ID]
-        hidden = mask_tail(df.select(*cols))
-        shares, profile = profiling.missingness(hidden), profiling.profile_columns(hidden, cols)
+    views = []
+    for t in tables if job.profile else []:
+        cols = [c for c in t.columns if c != ID]
+        hidden = mask_tail(t.select(*cols))
+        views += [profiling.missingness(hidden), profiling.profile_columns(hidden, cols)]
+    views += [None] * (4 - len(views))
 
     model = train(chosen, df, ID, other)
     threshold = job.cluster_threshold if job_model is None else chosen.threshold
@@ -237,8 +271,8 @@ def run_job(
     if all(has_labels(t) for t in tables):
         measure = partial(labelled_truth, df, model, LABEL_COLUMN, other)
     if key is not None:
-        clusters = encrypt_columns(clusters, ENCRYPTED[job.dataset], key)
-    return JobResult(clusters, model, shares, profile, measure)
+        clusters = encrypt_columns(clusters, [c for c in ENCRYPTED[job.dataset] if c in clusters.columns], key)
+    return JobResult(clusters, model, *views, measure)
 
 
 # ---- address and provider jobs ------------------------------------------------------------------

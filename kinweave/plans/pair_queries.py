@@ -163,6 +163,24 @@ def deterministic_link(spark, d):
     return candidates.deterministic_link(_part(spark, d), _EXACT, "id")
 
 
+@query(
+    "sample_pairs_link",
+    "WITH n AS (SELECT (SELECT count(*) FROM supplier) AS a, (SELECT count(*) FROM customer) AS b), "
+    "k AS (SELECT least(a, b, 44) AS small, a <= b AS first FROM n), "
+    "w AS (SELECT small, first, least(greatest(a, b), 2000 // greatest(small, 1)) AS large FROM k, n), "
+    "l AS (SELECT s_suppkey AS key FROM supplier ORDER BY md5(CAST(s_suppkey AS VARCHAR) || '|7'), key "
+    "LIMIT (SELECT CASE WHEN first THEN small ELSE large END FROM w)), "
+    "r AS (SELECT c_custkey AS key FROM customer ORDER BY md5(CAST(c_custkey AS VARCHAR) || '|7'), key "
+    "LIMIT (SELECT CASE WHEN first THEN large ELSE small END FROM w)) "
+    "SELECT l.key AS key_l, r.key AS key_r FROM l, r",
+)
+def sample_pairs_link(spark, d):
+    """Two tables of unlike size; the sample is all pairs of a few rows of one and many of the other."""
+    left = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"))
+    right = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    return candidates.sample_pairs(left, "key", 2_000, seed=7, other=right)
+
+
 @query(
     "sample_pairs",
     "WITH s AS (SELECT c_custkey FROM customer ORDER BY md5(CAST(c_custkey AS VARCHAR) || '|7'), c_custkey LIMIT 141) "
@@ -366,6 +384,26 @@ def predict_large_blocks(spark, d):
     return _rounded(m.predict(_part(spark, d), _WIDE, "id", threshold=0.7, tile_rows=16))
 
 
+def _on_level(c: compare.Comparison, at: int) -> compare.Comparison:
+    """The term-frequency weight on level ``at`` instead of the exact one, as stored models may have it."""
+    moved = [replace(x, tf_column=c.column if k == at else None) for k, x in enumerate(c.levels)]
+    return replace(c, levels=tuple(moved))
+
+
+_TF_LEVELS = replace(
+    _WIDE, comparisons=(_on_level(MODEL.comparisons[0], 2), _on_level(MODEL.comparisons[1], 3), *MODEL.comparisons[2:])
+)
+
+
+@query(
+    "predict_threshold_tf_levels",
+    f"WITH {_PART}, {sqltext.scored(_TF_LEVELS, 'part_rows', 'id')} SELECT id_l, id_r, round(match_weight, 6) AS match_weight, {_PROBABILITY}, match_key FROM scored WHERE 1 / (1 + pow(2, -match_weight)) >= 0.7",
+)
+def predict_threshold_tf_levels(spark, d):
+    """A rare value may lift a pair on a similarity level; narrowing large blocks must not lose it."""
+    return _rounded(m.predict(_part(spark, d), _TF_LEVELS, "id", threshold=0.7, tile_rows=16))
+
+
 @query(
     "predict_intermediate",
     f"WITH {_SCORED} SELECT id_l, id_r, match_key, gamma_name, gamma_brand, gamma_kind, gamma_size, "
@@ -709,15 +747,20 @@ def classification_report(spark, d):
     return found.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
-@query("pair_classifier")
+@query(
+    "pair_classifier",
+    f"WITH {_PART}, {_LOOSE_SQL}, {_FEATURE_SQL} SELECT id_l, id_r, CAST(name = 1 AND brand = 1 AS INTEGER) AS label, "
+    "CAST(name = 1 AND brand = 1 AS DOUBLE) AS predict FROM features",
+)
 def pair_classifier(spark, d):
     """Features of every candidate pair, split by label, fitted on the larger part, predicted for all.
 
-    Tree building has no SQL equivalent, so only the rows are checked; fewer trees than the default.
+    The label is a function of two features, so trees fitted on a part must return it for every pair.
     """
     pairs = candidates.block_rules(_part(spark, d), _LOOSE, "id", keep=_COLS)
     features = compare.compute_features(pairs, _FEATURES, ["id_l", "id_r"])
-    labelled = evaluate.label_pairs(features, _truth(spark, d), "id_l", "id_r")
+    labelled = features.withColumn("label", F.expr("CAST(name = 1 AND brand = 1 AS INT)"))
     split = stage(evaluate.stratified_split(labelled, "label", ["id_l", "id_r"]), "split")
     fitted = classify.fit_pair_classifier(split.where("is_test = 0"), _FEATURE_NAMES, trees=5, depth=3)
-    return classify.predict_pairs(fitted, split).select("id_l", "id_r", "label", "is_test", "predict")
+    found = classify.predict_pairs(fitted, split)
+    return found.select("id_l", "id_r", "label", F.col("predict").cast("double").alias("predict"))

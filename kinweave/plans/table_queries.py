@@ -106,6 +106,30 @@ def write_result(spark, d):
     return spark.read.parquet(path)
 
 
+_TEXTS = "SELECT doc_id, text, ' ' || lang || ' ' AS padded FROM documents"
+
+
+def _texts(spark, d) -> DataFrame:
+    """Texts with commas, quotes and line breaks, and a field whose outer blanks count."""
+    padded = F.concat(F.lit(" "), "lang", F.lit(" ")).alias("padded")
+    return table(spark, d, "documents").select("doc_id", "text", padded)
+
+
+@query("read_csv_texts", _TEXTS)
+def read_csv_texts(spark, d):
+    path = _scratch(spark, "csv")
+    sinks.write_result(_texts(spark, d), path)
+    return read_table(spark, path, "csv", _texts(spark, d).schema, exactly=True)
+
+
+@query("csv_to_parquet_texts", _TEXTS)
+def csv_to_parquet_texts(spark, d):
+    source, target = _scratch(spark, "csv"), _scratch(spark, "parquet")
+    sinks.write_result(_texts(spark, d), source)
+    sinks.csv_to_parquet(spark, source, target, _texts(spark, d).schema)
+    return spark.read.parquet(target)
+
+
 @query(
     "html_lines",
     r"""

@@ -41,7 +41,19 @@ PRESETS = {"febrl": FEBRL, "usa": USA, "address": ADDRESS, "provider": PROVIDER}
 
 # fixed values: the columns each preset encrypts
 ENCRYPTED = {
-    "febrl": ["given_name", "surname", "address_1", "address_2", "suburb", "state"],
+    "febrl": [
+        "rec_id",
+        "given_name",
+        "surname",
+        "street_number",
+        "address_1",
+        "address_2",
+        "suburb",
+        "postcode",
+        "state",
+        "date_of_birth",
+        "soc_sec_id",
+    ],
     "usa": [
         "given_name",
         "surname",
@@ -84,6 +96,8 @@ class LinkJob:
     cluster_threshold: float = 0.70
     profile: bool = False
     jdbc: dict = field(default_factory=dict)
+    json_orient: str = "lines"
+    multiline: bool | None = None
 
     def __post_init__(self):
         if self.dataset not in ("febrl", "usa"):

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .tables import CSV_OPTIONS
+
 
 def write_result(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
-    """A result as CSV (with a header) or Parquet, one file per partition."""
+    """A result as CSV (with a header) or Parquet, one file per partition. CSV writes a null as an empty field."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**CSV_OPTIONS, emptyValue="").csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:
@@ -56,8 +58,9 @@ def drop_table(spark: SparkSession, name: str) -> None:
 
 
 def csv_to_parquet(
-    spark: SparkSession, source: str, target: str, schema: T.StructType, mode: str = "overwrite"
+    spark: SparkSession, source: str, target: str, schema: T.StructType, mode: str = "overwrite", multiline: bool = True
 ) -> None:
-    """CSV to snappy Parquet under one fixed schema, split by file ranges."""
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(source)
+    """CSV to snappy Parquet under one fixed schema; ``multiline=False`` splits files by ranges."""
+    options = CSV_OPTIONS | {"enforceSchema": False, "multiLine": multiline}
+    rows = spark.read.schema(schema).options(**options).csv(source)
     rows.write.mode(mode).option("compression", "snappy").parquet(target)

@@ -9,6 +9,15 @@ from pyspark.sql import types as T
 from ..operators.projection import with_positional_schema
 from ..schema import require_columns
 
+# standard CSV: a quote inside a field is doubled, blanks belong to the field
+CSV_OPTIONS = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 _FORMATS = {"csv": "csv", "txt": "csv", "parquet": "parquet", "json": "json", "jsonl": "json"}
 
 
@@ -19,16 +28,20 @@ def read_table(
     schema: T.StructType | None = None,
     exactly: bool = False,
     json_orient: str = "lines",
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """One table from a file or folder. The format follows the suffix; an unknown suffix reads as CSV.
 
+    CSV fields may hold line breaks, so a CSV file is read by one task; ``multiline=False`` lets large
+    files without line breaks in fields be split. Column-oriented JSON has one document per line, with
+    ``multiline`` one per file.
+
     With ``schema`` nothing is inferred and a missing column raises; ``exactly`` forbids further ones.
     CSV without a schema reads every field as text (no inference pass over the data).
     """
     kind = (fmt or _FORMATS.get(path.rstrip("/").rsplit(".", 1)[-1].lower(), "csv")).lower()
     if kind == "csv":
-        found = spark.read.option("header", True).option("multiLine", False).csv(path)
+        found = spark.read.options(**CSV_OPTIONS, multiLine=multiline is not False).csv(path)
     elif kind == "parquet":
         found = spark.read.parquet(path)
     elif kind == "json" and json_orient == "lines":
@@ -36,7 +49,7 @@ def read_table(
     elif kind == "json" and json_orient == "columns":
         if schema is None:
             raise ValueError("column-oriented JSON needs a schema")
-        found = json_columns(spark, path, schema, multiline)
+        found = json_columns(spark, path, schema, bool(multiline))
     else:
         raise ValueError(f"unknown format {kind} / {json_orient}")
     if schema is None:

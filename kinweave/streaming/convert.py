@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
+from ..sources.tables import CSV_OPTIONS
+
 
 def csv_folder_to_parquet(
     spark: SparkSession,
@@ -21,7 +23,7 @@ def csv_folder_to_parquet(
     """
     rows = (
         spark.readStream.schema(schema)
-        .option("header", True)
+        .options(**CSV_OPTIONS, multiLine=True)
         .option("maxFilesPerTrigger", files_per_chunk)
         .csv(source)
     )

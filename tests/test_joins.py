@@ -83,11 +83,21 @@ def test_sorted_neighbourhood(people, tile_rows, window):
     assert len(got) == len(want) and {(r["id_l"], r["id_r"]) for r in got} == want
 
 
-def test_all_pairs_is_bounded(people):
+@pytest.mark.parametrize("tile_rows", [10_000, 50])
+def test_all_pairs(people, tile_rows):
     _, df = people
-    assert candidates.all_pairs(df, "id").count() == 240 * 239 // 2
-    with pytest.raises(ValueError):
-        candidates.all_pairs(df, "id", max_pairs=1000)
+    pairs = candidates.all_pairs(df, "id", tile_rows=tile_rows)
+    assert pairs.count() == pairs.distinct().count() == 240 * 239 // 2
+    assert pairs.where("id_l >= id_r").count() == 0
+
+
+def test_a_lopsided_link_sample_keeps_its_bound(spark, people):
+    _, df = people
+    many = spark.range(5000).select(F.col("id").cast("int").alias("id"))
+    for other, bound in ((df.where("id = 3"), 100), (df.where("id < 7"), 100), (df, 1000)):
+        for a, b in ((many, other), (other, many)):
+            n = candidates.sample_pairs(a.select("id"), "id", bound, other=b.select("id")).count()
+            assert bound / 2 < n <= bound
 
 
 def test_sample_pairs(people):
