@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_batches
-from .units import REMEMBERED, WORDS, byte_letters, pieces
+from .units import WORDS, byte_letters, forget, pieces
 
 #: Symbols merged together at once: bounds the work arrays.
 BLOCK_SYMBOLS = 1 << 21
@@ -180,8 +180,7 @@ class Encoder:
             self.known[p] = codes[ws[0]] if len(ws) == 1 else b"".join(codes[w] for w in ws)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        self.known = forget(self.known)
         self.known.update(self.added)
         parts = [self._parts(t) for t in texts]
         fresh: set[str] = set()

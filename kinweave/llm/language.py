@@ -12,7 +12,10 @@ Training rows without text, language or id are left out. Ties between languages
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,25 +162,21 @@ def fit(train: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Discriminat
     return Discriminator(sorted(set(rows["lang"]))).fit(x, rows["lang"].to_numpy())
 
 
-def identify(docs: DataFrame, model: Discriminator, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred and score of every text; ``keep`` names further input columns to carry along."""
-    keep = keep or []
+def identify(docs: DataFrame, model: Discriminator) -> DataFrame:
+    """``docs`` with lang_pred and score of every text in a column ``found``; only texts go to the workers."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few machines of fixed width
-    carry = docs.select("doc_id", *keep).schema
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carry)
 
-    def work(batch):
+    @F.pandas_udf("lang_pred string, score double")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        texts = texts_of(batch.column(0))
-        langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        rows = [i for i, t in enumerate(texts) if model.langs and has_letter(t)]
-        for low in range(0, len(rows), 256):
-            part = rows[low : low + 256]
-            found = model.predict(np.stack([features(texts[i]) for i in part]))
-            for i, (lang, score) in zip(part, found, strict=True):
-                langs[i], scores[i] = lang, score
-        carried = {f.name: batch.column(k + 1) for k, f in enumerate(carry)}
-        return carried | {"lang_pred": langs, "score": scores}
-
-    read = docs.select(F.col("text").alias("_text"), "doc_id", *keep)
-    return map_batches(read, work, f"{types}, lang_pred string, score double")
+        for texts in batches:
+            langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            rows = [i for i, t in enumerate(texts) if t and model.langs and has_letter(t)]
+            for low in range(0, len(rows), 128):
+                part = rows[low : low + 128]
+                got = model.predict(np.stack([features(texts.iloc[i]) for i in part]))
+                for i, (lang, score) in zip(part, got, strict=True):
+                    langs[i], scores[i] = lang, score
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+
+    return docs.withColumn("found", found(F.col("text")))

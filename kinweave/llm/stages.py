@@ -26,8 +26,8 @@ def byte_bpe_path() -> str:
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents with letters whose language is recognised; learnt from the rows with a ``lang``."""
     own = docs.select(*DOCUMENT_COLUMNS)
-    found = language.identify(own, language.fit(own), DOCUMENT_COLUMNS[1:])
-    keep = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    found = language.identify(own, language.fit(own))
+    keep = (F.col("found.lang_pred") != language.UNDETERMINED) & (F.col("found.score") >= LEAST_LANGUAGE_SCORE)
     return found.where(keep).select(*DOCUMENT_COLUMNS)
 
 

@@ -41,7 +41,7 @@ from .common import (
     spread,
     text_slices,
 )
-from .units import REMEMBERED
+from .units import forget
 
 END_ID = 2
 
@@ -118,8 +118,7 @@ class LibraryEncoder:
     def _codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in one array, number of ids of each text) for plain texts."""
         number, distinct, sizes = self._cut(texts)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        self.known = forget(self.known)
         self._learn(set(filterfalse(self.known.__contains__, distinct)))
         packed = list(map(self.known.__getitem__, distinct))
         table = np.frombuffer(b"".join(packed), dtype=self.code)

@@ -12,8 +12,17 @@ import regex
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-#: A task remembers the codes of about so many pieces, then forgets them all: memory, not results.
-REMEMBERED = 1_000_000
+#: A worker remembers the codes of about so many pieces: memory, not results.
+REMEMBERED = 500_000
+_SHORT = 9
+
+
+def forget(known: dict[str, bytes]) -> dict[str, bytes]:
+    """What stays of a full memory: the short pieces, which come again most often, unless they fill it alone."""
+    if len(known) <= REMEMBERED:
+        return known
+    short = {p: c for p, c in known.items() if len(p) <= _SHORT}
+    return short if len(short) < REMEMBERED // 2 else {}
 
 
 def pieces(text: str) -> list[str]:

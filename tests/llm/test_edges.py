@@ -9,7 +9,7 @@ PATH = stages.byte_bpe_path()
 
 
 def _language(spark, docs):
-    return language.identify(docs, language.fit(docs))
+    return language.identify(docs, language.fit(docs)).select("doc_id", "found.*")
 
 
 def _quality(spark, docs):
