@@ -171,18 +171,50 @@ def block_rules(
     return reduce(DataFrame.unionAll, parts)
 
 
+def equal_pairs(df: DataFrame, cols: list[str], other: DataFrame | None = None) -> DataFrame:
+    """One row ``k``: pairs equal on all ``cols``, from the sizes of the groups; no pair is formed."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    left = df.where(known).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    if other is None:
+        count = left.select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("k"))
+    else:
+        right = other.where(known).groupBy(*cols).agg(F.count(F.lit(1)).alias("n2"))
+        count = left.join(right, cols).select((F.col("n") * F.col("n2")).alias("k"))
+    return count.agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("k"))
+
+
+def new_pairs(df: DataFrame, rules: list[Rule], other: DataFrame | None = None) -> DataFrame:
+    """(match_key, new_pairs): pairs each rule adds to the earlier ones, by inclusion and exclusion.
+
+    A set of rules counts, with its sign, for the last of its rules; sets that ask for the same columns are
+    counted together, so a group of any size costs one counter.
+    """
+    weights: dict[tuple[int, tuple[str, ...]], int] = {}
+    for mask in range(1, 1 << len(rules)):
+        chosen = [k for k in range(len(rules)) if mask >> k & 1]
+        cols = tuple(sorted({c for k in chosen for c in rules[k]}))
+        key = (chosen[-1], cols)
+        weights[key] = weights.get(key, 0) + (1 if len(chosen) % 2 else -1)
+    used = sorted({cols for (_, cols), w in weights.items() if w})
+    counts = [equal_pairs(df, list(cols), other).select(F.lit(i).alias("set"), "k") for i, cols in enumerate(used)]
+    signs = df.sparkSession.createDataFrame(
+        [(k, used.index(cols), w) for (k, cols), w in weights.items() if w], "match_key int, set int, sign int"
+    )
+    # one row for each set of columns
+    found = signs.join(F.broadcast(reduce(DataFrame.unionAll, counts)), "set")
+    return found.groupBy("match_key").agg(F.sum(F.col("k") * F.col("sign")).alias("new_pairs"))
+
+
 def cumulative_comparisons(
     df: DataFrame, rules: list[Rule], id_col: str, other: DataFrame | None = None
 ) -> DataFrame:
     """New pairs each rule adds and the running total. Rules without new pairs show 0."""
-    pairs = block_rules(df, rules, id_col, other)
-    added = pairs.groupBy("match_key").agg(F.count(F.lit(1)).alias("new_pairs"))
     names = df.sparkSession.createDataFrame(
         [(k, " and ".join(r)) for k, r in enumerate(rules)], "match_key int, rule string"
     )
     # one row per rule
     w = Window.orderBy("match_key")
-    counted = F.broadcast(names).join(added, "match_key", "left").withColumn(
+    counted = names.join(F.broadcast(new_pairs(df, rules, other)), "match_key", "left").withColumn(
         "new_pairs", F.coalesce("new_pairs", F.lit(0).cast("long"))
     )
     return counted.withColumn("cumulative_pairs", F.sum("new_pairs").over(w))

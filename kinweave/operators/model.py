@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import length_allows, register
 from ..session import stage
-from .candidates import TILE_ROWS, Rule, block_rules, join_block, sample_pairs
+from .candidates import TILE_ROWS, Rule, block_rules, join_block, new_pairs, sample_pairs
 from .compare import Comparison, Level, add_gammas, with_term_frequencies
 from .evidence import reaching_pairs
 
@@ -323,21 +323,7 @@ def estimate_prior(
     Rule pairs are counted by inclusion and exclusion over equality groups, so a group of any size
     costs one counter and no pair is formed.
     """
-    n_rules = len(rules)
-    terms = []
-    for mask in range(1, 1 << n_rules):
-        chosen = [rules[i] for i in range(n_rules) if mask >> i & 1]
-        cols = list(dict.fromkeys(c for r in chosen for c in r))
-        sign = 1 if len(chosen) % 2 else -1
-        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-        left = df.where(known).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-        if other is None:
-            count = left.select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("k"))
-        else:
-            right = other.where(known).groupBy(*cols).agg(F.count(F.lit(1)).alias("n2"))
-            count = left.join(right, cols).select((F.col("n") * F.col("n2")).alias("k"))
-        terms.append(count.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k")).select((F.col("k") * sign).alias("k")))
-    matched = reduce(DataFrame.unionAll, terms).agg(F.sum("k").alias("rule_pairs"))
+    matched = new_pairs(df, rules, other).agg(F.sum("new_pairs").alias("rule_pairs"))
     if other is None:
         n = F.col("n")
         total = df.agg(F.count(F.lit(1)).alias("n")).select((n * (n - 1) / 2).cast("long").alias("all_pairs"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage, with_slices
+from ..session import stage
 
 _ROW_BITS = 33  # fixed value: Spark's monotonically_increasing_id keeps the row in the low 33 bits
 
@@ -45,23 +45,21 @@ def dense_positions(df: DataFrame, key: str, out: str = "position") -> DataFrame
     return add_row_id(values, [key], start=1, out=out)
 
 
-def running_totals(
-    df: DataFrame, order: str, sums: dict[str, str], descending: bool = False, slices: int = 64
-) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
     """Adds running sums in the order of ``order``, whose values must be distinct.
 
-    ``df`` is staged once because the cut points, the slice totals and the result all read it.
+    Rows are range-partitioned and written once; sums run inside a range and are shifted by the totals of the
+    ranges before it (one row for each range).
     """
-    data = with_slices(stage(df, "running"), order, slices)
-    if descending:
-        data = data.withColumn("_slice", -F.col("_slice"))
+    key = F.col(order).desc() if descending else F.col(order).asc()
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, key).withColumn("_slice", F.spark_partition_id())
+    data = stage(placed, "running")
     totals = data.groupBy("_slice").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    # at most ``slices`` rows
     w = Window.orderBy("_slice")
     before = totals.select(
         "_slice", *[(F.sum(f"_t_{o}").over(w) - F.col(f"_t_{o}")).alias(f"_b_{o}") for o in sums]
     )
-    key = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy("_slice").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     return data.join(F.broadcast(before), "_slice").select(
         *df.columns, *[(F.sum(c).over(inside) + F.col(f"_b_{o}")).alias(o) for o, c in sums.items()]

@@ -94,48 +94,3 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BY
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Broadcast hint behind a check of rows and bytes; a bigger side keeps the join Spark plans."""
     return F.broadcast(df) if is_small(df) else df
-
-
-def _literal(value, dtype) -> Column:
-    return F.lit(value).cast(dtype)
-
-
-def slice_bounds(df: DataFrame, key: str, slices: int = 64, sample: int = 4096) -> list:
-    """At most ``slices - 1`` cut points for ``key``, from a bounded uniform sample of its values.
-
-    The sample is the ``sample`` values with the smallest hash, so it is repeatable; the cut points
-    only balance the work and never affect a result.
-    """
-    values = df.select(key).where(F.col(key).isNotNull())
-    rows = values.orderBy(F.xxhash64(key)).limit(sample).collect()
-    picked = sorted({r[0] for r in rows})
-    if len(picked) <= 1:
-        return []
-    step = max(len(picked) / slices, 1.0)
-    cuts, at = [], step
-    while at < len(picked):
-        cuts.append(picked[int(at)])
-        at += step
-    return sorted(set(cuts))
-
-
-def slice_of(col: Column, cuts: list, dtype) -> Column:
-    """Index of the slice holding ``col``: a balanced nest of comparisons over the cut points."""
-
-    def nest(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col < _literal(cuts[mid], dtype), nest(lo, mid)).otherwise(nest(mid + 1, hi))
-
-    return nest(0, len(cuts)).cast("int")
-
-
-def with_slices(df: DataFrame, key: str, slices: int = 64) -> DataFrame:
-    """Adds ``_slice``; slices follow the order of ``key``, so work inside one slice is independent."""
-    dtype = df.schema[key].dataType
-    return df.withColumn("_slice", slice_of(F.col(key), slice_bounds(df, key, slices), dtype))
-
-
-def double_of(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.DoubleType, T.FloatType))
