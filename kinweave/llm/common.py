@@ -68,10 +68,15 @@ def map_batches(
 
 
 def as_batch(columns: dict, fields: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type) for f in fields],
-        schema=fields,
-    )
+    """A batch of named columns, lists or Arrow arrays, in the types of ``fields``."""
+
+    def typed(field: pa.Field):
+        c = columns[field.name]
+        if not isinstance(c, pa.Array):
+            return pa.array(c, type=field.type)
+        return c if c.type == field.type else c.cast(field.type)
+
+    return pa.RecordBatch.from_arrays([typed(f) for f in fields], schema=fields)
 
 
 def crc32_fold(column: str, folds: int):
