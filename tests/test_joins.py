@@ -163,7 +163,7 @@ def test_positions_and_running_totals(spark):
     df = spark.createDataFrame([(i % 50, i) for i in range(1000)], "a int, b int")
     ids = add_row_id(df, ["a", "b"], start=0)
     assert [r["unique_id"] for r in ids.orderBy("a", "b").collect()] == list(range(1000))
-    sums = running_totals(df, "b", {"s": "a"}, descending=True, slices=7).collect()
+    sums = running_totals(df, "b", {"s": "a"}, descending=True).collect()
     total, want = 0, {}
     for i in reversed(range(1000)):
         total += i % 50
