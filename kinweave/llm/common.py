@@ -6,6 +6,7 @@ input column, whatever its name, cannot clash with a result.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -45,6 +46,18 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Fewer rows in an Arrow batch for the jobs run inside: bounds what a worker holds of long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.cluster import connected_components
 from ..operators.skew import left_join_unique
 from ..session import broadcast_if_small, stage, unstage
-from .common import WordHashes, arrow_schema, as_batch, map_batches, mix64, shuffle_partitions, text_slices, word_windows
+from .common import WordHashes, arrow_rows, arrow_schema, as_batch, map_batches, mix64, shuffle_partitions, text_slices, word_windows
 
 WORDS_IN_ELEMENT = 5
 SIMILARITY = 0.8
@@ -312,6 +312,11 @@ def resolve(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
 
     ``first_id`` is the least id of the text, ``chosen`` marks the text that stands for its class.
     """
+    with arrow_rows(docs.sparkSession, 1000):
+        return _resolve(docs, similarity)
+
+
+def _resolve(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     rows = stage(sketch(docs), "sketches")
     nodes = stage(
         rows.groupBy("node").agg(

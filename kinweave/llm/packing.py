@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import even_share, map_batches
+from .common import arrow_rows, even_share, map_batches
 
 PERMITTED = (512, 1024, 2048, 4096)
 
@@ -148,7 +148,8 @@ def pack(
 
     doc_id, piece, start (in the document), length, bin_id, bin_offset, bin_length and bin_used.
     """
-    rows = stage(pieces_of(docs, tokens, max(permitted)), "pieces")
+    with arrow_rows(docs.sparkSession, 1000):  # tokens may be counted from the texts just here
+        rows = stage(pieces_of(docs, tokens, max(permitted)), "pieces")
     shards = even_share(rows.count(), shard_rows)
     shard = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id() % 64), F.lit(shards))
     rows = stage(rows.withColumn("shard", shard.cast("int")), "sharded-pieces")

@@ -76,6 +76,7 @@ class LibraryEncoder:
         # a byte-level token has one letter for each byte
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
         self.known: dict[str, bytes] = {}
+        self.counts: dict[str, int] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -130,6 +131,28 @@ class LibraryEncoder:
         ends = np.concatenate(([0], total))[np.cumsum(sizes)]
         return table[at], np.diff(ends, prepend=0)
 
+    def count(self, texts: list[str]) -> list[int]:
+        """Number of ids of each text; only the counts of pieces are remembered."""
+        out = [0] * len(texts)
+        plain = [i for i, t in enumerate(texts) if self._plain(t)]
+        for low, high in text_slices([texts[i] for i in plain], ENCODED_CHARS):
+            part = plain[low:high]
+            number, distinct, sizes = self._cut([texts[i] for i in part])
+            self.counts = forget(self.counts)
+            fresh = set(filterfalse(self.counts.__contains__, distinct))
+            self._learn(fresh)
+            pop = self.known.pop
+            self.counts.update((p, len(pop(p)) // self.code.itemsize) for p in fresh)
+            each = np.fromiter(map(self.counts.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+            upto = np.concatenate(([0], np.cumsum(each[number])))
+            ends = np.cumsum(sizes)
+            for i, n in zip(part, (upto[ends] - upto[ends - sizes]).tolist(), strict=True):
+                out[i] = n
+        odd = sorted(set(range(len(texts))).difference(plain))
+        for i, x in zip(odd, self._whole([texts[i] for i in odd]) if odd else [], strict=True):
+            out[i] = len(x) // self.code.itemsize
+        return out
+
     def _plain(self, text: str) -> bool:
         return self.by_piece and "  " not in text and "\0" not in text and not any(t in text for t in self.added)
 
@@ -166,9 +189,8 @@ def count_tokens(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
 
     def work(batch):
         own = library_encoder(path)
-        coded = own.encode([t or "" for t in batch.column(0).to_pylist()])
         carried = {f.name: batch.column(k + 1) for k, f in enumerate(kept)}
-        return carried | {"n_tokens": [len(x) // own.code.itemsize for x in coded]}
+        return carried | {"n_tokens": own.count([t or "" for t in batch.column(0).to_pylist()])}
 
     read = docs.select(F.col("text").alias("_text"), *keep)
     return map_batches(read, work, f"{types}n_tokens long")

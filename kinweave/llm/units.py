@@ -13,11 +13,11 @@ import regex
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 #: A worker remembers the codes of about so many pieces: memory, not results.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 _SHORT = 9
 
 
-def forget(known: dict[str, bytes]) -> dict[str, bytes]:
+def forget(known: dict) -> dict:
     """What stays of a full memory: the short pieces, which come again most often, unless they fill it alone."""
     if len(known) <= REMEMBERED:
         return known

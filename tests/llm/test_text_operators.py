@@ -93,6 +93,7 @@ def test_both_encoders_equal_the_library(library, rows):
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in own.encode(texts)] == want
     assert [np.frombuffer(x, dtype=other.code).tolist() for x in other.encode(texts)] == want
+    assert other.count(texts) == [len(x) for x in want]
     assert [bpe.decode(np.array(x), own.vocab) for x in want] == [
         library.decode(x, skip_special_tokens=False) for x in want
     ]
