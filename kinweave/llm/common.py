@@ -7,6 +7,7 @@ input column, whatever its name, cannot clash with a result.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -64,6 +65,13 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema))
 
 
+def release_memory() -> None:
+    """Gives freed memory back at the end of a task; Spark keeps the worker for tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(
     df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[dict[str, list]] | dict], schema: str
 ) -> DataFrame:
@@ -76,6 +84,9 @@ def map_batches(
                 made = work(batch)
                 for columns in [made] if isinstance(made, dict) else made:
                     yield as_batch(columns, fields)
+                made = columns = None
+            batch = None
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

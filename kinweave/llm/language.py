@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import map_batches, release_memory, texts_of
 from .hashed import byte_ngrams
 
 #: Families of the languages often met; any other code is a family of its own.
@@ -177,6 +177,8 @@ def identify(docs: DataFrame, model: Discriminator) -> DataFrame:
                 got = model.predict(np.stack([features(texts.iloc[i]) for i in part]))
                 for i, (lang, score) in zip(part, got, strict=True):
                     langs[i], scores[i] = lang, score
+            texts = None
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
+        release_memory()
 
     return docs.withColumn("found", found(F.col("text")))

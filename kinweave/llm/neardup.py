@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.cluster import connected_components
 from ..operators.skew import left_join_unique
 from ..session import broadcast_if_small, stage, unstage
-from .common import WordHashes, arrow_rows, arrow_schema, as_batch, map_batches, mix64, shuffle_partitions, text_slices, word_windows
+from .common import WordHashes, arrow_rows, arrow_schema, as_batch, map_batches, mix64, release_memory, shuffle_partitions, text_slices, word_windows
 
 WORDS_IN_ELEMENT = 5
 SIMILARITY = 0.8
@@ -303,6 +303,7 @@ def _rest(docs, members, parts, nodes, texts: _Texts, similarity: float) -> Data
                 held.append(row)
         if held:
             yield as_batch(links(held), fields)
+        release_memory()
 
     return stage(dealt.mapInArrow(run, "a binary, b binary").distinct(), "more-links")
 

@@ -41,7 +41,7 @@ from .common import (
     spread,
     text_slices,
 )
-from .units import forget
+from .units import REMEMBERED, forget
 
 END_ID = 2
 
@@ -138,7 +138,7 @@ class LibraryEncoder:
         for low, high in text_slices([texts[i] for i in plain], ENCODED_CHARS):
             part = plain[low:high]
             number, distinct, sizes = self._cut([texts[i] for i in part])
-            self.counts = forget(self.counts)
+            self.counts = forget(self.counts, REMEMBERED // 2)
             fresh = set(filterfalse(self.counts.__contains__, distinct))
             self._learn(fresh)
             pop = self.known.pop

@@ -17,12 +17,12 @@ REMEMBERED = 400_000
 _SHORT = 9
 
 
-def forget(known: dict) -> dict:
+def forget(known: dict, limit: int = REMEMBERED) -> dict:
     """What stays of a full memory: the short pieces, which come again most often, unless they fill it alone."""
-    if len(known) <= REMEMBERED:
+    if len(known) <= limit:
         return known
     short = {p: c for p, c in known.items() if len(p) <= _SHORT}
-    return short if len(short) < REMEMBERED // 2 else {}
+    return short if len(short) < limit * 2 // 3 else {}
 
 
 def pieces(text: str) -> list[str]:
