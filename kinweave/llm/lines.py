@@ -6,6 +6,11 @@ of equal text count once, so copies do not make their own lines look shared. A l
 ``min_documents`` documents and ``host_percent`` percent of the host's documents is removed. A document is kept
 unless it fails the base rules or fewer than ``keep_percent`` percent of its words stay.
 
+Near copies do not make their own lines look shared either. Each text has a sketch, the ``SKETCH`` least hashes of
+its runs of three words. Near copies mostly share them; texts with a common template share those of the template only. So
+a line's documents count at most ``100 / keep_percent`` times their distinct least hashes, divided by ``SKETCH``: pages
+with ``keep_percent`` percent of their own beside a template count about in full, near copies as few.
+
 Decisions: words are runs of characters other than blank, tab and the line and page breaks; a null text
 has none. A null source is a host of its own. Repeated rows get one verdict each. A line without a letter or
 digit is not counted, and stays. Counts cover all rows; no line, document or host is left out.
@@ -28,6 +33,9 @@ MIN_DOCUMENTS = 20
 HOST_PERCENT = 10
 KEEP_PERCENT = 30
 
+#: Least hashes of each text (fixed value).
+SKETCH = 8
+
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -83,14 +91,29 @@ def _text_key() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
+def _sketch() -> Column:
+    """The least hashes of a text's runs of three words; a text of fewer runs is filled up with hashes of its own."""
+    words = F.split(F.coalesce(F.col("text"), F.lit("")), _SPACES)
+
+    def runs(h: Column) -> Column:
+        starts = F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0)))
+        return F.transform(starts, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
+
+    made = F.sort_array(_let(F.transform(words, lambda w: F.xxhash64(w)), runs))
+    least = F.array_distinct(F.slice(made, 1, 8 * SKETCH))  # a few more, as runs may repeat
+    own = F.array(*[F.xxhash64(_text_key(), F.lit(k)) for k in range(SKETCH)])
+    return _let(least, lambda x: F.when(F.size(x) >= SKETCH, F.slice(x, 1, SKETCH)).otherwise(F.slice(F.concat(x, own), 1, SKETCH)))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(host, doc, line, words, n): the lines of each text with their words, a line once per text."""
-    key = _text_key()
-    split = docs.select(
+    """(host, doc, line, words): the lines of each text with their words."""
+    texts = docs.select(
         F.coalesce("source", F.lit("")).alias("host"),
-        key.alias("doc"),
-        F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("_line"),
+        _text_key().alias("doc"),
+        F.split(F.coalesce(F.col("text"), F.lit("")), "\n").alias("_all"),
     )
+    # keys are made before the lines are dealt out: once for each text
+    split = texts.select("host", "doc", F.explode("_all").alias("_line"))
     named = split.select(
         "host",
         "doc",
@@ -110,23 +133,34 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def text_table(docs: DataFrame) -> DataFrame:
-    """(host, doc, copies): each text of a host with the number of its rows."""
-    key = docs.select(F.coalesce("source", F.lit("")).alias("host"), _text_key().alias("doc"))
-    return stage(key.groupBy("host", "doc").agg(F.count(F.lit(1)).alias("copies")), "texts")
+    """(host, doc, copies, sketch): each text of a host with the number of its rows."""
+    key = docs.select(F.coalesce("source", F.lit("")).alias("host"), _text_key().alias("doc"), _sketch().alias("sketch"))
+    held = key.groupBy("host", "doc").agg(F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
+    return stage(held, "texts")
 
 
 def frequent_lines(
-    lines: DataFrame, texts: DataFrame, min_documents: int = MIN_DOCUMENTS, host_percent: int = HOST_PERCENT
+    lines: DataFrame,
+    texts: DataFrame,
+    min_documents: int = MIN_DOCUMENTS,
+    host_percent: int = HOST_PERCENT,
+    keep_percent: int = KEEP_PERCENT,
 ) -> DataFrame:
-    """(host, line, documents) of every line above the limits of its host."""
+    """(host, line, documents) of every line above the limits of its host, near copies counted by their sketches."""
     held = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(
         F.col("documents") >= min_documents
     )
     hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    # both sides hold one row for each host or frequent line
-    return held.join(hosts, "host").where(100 * F.col("documents") >= host_percent * F.col("of")).select(
-        "host", "line", "documents"
-    )
+    enough = (F.col("documents") >= min_documents) & (100 * F.col("documents") >= host_percent * F.col("of"))
+    # both sides hold one row for each host or line of enough documents
+    often = stage(held.join(hosts, "host").where(enough), "often-held-lines")
+    hit = left_join_unique(lines, often.select("host", "line", F.lit(True).alias("hit")), ["host", "line"])
+    met = hit.where("hit").select("host", "doc", "line").join(texts, ["host", "doc"])
+    least = met.select("host", "line", F.explode("sketch").alias("least")).distinct()
+    differ = least.groupBy("host", "line").agg(F.count(F.lit(1)).alias("differ"))
+    most = F.ceil(F.col("differ") * 100 / (SKETCH * max(keep_percent, 1)))
+    counted = often.join(differ, ["host", "line"]).withColumn("documents", F.least("documents", most))
+    return counted.where(enough).select("host", "line", "documents")
 
 
 def removed_words(lines: DataFrame, texts: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -150,7 +184,7 @@ def judge(
     Texts themselves are not shuffled: only line hashes and text keys are.
     """
     lines, texts = line_table(docs), text_table(docs)
-    frequent = stage(frequent_lines(lines, texts, min_documents, host_percent), "frequent-lines")
+    frequent = stage(frequent_lines(lines, texts, min_documents, host_percent, keep_percent), "frequent-lines")
     gone = stage(removed_words(lines, texts, frequent), "removed-words")
     unstage(lines)
     unstage(texts)

@@ -168,6 +168,28 @@ def test_lines_of_many_documents_are_removed(spark):
     assert got.loc[range(200, 400)].kept.all()
 
 
+def test_near_copies_do_not_reject_themselves(spark):
+    """Near copies hold a third of a host; a template of several lines on the other pages is still removed."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    base = [[word() for _ in range(33)] for _ in range(12)]
+    menu = "\n".join(" ".join(word() for _ in range(14)) for _ in range(5))
+    rows = []
+    for i in range(150):
+        copy = [list(x) for x in base]
+        copy[rng.integers(12)][rng.integers(33)] = word()
+        rows.append((i, "\n".join(" ".join(x) for x in copy), "h"))
+    for i in range(300):
+        own = " ".join(word() for _ in range(25 if i % 4 == 0 else 120))
+        rows.append((1000 + i, f"{menu}\n{own}" if i % 4 == 0 else own, "h"))
+    got = lines.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"])
+    got = got.toPandas().set_index("doc_id")
+    assert got.loc[range(150)].kept.all() and (got.loc[range(150)].removed_words == 0).all()
+    menus = got.loc[range(1000, 1300, 4)]
+    assert (menus.removed_words == 70).all() and not menus.kept.any()
+    assert got.loc[[1000 + i for i in range(300) if i % 4]].kept.all()
+
+
 def test_pipeline(spark):
     rows = pd.read_parquet(f"{FOLDER}/documents.parquet")
     got = corpus_pipeline.run(spark, FOLDER).toPandas()
