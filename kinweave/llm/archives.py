@@ -200,7 +200,7 @@ def record_id(file: str, seq: int) -> str:
 
 
 def warc_type(record: dict) -> str:
-    if record["url"].startswith("filedesc:"):
+    if record["seq"] == 0:  # the version block; a page's address may begin with filedesc: too
         return "warcinfo"
     return "response" if record["body"].startswith(b"HTTP/") else "resource"
 

@@ -133,6 +133,13 @@ def test_archives_by_brute_force(spark):
     assert (small.record_type == "response").all()
 
 
+def test_a_page_with_the_address_of_a_version_block(spark):
+    rows = [(1, "filedesc://x.arc", "body"), (2, "http://a/", "body"), (3, "http://b/", "other")]
+    got = archives.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in got} == {
+        (1, "response", None), (2, "revisit", 1), (3, "response", None)}
+
+
 def test_files_roll_and_members_open_alone(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x/{i}", "text " * i) for i in range(50)], "page_id long, url string, html string")
     manifest = archives.write_arc(pages, f"file://{tmp_path}", file_records=7)
