@@ -8,6 +8,8 @@ length one. Every text is read whole.
 Decisions: a text that is null or has no letter is ``und`` with score 0. Any text repeated gives the
 same answer. A training table with one language predicts it everywhere; with none, all is ``und``.
 Training rows without text, language or id are left out. Ties between languages go to the first name.
+Every language of the training table is learnt: the more there are, the fewer texts of each are taken, and beyond
+``MOST_FAMILIES`` families those of one language are dealt into groups of alike ones, which vote as families do.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import left_join_unique
 from .common import map_batches, release_memory, texts_of
 from .hashed import byte_ngrams
 
@@ -34,9 +37,12 @@ FAMILIES = {
 UNDETERMINED = "und"
 BUCKETS = (256, 1024, 4096)
 
-#: Bound of the fit: at most so many training texts of each language, and so many languages.
+#: Bound of the fit: about so many training texts of each language; of more languages than the second, fewer of each.
 TRAIN_PER_LANGUAGE = 800
-MAX_LANGUAGES = 64
+FULL_LANGUAGES = 64
+LEAST_PER_LANGUAGE = 8
+#: More families than this are joined to groups, so that machines grow slower than the square of the languages.
+MOST_FAMILIES = 64
 
 
 def family_of(lang: str) -> str:
@@ -87,14 +93,29 @@ class Discriminator:
 
     def __init__(self, langs: list[str]):
         self.langs = sorted(langs)
-        self.families = sorted({family_of(x) for x in self.langs})
-        self.members = {f: [x for x in self.langs if family_of(x) == f] for f in self.families}
+        self._group({x: family_of(x) for x in self.langs})
         self.pairs: list[tuple[str, str]] = []
         self.weights = np.zeros((0, sum(BUCKETS)), dtype=np.float32)
         self.bias = np.zeros(0, dtype=np.float32)
 
+    def _group(self, family: dict[str, str]) -> None:
+        self.family = family
+        self.families = sorted(set(family.values()))
+        self.members = {f: [x for x in self.langs if family[x] == f] for f in self.families}
+
+    def _join_single_families(self, x: np.ndarray, lang: np.ndarray) -> None:
+        """Deals the languages that are alone in their family into groups along the main axis of their mean texts."""
+        alone = [m[0] for m in self.members.values() if len(m) == 1]
+        means = np.stack([x[lang == v].mean(axis=0) for v in alone])
+        axis = np.linalg.svd(means - means.mean(axis=0), full_matrices=False)[2][0]
+        order = [alone[i] for i in np.argsort(means @ axis, kind="stable")]
+        size = int(np.ceil(np.sqrt(len(order))))
+        self._group(self.family | {v: f"group-{i // size}" for i, v in enumerate(order)})
+
     def fit(self, x: np.ndarray, lang: np.ndarray) -> Discriminator:
-        family = np.array([family_of(v) for v in lang])
+        if len(self.families) > MOST_FAMILIES:
+            self._join_single_families(x, lang)
+        family = np.array([self.family[v] for v in lang])
         weights, bias = [], []
         for names, marks in [(self.families, family), *((m, lang) for m in self.members.values())]:
             for i, a in enumerate(names):
@@ -137,15 +158,17 @@ def fit(train: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Discriminat
     machines are fitted; nothing else does. Rows are chosen by a hash of their id and text.
     """
     known = train.where("doc_id is not null and lang is not null and text is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    n_langs = known.select("lang").distinct().count()
+    if not n_langs:
         return Discriminator([])
-    share = F.lit(0)
-    for r in counts:
-        cut = min(1 << 20, int((1 << 20) * per_language / r["count"]) + 1)
-        share = F.when(F.col("lang") == r["lang"], F.lit(cut)).otherwise(share)
-    chosen = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(1 << 20)) < share
-    picked = known.where(chosen).select("text", "lang")
+    if n_langs > FULL_LANGUAGES:
+        per_language = max(min(LEAST_PER_LANGUAGE, per_language), int(per_language * (FULL_LANGUAGES / n_langs) ** 2))
+    drawn = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(1 << 20))
+    # one of each language stays, whatever its rows hash to
+    least = known.groupBy("lang").agg(F.count(F.lit(1)).alias("of"), F.min(drawn).alias("least"))
+    cut = F.least(F.lit(1 << 20), F.floor(F.lit((1 << 20) * per_language) / F.col("of")) + 1)
+    limits = least.select("lang", F.greatest(cut, F.col("least") + 1).alias("cut"))
+    picked = left_join_unique(known.withColumn("drawn", drawn), limits, ["lang"]).where("drawn < cut").select("text", "lang")
 
     def work(batch):
         texts = texts_of(batch.column(0))
@@ -154,7 +177,7 @@ def fit(train: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Discriminat
     # the hash leaves about the bound; the limit only guards the driver against one row repeated for ever
     rows = (
         map_batches(picked, work, "lang string, x binary")
-        .limit(2 * per_language * len(counts) + 1000)
+        .limit(2 * per_language * n_langs + 1000)
         .toPandas()
         .sort_values(["lang", "x"])
     )

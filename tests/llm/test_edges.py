@@ -61,6 +61,22 @@ def test_language_rejects_texts_without_letters(spark, documents):
     assert not kept & {3, 4, 5} and {1, 2, None} <= kept
 
 
+def test_every_language_is_learnt(spark):
+    """More languages than take part in full: also the rarest is given back."""
+    letters = [chr(0x4E00 + 40 * k) + chr(0x4E07 + 40 * k) + chr(0x4E11 + 40 * k) for k in range(80)]
+    rows = [
+        (100 * k + i, " ".join(letters[k][j % 3] * (1 + (i + j) % 3) for j in range(12)), f"x{k:02d}")
+        for k in range(80)
+        for i in range(2 if k == 79 else 3)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.langs) == 80 and len(model.pairs) < 80 * 79 // 4
+    got = language.identify(docs, model).select("lang", "found.*").collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got if r["lang"] == "x79")
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.95 * len(got)
+
+
 def test_one_row_of_each_class_stays(spark, documents):
     kept = [r["doc_id"] for r in stages.one_of_each_class(spark, documents(), "").collect()]
     assert kept.count(1) == 1 and 2 not in kept and None not in kept
