@@ -46,7 +46,7 @@ def read_json_lines(spark, d):
 
 @query("read_json_columns", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def read_json_columns(spark, d):
-    """One column-oriented document per nation, read back as rows."""
+    """Column-oriented documents of one nation and at most a thousand keys each, read back as rows."""
     rows = table(spark, d, "supplier")
     path = _scratch(spark, "json-columns")
 
@@ -56,7 +56,7 @@ def read_json_columns(spark, d):
         ).alias(c)
 
     names = ["s_suppkey", "s_name", "s_acctbal"]
-    documents = rows.groupBy("s_nationkey").agg(*[column(c) for c in names])
+    documents = rows.groupBy("s_nationkey", F.expr("s_suppkey div 1000")).agg(*[column(c) for c in names])
     documents.select(F.to_json(F.struct(*names))).write.text(path)
     schema = T.StructType([rows.schema[c] for c in names])
     return read_table(spark, path, "json", schema, json_orient="columns")

@@ -126,3 +126,14 @@ def test_spelling_prefers_near_then_frequent(spark):
     df = spark.createDataFrame([(1, "THE CLINIK MEDICL"), (2, "clinic xyzzy")], "id int, Provider_Name string")
     got = correct.spell_correct(df, words, "Provider_Name", "id").orderBy("id").collect()
     assert [r["Filtered_Name"] for r in got] == [" THE CLINIC MEDICAL", " CLINIC XYZZY"]
+
+
+def test_column_documents_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    from kinweave.plans import table_queries
+
+    rows = spark.range(3000).selectExpr("id as s_suppkey", "concat('s', id) as s_name", "0 as s_nationkey", "1.5D as s_acctbal")
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(table_queries, "_scratch", lambda *_: f"{tmp_path}/documents")
+    got = table_queries.read_json_columns(spark, str(tmp_path))
+    assert got.count() == 3000 and got.select("s_suppkey").distinct().count() == 3000
+    assert spark.read.text(f"{tmp_path}/documents").count() == 3
