@@ -7,7 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import table
-from . import archives, bpe, chat, fingerprint, language, lines, neardup, packing, quality, sql, tokens
+from ..session import stage
+from . import (
+    archives,
+    bpe,
+    chat,
+    fingerprint,
+    language,
+    lines,
+    neardup,
+    packing,
+    quality,
+    repair,
+    resample,
+    sql,
+    tokens,
+    topk,
+)
 from .common import crc32_fold
 from .registry import query
 from .stages import byte_bpe_path
@@ -75,6 +91,26 @@ def op3_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(table(spark, folder, "documents"))
 
 
+@query("op11_importance_resampling", sql.IMPORTANCE_RESAMPLING)
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = resample.resample(docs, table(spark, folder, "benchmark").select("text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_exact_top_k", sql.EXACT_TOP_K)
+def op12_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.whole_numbers(table(spark, folder, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("op13_conversation_repair", sql.CONVERSATION_REPAIR)
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    steps = stage(repair.repair(repair.damage(turns)), "repaired")
+    return repair.of_all(turns, repair.report(steps))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
