@@ -7,8 +7,11 @@ loss of the executors that wrote it and carries true size statistics for the nex
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +47,67 @@ def _path(spark: SparkSession, label: str) -> str:
     return f"{_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """The tables staged inside a :func:`scratch` block."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.kept: set[str] = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The staged table ``df`` outlives the block."""
+        self.kept.add(df._staged_at)
+        return df
+
+
+_SCRATCH: contextvars.ContextVar[Scratch | None] = contextvars.ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Deletes, when the block ends, every table staged inside it that was not given to ``keep``.
+
+    What leaves the block must be a kept table or numbers, not a plan that still reads a deleted one.
+    """
+    outer = _SCRATCH.get()
+    mine = Scratch()
+    token = _SCRATCH.set(mine)
+    try:
+        yield mine
+    finally:
+        _SCRATCH.reset(token)
+        for path in mine.paths:
+            if path not in mine.kept:
+                _delete(spark, path)
+            elif outer is not None:
+                outer.paths.append(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, keeps statistics, survives lost executors."""
-    path = _path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = _path(spark, label)
+    if (open_scratch := _SCRATCH.get()) is not None:
+        open_scratch.paths.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
 
 
 def stage_measured(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -60,23 +119,18 @@ def stage_measured(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFr
 
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads (superseded rounds of an iteration)."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(_root(spark)).toUri().getPath() + "/"
-    for file in df.inputFiles():
-        parent = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if parent.toUri().getPath().startswith(root):
-            fs = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            fs.delete(parent, True)
-            return
+    _delete(df.sparkSession, df._staged_at)
 
 
 def _row_bytes(df: DataFrame) -> Column:
-    """Rough width of a row: bytes of text and binary, eight per array element or other value."""
+    """Rough width of a row: bytes of text and binary, also in arrays; eight per array element or other value."""
     width = F.lit(0)
     for f in df.schema:
+        texts = isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.StringType, T.BinaryType))
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             part = F.octet_length(f.name)
+        elif texts:
+            part = F.aggregate(f.name, F.lit(0), lambda n, x: n + 8 + F.coalesce(F.octet_length(x), F.lit(0)))
         elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
             part = F.size(f.name) * 8
         else:
