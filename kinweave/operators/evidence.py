@@ -4,8 +4,8 @@ A pair that agrees on a blocking rule only is worth a known weight. If that is b
 threshold asks for, the pair must also agree, exactly or closely, on at least one of a few further
 fields. So a large block is joined once per such field on (block key, field value), where a record is
 copied to the values close to its own. Close values are sought among the distinct values of one
-block, so at most the pairs of a tiled block are compared. No pair that reaches the threshold is
-lost, and nothing is capped.
+block through an index of segments or letters, so only few of their pairs are measured. No pair that reaches
+the threshold is lost, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from ..functions.similarity import length_allows
 from ..session import stage
 from .candidates import TILE_ROWS, Rule, join_block, large_keys, same_on
 from .compare import Comparison, add_gammas
+from .valueindex import can_index, candidate_pairs
 
 
 @dataclass(frozen=True)
@@ -85,8 +86,7 @@ def plan_evidence(
 def close_values(values: DataFrame, keys: list[str], e: Evidence, tile_rows: int = TILE_ROWS) -> DataFrame | None:
     """(keys, v_l, v_r): pairs of different values of one block at one of the evidence levels, both ways.
 
-    ``values`` holds the distinct (keys, v). Each unordered pair of a block is compared once, in tiles;
-    lengths rule out what they can before a similarity is measured.
+    ``values`` holds the distinct (keys, v). Each unordered pair that the index leaves is measured once.
     """
     level = e.loosest()
     if level is None:
@@ -103,10 +103,13 @@ def close_values(values: DataFrame, keys: list[str], e: Evidence, tile_rows: int
 
 
 def value_pairs(values: DataFrame, keys: list[str], level, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Unordered pairs of different values of a block whose lengths allow the level."""
+    """Unordered pairs of different values of a block that may be at the level, each once.
+
+    They come from the index; where the level is too loose for it, from tiles, as far as lengths allow.
+    """
+    if can_index(level):
+        return candidate_pairs(values, keys, level, tile_rows)
     pairs = join_block(values, values, keys, "v", True, tile_rows)
-    if level.metric == "levenshtein":
-        return pairs.where(F.abs(F.length("v_l") - F.length("v_r")) <= int(level.cut))
     return pairs.where(length_allows(F.col("v_l"), F.col("v_r"), level.cut))
 
 
