@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from statistics import median
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from ..session import stage
 from .candidates import TILE_ROWS, Rule, block_rules, join_block, new_pairs, sample_pairs
 from .compare import Comparison, Level, add_gammas, with_term_frequencies
 from .evidence import reaching_pairs
+from .patterns import block_patterns, can_tabulate
 
 # fixed values: prior of a fresh model, share of m on the exact level before training, EM stopping
 DEFAULT_PRIOR = 0.0001
@@ -154,8 +156,8 @@ def pattern_counts(
     """Pairs per gamma pattern among the pairs meeting ``rule``.
 
     Copies are collapsed first: two distinct records stand for copies·copies pairs, and a record with
-    k copies for k(k-1)/2 pairs of equal records. Pairs are never stored; each task keeps the counts
-    of the patterns it met, at most the product of the level counts.
+    k copies for k(k-1)/2 pairs of equal records. Records are dealt out by block and a task counts the patterns
+    of its pairs without making rows of them; only levels of other kinds, or fields of other types, are judged on pair rows.
     """
     cols = list(dict.fromkeys([*rule, *[c.column for c in comparisons]]))
     names = [f"gamma_{c.name}" for c in comparisons]
@@ -165,10 +167,14 @@ def pattern_counts(
         right = left
     else:
         right = collapse_copies(other, cols, id_col)
-    pairs = join_block(left, right, list(rule), id_col, other is None, tile_rows)
-    weighted = add_gammas(pairs, comparisons).select(
-        *names, (F.col("copies_l") * F.col("copies_r")).alias("w")
-    )
+    if can_tabulate(left, comparisons) and can_tabulate(right, comparisons):
+        weighted = block_patterns(left, right, list(rule), comparisons, id_col, other is None, tile_rows)
+        weighted = weighted.withColumnRenamed("n", "w")
+    else:
+        pairs = join_block(left, right, list(rule), id_col, other is None, tile_rows)
+        weighted = add_gammas(pairs, comparisons).select(
+            *names, (F.col("copies_l") * F.col("copies_r")).alias("w")
+        )
     if other is None:
         alike = left.where(
             (F.col("copies") > 1) & reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in rule])
@@ -204,6 +210,48 @@ class Session:
     log_likelihood: tuple[float, ...]
 
 
+#: So many patterns are held on the driver for the rounds of EM; there are at most the product of the level counts.
+LOCAL_PATTERNS = 1 << 20
+
+
+def _spark_sums(patterns: DataFrame):
+    """Sums of a round as one aggregation to a single row."""
+
+    def sums(current: list[Comparison], prior: float) -> dict:
+        weight = reduce(lambda a, b: a + b, [_weight(c) for c in current], F.lit(log_odds(prior)))
+        scored = patterns.withColumn("_w", weight).withColumn("_pn", _probability(F.col("_w")) * F.col("n"))
+        out = [F.sum("_pn").alias("p"), F.sum("n").alias("n")]
+        out.append(F.sum(F.col("n") * F.log1p(F.pow(F.lit(2.0), F.col("_w")))).alias("gain"))
+        for c in current:
+            for g in range(len(c.scored)):
+                hit = F.col(f"gamma_{c.name}") == g
+                out.append(F.sum(F.when(hit, F.col("_pn"))).alias(f"{c.name}|{g}"))
+        return scored.agg(*out).first().asDict()
+
+    return sums
+
+
+def _local_sums(patterns: DataFrame, comparisons: list[Comparison]):
+    """Sums of a round over a bounded table of patterns on the driver; no Spark job a round."""
+    held = patterns.toArrow()
+    n = np.asarray(held.column("n"), dtype=np.float64)
+    gammas = [np.asarray(held.column(f"gamma_{c.name}"), dtype=np.int64) for c in comparisons]
+
+    def sums(current: list[Comparison], prior: float) -> dict:
+        w = np.full(len(n), log_odds(prior))
+        for c, g in zip(current, gammas, strict=True):
+            # index -1, a missing side, is the last entry and adds nothing
+            w += np.array([*(math.log2(l.m / l.u) for l in reversed(c.scored)), 0.0])[g]
+        pn = n / (1.0 + np.exp2(-w))
+        out = {"p": pn.sum(), "n": n.sum(), "gain": (n * np.logaddexp(0.0, w * math.log(2))).sum()}
+        for c, g in zip(current, gammas, strict=True):
+            by = np.bincount(g + 1, weights=pn, minlength=len(c.scored) + 1)
+            out |= {f"{c.name}|{k}": v for k, v in enumerate(by[1:].tolist())}
+        return out
+
+    return sums
+
+
 def run_em(
     patterns: DataFrame,
     comparisons: list[Comparison],
@@ -211,24 +259,19 @@ def run_em(
     rule: Rule = (),
     rounds: int = EM_ROUNDS,
     tolerance: float = EM_CONVERGED,
+    local_patterns: int = LOCAL_PATTERNS,
 ) -> Session:
-    """EM over the pattern counts with u fixed; each round is one aggregation to a single row."""
+    """EM over the pattern counts with u fixed; rounds run on the driver while the patterns are few enough, counted first."""
     current = [filled(c) for c in comparisons]
     likelihood = []
     done = 0
+    few = patterns.limit(local_patterns + 1).count() <= local_patterns
+    sums = _local_sums(patterns, comparisons) if few else _spark_sums(patterns)
     for done in range(1, rounds + 1):
-        weight = reduce(lambda a, b: a + b, [_weight(c) for c in current], F.lit(log_odds(prior)))
-        # log P(pattern | no match) is constant over rounds, so it is left out of the likelihood
-        scored = patterns.withColumn("_w", weight).withColumn("_pn", _probability(F.col("_w")) * F.col("n"))
-        sums = [F.sum("_pn").alias("p"), F.sum("n").alias("n")]
-        sums.append(F.sum(F.col("n") * F.log1p(F.pow(F.lit(2.0), F.col("_w")))).alias("gain"))
-        for c in current:
-            for g in range(len(c.scored)):
-                hit = F.col(f"gamma_{c.name}") == g
-                sums.append(F.sum(F.when(hit, F.col("_pn"))).alias(f"{c.name}|{g}"))
-        row = scored.agg(*sums).first()
+        row = sums(current, prior)
         if not row["n"]:
             break
+        # log P(pattern | no match) is constant over rounds, so it is left out of the likelihood
         likelihood.append(row["gain"] + row["n"] * math.log(1 - prior))
         new_prior = min(max(row["p"] / row["n"], 1e-12), 1 - 1e-12)
         change = abs(new_prior - prior)
@@ -551,13 +594,24 @@ def to_settings(model: Model) -> dict:
     }
 
 
-_RULE_COLUMN = re.compile(r'l\."?(\w+)"?\s*=\s*r\."?\1"?', re.IGNORECASE)
+_RULE_COLUMN = re.compile(r'\s*l\."?(\w+)"?\s*=\s*r\."?\1"?\s*', re.IGNORECASE)
 _METRICS = (
     ("levenshtein", re.compile(r"^levenshtein\(.*\)\s*<=\s*(\d+)$")),
     ("jaro_winkler", re.compile(r"^jaro_winkler_similarity\(.*\)\s*>=\s*([\d.]+)$")),
 )
 
 
+def read_rule(text: str) -> Rule:
+    """The columns of a stored rule, which must be equalities of one column each, joined by AND; anything else raises."""
+    columns = []
+    for part in re.split(r"\bAND\b", text, flags=re.IGNORECASE):
+        found = _RULE_COLUMN.fullmatch(part)
+        if not found:
+            raise ValueError(f"a rule must be equalities of equally named columns joined by AND, not {text!r}")
+        columns.append(found.group(1))
+    return tuple(columns)
+
+
 def from_settings(settings: dict) -> Model:
     """Reads stored settings. Probabilities are taken as they are, without rescaling them to sum to 1.
 
@@ -597,9 +651,7 @@ def from_settings(settings: dict) -> Model:
             )
             for c in settings["comparisons"]
         ),
-        tuple(
-            tuple(_RULE_COLUMN.findall(r)) for r in settings["blocking_rules_to_generate_predictions"]
-        ),
+        tuple(read_rule(r) for r in settings["blocking_rules_to_generate_predictions"]),
         settings.get("probability_two_random_records_match", DEFAULT_PRIOR),
         settings["link_type"],
     )
