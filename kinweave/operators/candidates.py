@@ -51,9 +51,8 @@ def _pieces(df: DataFrame, keys: list[str], tile_rows: int, out: str) -> DataFra
         .where(F.col("_n") > tile_rows)
         .select(*keys, F.ceil(F.col("_n") / tile_rows).cast("int").alias(out))
     )
-    if sizes.limit(1).count() == 0:
-        return None
-    return broadcast_if_small(stage(sizes, "pieces"))
+    sizes = stage(sizes, "pieces")
+    return None if sizes.isEmpty() else broadcast_if_small(sizes)
 
 
 def large_keys(
@@ -171,23 +170,34 @@ def block_rules(
     return reduce(DataFrame.unionAll, parts)
 
 
-def equal_pairs(df: DataFrame, cols: list[str], other: DataFrame | None = None) -> DataFrame:
-    """One row ``k``: pairs equal on all ``cols``, from the sizes of the groups; no pair is formed."""
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-    left = df.where(known).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-    if other is None:
-        count = left.select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("k"))
-    else:
-        right = other.where(known).groupBy(*cols).agg(F.count(F.lit(1)).alias("n2"))
-        count = left.join(right, cols).select((F.col("n") * F.col("n2")).alias("k"))
-    return count.agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("k"))
+def equal_pairs(df: DataFrame, sets: list[tuple[str, ...]], other: DataFrame | None = None) -> DataFrame:
+    """(set, k): how many pairs are equal on all columns of each set, from the sizes of the groups; no pair is formed.
+
+    All sets are counted in one scan, by grouping sets. Sets without pairs have no row.
+    """
+    columns = sorted({c for s in sets for c in s})
+    rows = df.select(*columns, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
+    if other is not None:
+        rows = rows.unionByName(other.select(*columns, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    # the bit of a column is set where it is not part of the group
+    number = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in s): k for k, s in enumerate(sets)}
+    sizes = rows.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(
+        F.grouping_id(*columns).alias("_id"), F.sum("_a").alias("_a"), F.sum("_b").alias("_b")
+    )
+    outside = [F.col("_id").bitwiseAND(1 << (len(columns) - 1 - i)) != 0 for i in range(len(columns))]
+    known = [F.col(c).isNotNull() | out for c, out in zip(columns, outside, strict=True)]
+    a, b = F.col("_a"), F.col("_b")
+    pairs = F.expr("_a * (_a - 1) div 2") if other is None else a * b
+    counted = sizes.where(reduce(lambda x, y: x & y, known)).groupBy("_id").agg(F.sum(pairs).alias("k"))
+    named = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
+    return counted.select(named[F.col("_id").cast("int")].alias("set"), "k")
 
 
 def new_pairs(df: DataFrame, rules: list[Rule], other: DataFrame | None = None) -> DataFrame:
     """(match_key, new_pairs): pairs each rule adds to the earlier ones, by inclusion and exclusion.
 
     A set of rules counts, with its sign, for the last of its rules; sets that ask for the same columns are
-    counted together, so a group of any size costs one counter.
+    counted together, so a group of any size costs one counter, and all sets come from one scan of the table.
     """
     weights: dict[tuple[int, tuple[str, ...]], int] = {}
     for mask in range(1, 1 << len(rules)):
@@ -196,12 +206,11 @@ def new_pairs(df: DataFrame, rules: list[Rule], other: DataFrame | None = None)
         key = (chosen[-1], cols)
         weights[key] = weights.get(key, 0) + (1 if len(chosen) % 2 else -1)
     used = sorted({cols for (_, cols), w in weights.items() if w})
-    counts = [equal_pairs(df, list(cols), other).select(F.lit(i).alias("set"), "k") for i, cols in enumerate(used)]
     signs = df.sparkSession.createDataFrame(
         [(k, used.index(cols), w) for (k, cols), w in weights.items() if w], "match_key int, set int, sign int"
     )
     # one row for each set of columns
-    found = signs.join(F.broadcast(reduce(DataFrame.unionAll, counts)), "set")
+    found = signs.join(F.broadcast(equal_pairs(df, used, other)), "set")
     return found.groupBy("match_key").agg(F.sum(F.col("k") * F.col("sign")).alias("new_pairs"))
 
 
