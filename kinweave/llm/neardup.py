@@ -9,9 +9,11 @@ Registers are banded by four; texts that share a band are candidates, and a cand
 probability Jaccard is 0.8 or more. At 0.8 a pair misses all 20 bands about once in 40,000.
 
 Classes are the connected components of the links. Equal texts are one node. In each bucket all texts are first
-compared with one hub; then the pairs of a bucket that are still in different components are measured in tiles
-of bounded size by matrix products, and only links that join components leave a tile. So a large group of copies costs a
-star and some tiles and not a list of all its pairs, and no link that could join two classes is left out. Nothing is capped.
+compared with one hub; then the buckets whose texts are still in different components are cut into tiles of bounded size.
+A first pass over the tiles compares registers only and names the texts that may still have a link there; a pair is looked at
+in the first bucket it shares only, and buckets of the same texts are taken once. A second pass measures these texts by
+matrix products, and only links that join components leave a tile. So a large group of copies costs a star and some tiles
+and not a list of all its pairs, and no link that could join two classes is left out. Nothing is capped.
 
 Decisions: a text of fewer than five words has one element of all its words. Equal texts are one class, empty and
 null ones too; other texts without a word are linked to nothing. ``class_id`` is the least id of the class (null only if
@@ -24,9 +26,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.cluster import connected_components
+from ..operators.cluster import connected_components, join_components
 from ..operators.skew import left_join_unique
-from ..session import broadcast_if_small, stage, unstage
+from ..session import broadcast_if_small, scratch, stage, unstage
 from .common import WordHashes, arrow_rows, arrow_schema, as_batch, map_batches, mix64, release_memory, shuffle_partitions, text_slices, word_windows
 
 WORDS_IN_ELEMENT = 5
@@ -109,7 +111,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, node (128 bits of the text), bands and registers (32 bits each); one pass, no shuffle."""
+    """doc_id, node (128 bits of the text), chars, bands and registers (32 bits each); one pass, no shuffle."""
 
     def work(batch):
         import hashlib
@@ -126,11 +128,12 @@ def sketch(docs: DataFrame) -> DataFrame:
             yield {
                 "doc_id": batch.column(0)[low:high],
                 "node": [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in part],
+                "chars": [len(t) for t in part],
                 "bands": [k.tolist() if s else [] for k, s in zip(keys, some, strict=True)],
                 "registers": [r.tolist() if s else [] for r, s in zip(short, some, strict=True)],
             }
 
-    schema = "doc_id long, node binary, bands array<long>, registers array<int>"
+    schema = "doc_id long, node binary, chars long, bands array<long>, registers array<int>"
     return map_batches(docs.select("doc_id", "text"), work, schema)
 
 
@@ -153,9 +156,10 @@ class _Texts:
     def of(self, some: DataFrame) -> DataFrame:
         """(node, text) of the given nodes, each once, as a table."""
         wanted = stage(self.nodes.select("node", "first_id").join(some, "node"), "wanted")
-        read = self.docs.select(F.col("doc_id").alias("_id"), "text", _node().alias("_node"))
-        same = (F.col("node") == F.col("_node")) & F.col("first_id").eqNullSafe(F.col("_id"))
-        met = read.join(broadcast_if_small(wanted), same).select("node", F.coalesce("text", F.lit("")).alias("text"))
+        read = self.docs.select(F.col("doc_id").alias("_id"), "text")
+        # an id may be given to several texts, so the text must be the one that is meant
+        met = read.join(broadcast_if_small(wanted), F.col("first_id").eqNullSafe(F.col("_id")))
+        met = met.where(F.col("node") == _node()).select("node", F.coalesce("text", F.lit("")).alias("text"))
         found = stage(met.dropDuplicates(["node"]), "candidate-texts")
         unstage(wanted)
         return found
@@ -252,60 +256,104 @@ def tile_links(
     return out
 
 
-#: Texts of one block of a bucket; a tile holds two blocks at most.
-BLOCK_TEXTS = 512
+#: Texts and characters of one block of a bucket; a tile holds two blocks at most.
+BLOCK_TEXTS, BLOCK_CHARS = 512, 1 << 22
+_TILE = ["key", "low", "high"]
 
 
-def _rest(docs, members, parts, nodes, texts: _Texts, similarity: float) -> DataFrame | None:
-    """Links inside buckets whose texts are still in several components, or None if there is no such bucket.
+def _by_tile(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the rows (as tuples) of one tile after the other; it gives columns by name."""
+    n = shuffle_partitions(rows.sparkSession)
+    dealt = rows.repartition(n, *_TILE).sortWithinPartitions(*_TILE)
+    fields = arrow_schema(schema)
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    yield as_batch(work(held), fields)
+                    held = []
+                held.append(row)
+        if held:
+            yield as_batch(work(held), fields)
+        release_memory()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _sides(held: list[tuple], block: int) -> np.ndarray | None:
+    """The block of each row of a tile of two blocks; None in a tile of one."""
+    return np.array([r[block] for r in held]) if held[0][1] != held[0][2] else None
+
+
+def likely_members(
+    bands: np.ndarray, owner: np.ndarray, part: np.ndarray, side: np.ndarray | None, band: int, least: int
+) -> np.ndarray:
+    """Which texts of a tile have a partner in another part with ``least`` equal registers, and share no earlier band than ``band``."""
+    m = len(part)
+    able = part[:, None] != part[None, :]
+    if side is not None:
+        able &= side[:, None] != side[None, :]
+    for k in range(band):  # a pair that shares an earlier band is looked at there
+        able &= bands[:, k][:, None] != bands[:, k][None, :]
+    if able.any():
+        equal = np.zeros((m, m), dtype=np.int16)
+        for k in range(owner.shape[1]):
+            equal += owner[:, k][:, None] == owner[:, k][None, :]
+        able &= equal >= least
+    return able.any(axis=0) | able.any(axis=1)
+
+
+def _rest(members: DataFrame, parts: DataFrame, nodes: DataFrame, texts: _Texts, similarity: float) -> DataFrame | None:
+    """Links inside buckets whose texts are still in several components, or None if there can be none.
 
     A bucket is cut into blocks; each pair of blocks is a tile, and a task sees one tile at a time. All pairs
-    of different components are measured, but only links that join components leave the tile.
+    of different components are looked at, but only links that join components leave the tile.
     """
-    placed = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    placed = members.join(parts, "node", "left").select("key", "band", "node", "chars", F.coalesce("component", "node").alias("part"))
+    mark = F.xxhash64("node")
     mixed = placed.groupBy("key").agg(
-        F.min("part").alias("least"), F.max("part").alias("most"), F.count(F.lit(1)).alias("n")
+        F.min("part").alias("least"),
+        F.max("part").alias("most"),
+        F.first("band").alias("band"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("chars").alias("chars"),
+        F.bit_xor(mark).alias("_x"),
+        F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("_y"),
     )
-    mixed = mixed.where("least != most").select("key", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int").alias("blocks"))
-    rows = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = stage(rows, "open-buckets")
+    # buckets of the same texts are taken once, in the first of their bands: there their pairs meet first
+    once = mixed.where("least != most").groupBy("n", "_x", "_y").agg(F.min(F.struct("band", "key", "chars")).alias("b"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("b.chars") / BLOCK_CHARS)).cast("int")
+    rows = placed.drop("band", "chars").join(once.select("b.key", "b.band", blocks.alias("blocks")), "key")
+    rows = stage(rows.withColumn("block", F.pmod(mark, F.col("blocks")).cast("int")), "open-buckets")
     if rows.isEmpty():
         return None
-    found = texts.of(rows.select("node").distinct())
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiled = rows.select("key", "node", "part", "block", other.alias("_o")).select(
-        "key",
-        F.least("block", "_o").alias("low"),
-        F.greatest("block", "_o").alias("high"),
-        "block",
-        "node",
-        "part",
-    )
-    full = tiled.join(found, "node").select("key", "low", "high", "block", "node", "part", "text")
-    tile = ["key", "low", "high"]
-    dealt = full.repartition(shuffle_partitions(docs.sparkSession), *tile).sortWithinPartitions(*tile)
-    fields = arrow_schema("a binary, b binary")
+    tiled = rows.select("key", "band", "node", "part", "block", other.alias("_o"))
+    low, high = F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high")
+    tiled = tiled.select("key", low, high, "block", "node", "part", "band")
+    least = int((similarity - SLACK) * REGISTERS)
+
+    def likely(held: list[tuple]) -> dict:
+        _, part = np.unique([r[5] for r in held], return_inverse=True)
+        bands, owner = np.array([r[7] for r in held]), np.array([r[8] for r in held])
+        some = np.flatnonzero(likely_members(bands, owner, part, _sides(held, 3), held[0][6], least))
+        return {c: [held[i][k] for i in some] for k, c in enumerate(("key", "low", "high", "block", "node", "part"))}
+
+    sketched = tiled.join(nodes.select("node", "bands", "registers"), "node")
+    sketched = sketched.select(*_TILE, "block", "node", "part", "band", "bands", "registers")
+    suspects = stage(_by_tile(sketched, likely, "key long, low int, high int, block int, node binary, part binary"), "suspects")
+    if suspects.isEmpty():
+        return None
+    full = suspects.join(texts.of(suspects.select("node").distinct()), "node").select(*_TILE, "block", "node", "part", "text")
 
     def links(held: list[tuple]) -> dict:
-        low, high = held[0][1:3]
         _, part = np.unique([r[5] for r in held], return_inverse=True)
-        side = np.array([r[3] for r in held]) if low != high else None
-        got = tile_links([r[6] for r in held], part, side, similarity) if part.max() else []
+        got = tile_links([r[6] for r in held], part, _sides(held, 3), similarity) if part.max() else []
         return {"a": [held[i][4] for i, _ in got], "b": [held[j][4] for _, j in got]}
 
-    def run(batches):
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    yield as_batch(links(held), fields)
-                    held = []
-                held.append(row)
-        if held:
-            yield as_batch(links(held), fields)
-        release_memory()
-
-    return stage(dealt.mapInArrow(run, "a binary, b binary").distinct(), "more-links")
+    return stage(_by_tile(full, links, "a binary, b binary"), "more-links")
 
 
 def resolve(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -313,8 +361,9 @@ def resolve(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
 
     ``first_id`` is the least id of the text, ``chosen`` marks the text that stands for its class.
     """
-    with arrow_rows(docs.sparkSession, 1000):
-        return _resolve(docs, similarity)
+    with arrow_rows(docs.sparkSession, 1000), scratch(docs.sparkSession) as made:
+        rows, lookup = _resolve(docs, similarity)
+        return made.keep(rows), made.keep(lookup)
 
 
 def _resolve(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -323,20 +372,18 @@ def _resolve(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         rows.groupBy("node").agg(
             F.min("doc_id").alias("first_id"),
             F.count(F.lit(1)).alias("copies"),
-            F.first("bands").alias("bands"),
-            F.first("registers").alias("registers"),
+            *[F.first(c).alias(c) for c in ("chars", "bands", "registers")],
         ),
         "nodes",
     )
     least = int((similarity - SLACK) * REGISTERS)
-    banded = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stage(banded.join(buckets, "key"), "members")
+    banded = nodes.select("node", "chars", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stage(banded.join(buckets, "key"), "members")
     # the hub of a bucket is the text that shares most buckets with most texts: the least edited of a group of copies
-    crowd = members.groupBy("node").agg(F.sum("n").alias("crowd"))
-    crowded = members.select("key", "node").join(crowd, "node")
-    hubs = crowded.groupBy("key").agg(F.max(F.struct("crowd", "node"))["node"].alias("rep"))
-    members = stage(members.select("key", "node").join(hubs, "key"), "members")
+    crowd = shared.groupBy("node").agg(F.sum("n").alias("crowd"))
+    hubs = shared.select("key", "node").join(crowd, "node").groupBy("key").agg(F.max(F.struct("crowd", "node"))["node"].alias("rep"))
+    members = stage(shared.drop("n").join(hubs, "key"), "members")
     texts = _Texts(docs, nodes)
 
     stars = members.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
@@ -346,15 +393,17 @@ def _resolve(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     links = texts.verified(stage(likely.select("a", "b"), "stars"), similarity)
     parts = stage(connected_components(links, "a", "b"), "components")
 
-    more = _rest(docs, members, parts, nodes, texts, similarity)
+    more = _rest(members, parts, nodes, texts, similarity)
     if more is not None:
-        parts = stage(connected_components(links.unionByName(more), "a", "b"), "components")
+        parts = stage(join_components(parts, more, "a", "b"), "components")
 
     named = nodes.select("node", "first_id", "copies").join(parts, "node", "left")
     several = named.where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("first_id").isNull().alias("_none"), "first_id", F.col("node").alias("_chosen"))
-    ids = several.groupBy("component").agg(F.min(order).alias("_least"))
-    lookup = several.join(ids, "component").select(
+    ids = several.groupBy("component").agg(F.min(order).alias("_least"), F.count(F.lit(1)).alias("n"))
+    ids = stage(ids, "class-ids")
+    lookup = left_join_unique(several, ids.select("component", "_least"), ["component"], counts=ids.select("component", "n"))
+    lookup = lookup.select(
         "node",
         F.col("_least.first_id").alias("class_id"),
         "first_id",
