@@ -231,7 +231,7 @@ def index_arc(manifest: DataFrame, folder: str) -> DataFrame:
             yield rows
 
     schema = "file string, seq long, url string, date string, page_id long, payload_bytes long, digest string"
-    spread_files = spread(manifest.sparkSession, manifest.select("file"), "file")
+    spread_files = spread(manifest.sparkSession, manifest.select("file"))
     return map_batches(spread_files, work, schema)
 
 
@@ -273,7 +273,7 @@ def convert(
         roller.close()
         yield as_batch(roller.manifest(), fields)
 
-    return stage(spread(manifest.sparkSession, jobs, "file").mapInArrow(run, _MANIFEST), "warc-manifest")
+    return stage(spread(manifest.sparkSession, jobs).mapInArrow(run, _MANIFEST), "warc-manifest")
 
 
 def _warcinfo(name: str) -> bytes:
@@ -352,7 +352,7 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
             yield rows
 
     schema = "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, to_id string"
-    return map_batches(spread(manifest.sparkSession, manifest.select("file"), "file"), work, schema)
+    return map_batches(spread(manifest.sparkSession, manifest.select("file")), work, schema)
 
 
 def archive(pages: DataFrame, min_payload: int = 0) -> DataFrame:

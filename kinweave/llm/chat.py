@@ -3,7 +3,8 @@ r"""Chat formatting by prefix-target expansion.
 Every assistant turn becomes an example of its own: all preceding turns are its context and only its
 reply is trainable. Contexts of one conversation are prefixes of each other, so a conversation is
 written once as a stream of turn segments, and an example is a row of offsets into that stream: its text
-is ``stream[0:text_end]``, its trained part ``stream[loss_start:loss_end]``. The output grows with the
+is ``stream[0:text_end]``, its trained part ``stream[loss_start:loss_end]``. Each example also holds the digest of its whole
+context, which is compared with the stream when examples are read back. The output grows with the
 turns, not with their square; :func:`example_texts` writes examples out in full where a trainer wants that.
 
 A segment is ``<|turn|>role\ntext<|end|>\n``. Inside roles and texts every backslash, ``<`` and ``[`` gets
@@ -60,19 +61,40 @@ def format_turns(turns: DataFrame) -> DataFrame:
     )
 
 
+def _streams(rows: DataFrame) -> DataFrame:
+    """Each conversation whole in one task, in order, as a sort that spills."""
+    n = shuffle_partitions(rows.sparkSession)
+    return rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "position")
+
+
 def expand(formatted: DataFrame) -> DataFrame:
-    """One row for each assistant turn: its context, its reply and its trained part as offsets."""
-    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("position"))
-    return formatted.where("loss_start is not null").select(
-        "conv_id",
-        number.alias("example"),
-        "position",
-        (F.col("position") - 1).alias("context_turns"),
-        F.col("start").alias("context_end"),
-        "loss_start",
-        "loss_end",
-        (F.col("start") + F.length("segment")).alias("text_end"),
+    """One row for each assistant turn: its whole context (as an offset and a digest), its reply and its trained part.
+
+    ``context_sha256`` is the digest of the stream up to ``context_end``: all preceding turns of the example.
+    """
+    schema = (
+        "conv_id long, example int, position int, context_turns int, context_end long, context_sha256 string, "
+        "loss_start long, loss_end long, text_end long"
     )
+    fields = arrow_schema(schema)
+    columns = ("conv_id", "position", "segment", "start", "loss_start", "loss_end")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, begun, example, context = None, False, 0, hashlib.sha256()
+        for batch in batches:
+            out = []
+            for own, position, segment, start, low, high in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if not begun or own != conv:
+                    conv, begun, example, context = own, True, 0, hashlib.sha256()
+                if low is not None:
+                    example += 1
+                    digest = context.hexdigest()
+                    out.append((own, example, position, position - 1, start, digest, low, high, start + len(segment)))
+                context.update(segment.encode("utf-8", "replace"))
+            if out:
+                yield as_batch(dict(zip(fields.names, map(list, zip(*out, strict=True)), strict=True)), fields)
+
+    return _streams(formatted.select(*columns)).mapInArrow(run, schema)
 
 
 def example_texts(formatted: DataFrame, examples: DataFrame) -> DataFrame:
@@ -99,20 +121,23 @@ def read_back(stream: DataFrame, examples: DataFrame) -> DataFrame:
     """Digests of each conversation, from the written stream and examples only.
 
     conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars (of the stream), n_examples and
-    example_chars (of all example texts if written in full).
+    example_chars (of all example texts if written in full). An example whose context is not what the stream
+    holds before it raises.
     """
     segment = F.col("segment")
     inner = F.substring(segment, len(TURN) + 1, 1 << 30)
     text = F.expr(f"substring(_inner, length(_role) + 2, length(_inner) - length(_role) - 1 - {len(END)})")
-    parsed = stream.select("conv_id", "position", F.length(segment).alias("chars"), segment, inner.alias("_inner"))
-    parsed = parsed.withColumn("_role", F.regexp_extract("_inner", r"(?s)^((?:[^\\\n]|\\.)*)\n", 1))
+    parsed = stream.select("conv_id", "position", segment, inner.alias("_inner"))
+    # possessive, so that a long role is read by a loop and not by recursion
+    parsed = parsed.withColumn("_role", F.regexp_extract("_inner", r"(?s)^((?:[^\\\n]++|\\.)*+)\n", 1))
     parsed = parsed.withColumn("text", unescape(text)).withColumn("role", unescape(F.col("_role")))
-    e = examples.select(F.col("conv_id").alias("_c"), F.col("position").alias("_p"), "context_end", "loss_start", "loss_end", "text_end")
+    e = examples.select(F.col("conv_id").alias("_c"), F.col("position").alias("_p"), "context_end", "context_sha256", "loss_start", "loss_end", "text_end")
     met = parsed.join(e, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("position") == F.col("_p")), "left")
     loss = F.expr("substring(segment, int(loss_start - context_end + 1), int(loss_end - loss_start))")
-    rows = met.select("conv_id", "position", "role", "text", "chars", unescape(loss).alias("loss"), "text_end")
-    n = shuffle_partitions(stream.sparkSession)
-    sorted_rows = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "position")
+    rows = met.select(
+        "conv_id", "position", "role", "text", "segment", unescape(loss).alias("loss"), "context_end", "context_sha256", "text_end"
+    )
+    sorted_rows = _streams(rows)
     schema = (
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
         "formatted_chars long, n_examples long, example_chars long"
@@ -131,14 +156,17 @@ def read_back(stream: DataFrame, examples: DataFrame) -> DataFrame:
                 done[k].append(v)
 
         for batch in batches:
-            for conv, _, role, text, chars, loss, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, _, role, text, segment, loss, begin, digest, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is None or now["id"] != conv:
                     if now is not None:
                         close()
                     now = {"id": conv, "n": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "loss_n": 0,
-                           "chars": 0, "examples": 0, "example_chars": 0}
+                           "stream": hashlib.sha256(), "chars": 0, "examples": 0, "example_chars": 0}
+                if end is not None and (now["chars"], now["stream"].hexdigest()) != (begin, digest):
+                    raise ValueError(f"conversation {conv}: the context of an example is not the stream before it")
                 now["n"] += 1
-                now["chars"] += chars
+                now["chars"] += len(segment)
+                now["stream"].update(segment.encode("utf-8", "replace"))
                 now["all"].update(f"{role}\n{text}\n".encode("utf-8", "replace"))
                 if end is not None:
                     now["loss"].update(loss.encode("utf-8", "replace"))

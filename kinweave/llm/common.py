@@ -208,9 +208,12 @@ def read_file(folder: str, name: str):
     return fs.open_input_stream(f"{root}/{name}", compression=None, buffer_size=1 << 20)
 
 
-def spread(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
-    """A short manifest dealt out one row to a task or so, to be worked on in parallel."""
-    return rows.repartition(shuffle_partitions(spark), key)
+def spread(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """A short manifest dealt out one row to a task or so, to be worked on in parallel.
+
+    Without a key: one that the rows are dealt by already would be left out of the plan.
+    """
+    return rows.repartition(shuffle_partitions(spark))
 
 
 def even_share(total: int, each: int) -> int:

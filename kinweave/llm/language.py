@@ -8,8 +8,12 @@ length one. Every text is read whole.
 Decisions: a text that is null or has no letter is ``und`` with score 0. Any text repeated gives the
 same answer. A training table with one language predicts it everywhere; with none, all is ``und``.
 Training rows without text, language or id are left out. Ties between languages go to the first name.
-Every language of the training table is learnt: the more there are, the fewer texts of each are taken, and beyond
-``MOST_FAMILIES`` families those of one language are dealt into groups of alike ones, which vote as families do.
+Every language of the training table is learnt: the more there are, the fewer texts of each are taken, so that about
+``TRAIN_ROWS`` come to the driver in all, and beyond ``MOST_FAMILIES`` families those of one language are dealt into groups of
+alike ones, which vote as families do.
+
+Machines always name one of the learnt languages. How far a text is like any of them at all is a second figure: the greatest
+cosine with a language's mean text, over the least that a training text of about its length has with its own language.
 """
 
 from __future__ import annotations
@@ -37,10 +41,11 @@ FAMILIES = {
 UNDETERMINED = "und"
 BUCKETS = (256, 1024, 4096)
 
-#: Bound of the fit: about so many training texts of each language; of more languages than the second, fewer of each.
+#: Bound of the fit: about so many training texts of each language, and in all (at least one of each language).
 TRAIN_PER_LANGUAGE = 800
-FULL_LANGUAGES = 64
-LEAST_PER_LANGUAGE = 8
+TRAIN_ROWS = 8000
+#: Lengths are told apart by their power of two up to this one.
+LENGTHS = 24
 #: More families than this are joined to groups, so that machines grow slower than the square of the languages.
 MOST_FAMILIES = 64
 
@@ -88,6 +93,10 @@ def train_machine(
     return w, b
 
 
+def _size_class(chars: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(chars, 1)).astype(np.int64), LENGTHS - 1)
+
+
 class Discriminator:
     """All machines as one weight matrix, so a batch of texts is one matrix product."""
 
@@ -97,6 +106,8 @@ class Discriminator:
         self.pairs: list[tuple[str, str]] = []
         self.weights = np.zeros((0, sum(BUCKETS)), dtype=np.float32)
         self.bias = np.zeros(0, dtype=np.float32)
+        self.means = np.zeros((0, sum(BUCKETS)), dtype=np.float32)
+        self.least = np.ones(LENGTHS)
 
     def _group(self, family: dict[str, str]) -> None:
         self.family = family
@@ -112,7 +123,7 @@ class Discriminator:
         size = int(np.ceil(np.sqrt(len(order))))
         self._group(self.family | {v: f"group-{i // size}" for i, v in enumerate(order)})
 
-    def fit(self, x: np.ndarray, lang: np.ndarray) -> Discriminator:
+    def fit(self, x: np.ndarray, lang: np.ndarray, chars: np.ndarray | None = None) -> Discriminator:
         if len(self.families) > MOST_FAMILIES:
             self._join_single_families(x, lang)
         family = np.array([self.family[v] for v in lang])
@@ -128,8 +139,25 @@ class Discriminator:
         if weights:
             self.weights = np.array(weights, dtype=np.float32)
             self.bias = np.array(bias, dtype=np.float32)
+        self._fit_likeness(x, lang, np.full(len(x), 1 << LENGTHS) if chars is None else chars)
         return self
 
+    def _fit_likeness(self, x: np.ndarray, lang: np.ndarray, chars: np.ndarray) -> None:
+        """Mean texts, and for each power of two the least cosine of a training text at least that long with its own mean."""
+        means = np.stack([x[lang == v].mean(axis=0) for v in self.langs])
+        norms = np.linalg.norm(means, axis=1, keepdims=True)
+        self.means = (means / np.where(norms > 0, norms, 1)).astype(np.float32)
+        own = np.einsum("ij,ij->i", x, self.means[np.searchsorted(self.langs, lang)])
+        size = _size_class(chars)
+        for k in range(LENGTHS):
+            near = own[size == k]
+            # a length that was not seen is judged as the next shorter one
+            self.least[k] = near.min() if len(near) else self.least[k - 1] if k else 0.0
+
+    def familiarity(self, x: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Cosine with the nearest language over the least one learnt for texts of this length; 1 and more is usual."""
+        return (x @ self.means.T).max(axis=1) / np.maximum(self.least[_size_class(chars)], 1e-6)
+
     def _vote(self, names: list[str], margins: dict[tuple[str, str], float]) -> tuple[str, float]:
         """The name with most won pairs, then the largest smallest margin; its logistic confidence."""
         best = (-1, 0.0, "")
@@ -161,8 +189,7 @@ def fit(train: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Discriminat
     n_langs = known.select("lang").distinct().count()
     if not n_langs:
         return Discriminator([])
-    if n_langs > FULL_LANGUAGES:
-        per_language = max(min(LEAST_PER_LANGUAGE, per_language), int(per_language * (FULL_LANGUAGES / n_langs) ** 2))
+    per_language = max(1, min(per_language, TRAIN_ROWS // n_langs))
     drawn = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(1 << 20))
     # one of each language stays, whatever its rows hash to
     least = known.groupBy("lang").agg(F.count(F.lit(1)).alias("of"), F.min(drawn).alias("least"))
@@ -172,36 +199,39 @@ def fit(train: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Discriminat
 
     def work(batch):
         texts = texts_of(batch.column(0))
-        return {"lang": batch.column(1), "x": [features(t).astype(np.float16).tobytes() for t in texts]}
+        vectors = [features(t).astype(np.float16).tobytes() for t in texts]
+        return {"lang": batch.column(1), "chars": [len(t) for t in texts], "x": vectors}
 
     # the hash leaves about the bound; the limit only guards the driver against one row repeated for ever
     rows = (
-        map_batches(picked, work, "lang string, x binary")
+        map_batches(picked, work, "lang string, chars long, x binary")
         .limit(2 * per_language * n_langs + 1000)
         .toPandas()
         .sort_values(["lang", "x"])
     )
     x = np.stack([np.frombuffer(v, dtype=np.float16) for v in rows["x"]]).astype(np.float32)
-    return Discriminator(sorted(set(rows["lang"]))).fit(x, rows["lang"].to_numpy())
+    return Discriminator(sorted(set(rows["lang"]))).fit(x, rows["lang"].to_numpy(), rows["chars"].to_numpy())
 
 
 def identify(docs: DataFrame, model: Discriminator) -> DataFrame:
-    """``docs`` with lang_pred and score of every text in a column ``found``; only texts go to the workers."""
+    """``docs`` with lang_pred, score and familiarity of every text in a column ``found``; only texts go to the workers."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few machines of fixed width
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, familiarity double")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for texts in batches:
-            langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            langs, scores, alike = [UNDETERMINED] * len(texts), [0.0] * len(texts), np.zeros(len(texts))
             rows = [i for i, t in enumerate(texts) if t and model.langs and has_letter(t)]
             for low in range(0, len(rows), 128):
                 part = rows[low : low + 128]
-                got = model.predict(np.stack([features(texts.iloc[i]) for i in part]))
+                x = np.stack([features(texts.iloc[i]) for i in part])
+                got = model.predict(x)
+                alike[part] = model.familiarity(x, np.array([len(texts.iloc[i]) for i in part]))
                 for i, (lang, score) in zip(part, got, strict=True):
                     langs[i], scores[i] = lang, score
             texts = None
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            yield pd.DataFrame({"lang_pred": langs, "score": scores, "familiarity": alike})
         release_memory()
 
     return docs.withColumn("found", found(F.col("text")))

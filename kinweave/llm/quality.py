@@ -9,8 +9,8 @@ and the nearest vote with the power of their cosine.
 
 Decisions: every text is read whole. An empty or null text, or one without any neighbour of positive cosine,
 gets the sample's share of label 1. Several labels of one id count by their mean; null labels and ids
-are left out. Ties between neighbours go to the earlier row of the sample, which is sorted by its
-terms. Without labels every score is 0.5.
+are left out. Ties between neighbours (cosines equal to six digits) go to the earlier row of the sample, which is sorted by
+its terms. Without labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ SAMPLE_ROWS = 6000
 DIMENSIONS = 48
 NEIGHBOURS = 15
 POWER = 4
+#: Cosines that agree to so many digits are ties: equal vectors may differ in their last bits.
+DIGITS = 6
 THRESHOLD = 0.3
 
 TRIGRAMS, SHAPES, MARKS = 2048, 512, 40
@@ -110,12 +112,15 @@ class NeighbourVote:
 
     def score(self, x: np.ndarray, neighbours: int = NEIGHBOURS, power: int = POWER) -> np.ndarray:
         """Scores of a block of texts against all labelled vectors."""
-        cosine = np.maximum(self.project(x) @ self.vectors.T, 0)
+        cosine = np.maximum(np.round(self.project(x) @ self.vectors.T, DIGITS), 0)
         k = min(neighbours, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.take_along_axis(cosine, near, axis=1).astype(np.float64) ** power
+        last = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, -k, None]
+        above, equal = cosine > last, cosine == last
+        # of those equal to the last neighbour the earliest rows are taken
+        near = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        weight = np.where(near, cosine, 0).astype(np.float64) ** power
         total = weight.sum(axis=1)
-        vote = (weight * self.labels[near]).sum(axis=1)
+        vote = weight @ self.labels.astype(np.float64)
         return np.clip(np.where(total > 0, vote / np.where(total > 0, total, 1), self.prior), 0.0, 1.0)
 
 

@@ -35,7 +35,7 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     fold = F.coalesce(crc32_fold("doc_id", 4) == 2, F.lit(False))
     model = language.fit(docs.where(~fold))
     found = language.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", fold.alias("held_out"), "found.*")
+    return found.select("doc_id", fold.alias("held_out"), "found.lang_pred", "found.score")
 
 
 @query("op6_quality_rules", sql.QUALITY_RULES)

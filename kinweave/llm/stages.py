@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from . import language, lines, neardup, packing, tokens
 from .common import DOCUMENT_COLUMNS
 
-#: A language is accepted from this score on.
-LEAST_LANGUAGE_SCORE = 0.5
+#: A text is taken for one of the learnt languages if it is at least this share as like one as their own texts are.
+LEAST_FAMILIARITY = 0.4
 
 
 def byte_bpe_path() -> str:
@@ -24,10 +24,13 @@ def byte_bpe_path() -> str:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents with letters whose language is recognised; learnt from the rows with a ``lang``."""
+    """Documents with letters in one of the languages that rows with a ``lang`` teach.
+
+    A text in a script or language that no such row has is unlike all of them and goes.
+    """
     own = docs.select(*DOCUMENT_COLUMNS)
     found = language.identify(own, language.fit(own))
-    keep = (F.col("found.lang_pred") != language.UNDETERMINED) & (F.col("found.score") >= LEAST_LANGUAGE_SCORE)
+    keep = (F.col("found.lang_pred") != language.UNDETERMINED) & (F.col("found.familiarity") >= LEAST_FAMILIARITY)
     return found.where(keep).select(*DOCUMENT_COLUMNS)
 
 
