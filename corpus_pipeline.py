@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm import stages
-from kinweave.session import stage
+from kinweave.session import scratch, stage
 
 STAGES = [
     ("language", stages.known_language),
@@ -23,8 +23,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; the packed pieces of the documents that stay."""
+    """All stages over the documents table; the packed pieces of the documents that stay.
+
+    What a stage writes on its way is deleted when its result is written, and that when the next stage has read it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, work in STAGES:
-        docs = stage(work(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    with scratch(spark) as whole:
+        for name, work in STAGES:
+            with scratch(spark) as made:
+                docs = made.keep(stage(work(spark, docs, sf_dir), f"pipeline-{name}"))
+        return whole.keep(docs)
