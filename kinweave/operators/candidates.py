@@ -52,7 +52,7 @@ def _pieces(df: DataFrame, keys: list[str], tile_rows: int, out: str) -> DataFra
         .select(*keys, F.ceil(F.col("_n") / tile_rows).cast("int").alias(out))
     )
     sizes = stage(sizes, "pieces")
-    return None if sizes.isEmpty() else broadcast_if_small(sizes)
+    return None if sizes.isEmpty() else sizes
 
 
 def large_keys(
@@ -64,7 +64,13 @@ def large_keys(
     found = [x.select(*keys) for x in (a, b) if x is not None]
     if not found:
         return None
-    return broadcast_if_small(stage(reduce(DataFrame.unionAll, found).distinct(), "large"))
+    return found[0] if len(found) == 1 else stage(reduce(DataFrame.unionAll, found).distinct(), "large")
+
+
+def by_size(rows: DataFrame, large: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of large blocks, and all others; also a list of keys too long to broadcast meets its hot keys evenly."""
+    marked = left_join_unique(rows, large.select(*keys, F.lit(True).alias("_large")), keys)
+    return marked.where("_large").select(*rows.columns), marked.where("_large is null").select(*rows.columns)
 
 
 def split_cells(
@@ -86,7 +92,7 @@ def split_cells(
         return a, b, keys
     on = [*keys, "_i", "_j"]
     if same:
-        a = a.join(cut_a, keys, "left").withColumn("_pa", F.coalesce("_pa", F.lit(1)))
+        a = left_join_unique(a, cut_a, keys).withColumn("_pa", F.coalesce("_pa", F.lit(1)))
         a = a.withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_pa")).cast("int"))
         own, last = F.col("_own"), F.col("_pa") - 1
         l = a.withColumn("_i", own).withColumn("_j", F.explode(F.sequence(own, last)))
@@ -97,7 +103,7 @@ def split_cells(
         cut_b = cut_b if cut_b is not None else none.withColumn("_pb", F.lit(1))
 
         def spread(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
-            df = df.join(cut_a, keys, "left").join(cut_b, keys, "left")
+            df = left_join_unique(left_join_unique(df, cut_a, keys), cut_b, keys)
             df = df.withColumns({p: F.coalesce(p, F.lit(1)) for p in ("_pa", "_pb")})
             return df.withColumn(own, F.pmod(F.xxhash64(id_col), F.col(mine)).cast("int")).withColumn(
                 other, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))
@@ -281,11 +287,22 @@ def rows_for_pairs(max_pairs: int) -> int:
     return n
 
 
-def _sample_rows(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """The ``n`` rows whose keyed digest is smallest, numbered from 0 without a window over one task."""
+def _sample_rows(df: DataFrame, id_col: str, n: int, total: int, seed: int) -> DataFrame:
+    """The ``n`` of ``total`` rows whose keyed digest is smallest, numbered from 0 without a sort in one task.
+
+    Digests are even, so a cut leaves little more than ``n`` rows, which alone are sorted, by ranges.
+    """
     digest = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
-    picked = df.withColumn("_digest", digest).orderBy("_digest", id_col).limit(n)
-    return add_row_id(picked, ["_digest", id_col], 0, "_pos").drop("_digest")
+    keyed = df.withColumn("_digest", digest)
+    share = (n + 6 * math.sqrt(n) + 6) / max(total, 1)
+    while share < 1:
+        cut = f"{int(share * (1 << 60)):015x}"
+        few = stage(keyed.where(F.col("_digest") < cut), "sampled")
+        if few.count() >= n:
+            keyed = few
+            break
+        share *= 2
+    return add_row_id(keyed, ["_digest", id_col], 0, "_pos").where(F.col("_pos") < n).drop("_digest")
 
 
 def sample_pairs(
@@ -305,8 +322,9 @@ def sample_pairs(
     cols = list(dict.fromkeys([id_col, *(keep or [])]))
     p = F.col("id")
     if other is None:
-        rows = _sample_rows(df.select(*cols), id_col, rows_for_pairs(max_pairs), seed)
-        n = rows.count()
+        total = df.count()
+        n = min(rows_for_pairs(max_pairs), total)
+        rows = _sample_rows(df.select(*cols), id_col, n, total, seed)
         numbers = spark.range(n * (n - 1) // 2)
         j = F.floor((1 + F.sqrt(1 + 8 * p)) / 2).cast("long")
         j = F.when(j * (j - 1) / 2 > p, j - 1).when((j + 1) * j / 2 <= p, j + 1).otherwise(j)
@@ -320,10 +338,10 @@ def sample_pairs(
         # the smaller side keeps up to the square root of the bound, the other fills what is left
         small = min(na, nb, math.isqrt(max_pairs))
         large = min(max(na, nb), max_pairs // max(small, 1))
-        left = _sample_rows(df.select(*cols), id_col, small if na <= nb else large, seed)
-        right = _sample_rows(other.select(*cols), id_col, large if na <= nb else small, seed)
-        n = right.count()
-        numbers = spark.range(left.count() * n).select(
+        m, n = (small, large) if na <= nb else (large, small)
+        left = _sample_rows(df.select(*cols), id_col, m, na, seed)
+        right = _sample_rows(other.select(*cols), id_col, n, nb, seed)
+        numbers = spark.range(m * n).select(
             F.floor(p / n).cast("long").alias("_pos_l"), (p % n).alias("_pos_r")
         )
     # a lopsided link sample may keep many rows of the larger side, so its broadcast is checked

@@ -62,7 +62,7 @@ def suggest_by_embedding(
     unknown: DataFrame, ref: DataFrame, threshold: float = 0.80, id_col: str = "id", vec: str = "vector", name: str = "name"
 ) -> DataFrame:
     """Nearest reference entry by cosine, or a fixed text where none reaches ``threshold``."""
-    near = cosine_join(unknown, ref, vec, id_col, threshold)
+    near = cosine_join(unknown, ref, vec, id_col, threshold, best=True)
     # the best entry, the least id among equally good ones; ids may be of any type that can be ordered
     order = F.struct((-F.col("cosine")).alias("less"), F.col(f"{id_col}_r").alias("ref"), "cosine")
     best = near.groupBy(F.col(f"{id_col}_l").alias(id_col)).agg(F.min(order).alias("b"))
@@ -162,10 +162,11 @@ def word_candidates(df: DataFrame, vocabulary: DataFrame, col: str, distance: in
     )
     # both are read several times from here on
     words = stage(vocabulary.select(F.col("word").alias("text"), "frequency"), "vocabulary")
-    unknown = tokens.join(broadcast_if_small(words.select("text")), "text", "left_anti")
+    checked = F.broadcast if is_small(words) else (lambda side: side)
+    unknown = tokens.join(checked(words.select("text")), "text", "left_anti")
     unknown = stage(unknown.withColumn("id", F.xxhash64("text")), "tokens")
     near = edit_join(unknown, words.select("text", F.xxhash64("text").alias("id")), "text", "id", distance)
-    return near.join(broadcast_if_small(words.withColumnRenamed("text", "text_r")), "text_r").select(
+    return near.join(checked(words.withColumnRenamed("text", "text_r")), "text_r").select(
         F.col("text_l").alias("token"), F.col("text_r").alias("word"), "edits", "frequency"
     )
 

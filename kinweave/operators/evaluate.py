@@ -11,6 +11,10 @@ from .ordering import add_row_id, running_totals
 from .skew import left_join_unique
 
 
+#: A confusion matrix has a column for each class.
+MOST_CLASSES = 1000
+
+
 def label_pairs(pairs: DataFrame, truth: DataFrame, left: str, right: str, out: str = "label") -> DataFrame:
     """1 where the pair is a true link in either direction, else 0."""
     true = canonical_pairs(truth, left, right).distinct().withColumn(out, F.lit(1))
@@ -112,11 +116,13 @@ def confusion_matrix(
 ) -> DataFrame:
     """One row per actual class, one column ``predicted_<class>`` per predicted class.
 
-    Classes are those stated, or 0, 1 and whatever else is predicted (a handful of values).
+    Classes are those stated, or 0, 1 and whatever else is predicted, of which there may be ``MOST_CLASSES``.
     """
     if classes is None:
-        found = df.select(predict).distinct().where(F.col(predict).isNotNull())
-        classes = sorted({0, 1, *(r[0] for r in found.collect())}, key=lambda v: (isinstance(v, str), v))
+        found = df.select(predict).distinct().where(F.col(predict).isNotNull()).limit(MOST_CLASSES + 1).collect()
+        if len(found) > MOST_CLASSES:
+            raise ValueError(f"more than {MOST_CLASSES} values are predicted: state the classes")
+        classes = sorted({0, 1, *(r[0] for r in found)}, key=lambda v: (isinstance(v, str), v))
     hits = [F.count(F.when(F.col(predict) == F.lit(v), 1)).alias(f"predicted_{v}") for v in classes]
     return df.groupBy(F.col(label).alias("actual")).agg(*hits)
 

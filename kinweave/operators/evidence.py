@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import length_allows
 from ..session import stage
-from .candidates import TILE_ROWS, Rule, join_block, large_keys, same_on
+from .candidates import TILE_ROWS, Rule, by_size, join_block, large_keys, same_on
 from .compare import Comparison, add_gammas
 from .valueindex import can_index, candidate_pairs
 
@@ -158,15 +158,14 @@ def reaching_pairs(
         large = large_keys(left, right, keys, same, tile_rows)
         plan = None
         if large is not None:
-            in_large = left.join(large, keys, "left_semi")
+            in_large, rest_l = by_size(left, large, keys)
             plan = plan_evidence(comparisons, rule, needed, _extra_weights(in_large, comparisons))
         if plan is None:
             found = [join_block(left, right, keys, id_col, same, tile_rows if large is not None else None)]
         else:
             repeated = repeated or len(plan) > 1
-            l, r = in_large, in_large if same else right.join(large, keys, "left_semi")
-            rest_l = left.join(large, keys, "left_anti")
-            rest_r = rest_l if same else right.join(large, keys, "left_anti")
+            l = in_large
+            r, rest_r = (in_large, rest_l) if same else by_size(right, large, keys)
             found = [join_block(rest_l, rest_r, keys, id_col, same, None)]
             found += [_by_evidence(l, r, keys, id_col, same, e, tile_rows) for e in plan]
         for pairs in found:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import dot, unit
-from ..session import stage
-from .candidates import TILE_ROWS, join_block, split_cells
+from ..session import stage, stage_measured
+from .candidates import TILE_ROWS, by_size, join_block, large_keys, split_cells
 
 # ---- edit distance ------------------------------------------------------------------------------
 #
@@ -89,6 +90,9 @@ def edit_join(
 
 # ---- cosine -------------------------------------------------------------------------------------
 
+#: Groups with more records than this are compared by matrix products.
+MATRIX_ROWS = 256
+
 
 def cosine_join(
     left: DataFrame,
@@ -100,13 +104,16 @@ def cosine_join(
     same: bool = False,
     pivots: int = 32,
     tile_rows: int = 2_000,
+    best: bool = False,
 ) -> DataFrame:
     """Pairs with cosine at least ``threshold``, as (id_l, id_r, cosine).
 
     Each right vector belongs to its nearest pivot. By the triangle inequality on angles a left
     vector need only meet a pivot's group if the group's angle range comes within arccos(threshold)
     of its own angle, and if the pivot is not further than twice that from its own nearest pivot; so
-    groups are skipped without losing a pair. ``keys`` add plain equality. Big groups are tiled.
+    groups are skipped without losing a pair. Where that would copy the left side more often than plain tiles do, groups
+    are left out. ``keys`` add plain equality. Big groups are tiled and compared by matrix products; with ``best`` only the
+    best partner of each left vector leaves a tile (the least id among equal ones).
     """
     keys = keys or []
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
@@ -147,28 +154,49 @@ def cosine_join(
         inside = (angle + reach >= low) & (angle - reach <= high)
         return pd.Series([np.nonzero(row)[0].astype("int32") for row in near & inside])
 
-    l = stage(l.withColumn("_visits", visits(vec)), "visits")
-    l = l.withColumn("_pivot", F.explode("_visits")).drop("_visits")
-    r = r.select(id_col, *keys, vec, F.col("_home.p").alias("_pivot"))
+    l, seen = stage_measured(l.withColumn("_visits", visits(vec)), "visits", n=F.count(F.lit(1)), copies=F.sum(F.size("_visits")))
+    tiles = -(-r.count() // tile_rows)
+    if not keys and seen["n"] and seen["copies"] >= tiles * seen["n"]:
+        l, r = (t.withColumn("_pivot", F.lit(0)) for t in (l.drop("_visits"), r.select(id_col, vec)))
+    else:
+        l = l.withColumn("_pivot", F.explode("_visits")).drop("_visits")
+        r = r.select(id_col, *keys, vec, F.col("_home.p").alias("_pivot"))
+    on = [*keys, "_pivot"]
     if not keys:
-        return _matrix_pairs(l, r, vec, id_col, threshold, same, tile_rows)
-    pairs = join_block(l, r, [*keys, "_pivot"], id_col, False, tile_rows)
+        return _matrix_pairs(l, r, on, vec, id_col, threshold, same, tile_rows, best)
+    # groups of many records become matrix products, the many small ones plain joins
+    large = large_keys(l, r, on, False, MATRIX_ROWS)
+    parts = []
+    if large is not None:
+        (large_l, l), (large_r, r) = by_size(l, large, on), by_size(r, large, on)
+        parts.append(_matrix_pairs(large_l, large_r, on, vec, id_col, threshold, same, tile_rows, best))
+    pairs = join_block(l, r, on, id_col, False, None)
     if same:
         pairs = pairs.where(F.col(f"{id_col}_l") < F.col(f"{id_col}_r"))
     scored = pairs.select(
         f"{id_col}_l", f"{id_col}_r", dot(F.col(f"{vec}_l"), F.col(f"{vec}_r")).alias("cosine")
     )
-    return scored.where(F.col("cosine") >= threshold)
+    return reduce(DataFrame.unionAll, [scored.where(F.col("cosine") >= threshold), *parts])
+
+
+def bounded_product(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray | None:
+    """``a @ b`` of unit vectors, or None as soon as a first part shows that no entry reaches ``threshold``."""
+    part = max(a.shape[1] // 4, 1)
+    first = a[:, :part] @ b[:part]
+    rest_a, rest_b = np.linalg.norm(a[:, part:], axis=1), np.linalg.norm(b[part:], axis=0)
+    if (first + np.outer(rest_a, rest_b)).max(initial=-1.0) < threshold - 1e-9:
+        return None
+    return a @ b
 
 
 def _matrix_pairs(
-    l: DataFrame, r: DataFrame, vec: str, id_col: str, threshold: float, same: bool, tile_rows: int
+    l: DataFrame, r: DataFrame, on: list[str], vec: str, id_col: str, threshold: float, same: bool, tile_rows: int, best: bool
 ) -> DataFrame:
-    """The pairs of each pivot group as one matrix product per cell; only close pairs become rows.
+    """The pairs of each group as one matrix product per cell; only close pairs become rows.
 
     A cell holds about ``tile_rows`` vectors per side, whatever the size of its group.
     """
-    l, r, on = split_cells(l, r, ["_pivot"], id_col, False, tile_rows)
+    l, r, on = split_cells(l, r, on, id_col, False, tile_rows)
     left_id, right_id = f"{id_col}_l", f"{id_col}_r"
     id_type = l.schema[id_col].dataType
     schema = T.StructType(
@@ -182,17 +210,29 @@ def _matrix_pairs(
     def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({left_id: a[left_id][:0], right_id: b[right_id][:0], "cosine": np.zeros(0)})
+        if best:  # the first of equal maxima is the one with the least id
+            b = b.sort_values(right_id, ignore_index=True)
         ids_a, ids_b = a[left_id].to_numpy(), b[right_id].to_numpy()
         right_side = np.stack(b[f"{vec}_r"].to_numpy()).astype(np.float64).T
         parts = []
         for at in range(0, len(a), 512):
             some = ids_a[at : at + 512]
-            product = np.stack(a[f"{vec}_l"].to_numpy()[at : at + 512]).astype(np.float64) @ right_side
-            x, y = np.nonzero(product >= threshold)
+            left_side = np.stack(a[f"{vec}_l"].to_numpy()[at : at + 512]).astype(np.float64)
+            product = bounded_product(left_side, right_side, threshold)
+            if product is None:
+                continue
+            if best:
+                y = product.argmax(axis=1)
+                x = np.flatnonzero(product[np.arange(len(y)), y] >= threshold)
+                y = y[x]
+            else:
+                x, y = np.nonzero(product >= threshold)
             if same:
                 keep = some[x] < ids_b[y]
                 x, y = x[keep], y[keep]
             parts.append(pd.DataFrame({left_id: some[x], right_id: ids_b[y], "cosine": product[x, y]}))
+        if not parts:
+            return pd.DataFrame({left_id: ids_a[:0], right_id: ids_b[:0], "cosine": np.zeros(0)})
         return pd.concat(parts, ignore_index=True)
 
     left_groups = _side(l, "l").groupBy(*[f"{k}_l" for k in on])

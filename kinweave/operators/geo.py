@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean
-from ..session import stage
+from ..session import stage_measured
 from .candidates import join_block
+from .ordering import add_row_id
 from .skew import left_join_unique
 
 EARTH_KM = 6371.0088  # fixed value: mean earth radius
@@ -23,16 +28,86 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def _cell(lat: Column, lon: Column, side: float) -> list[Column]:
-    """Cell of the point on the unit sphere in a cubic grid: no special case at poles or date line."""
-    x = F.cos(F.radians(lat)) * F.cos(F.radians(lon))
-    y = F.cos(F.radians(lat)) * F.sin(F.radians(lon))
-    return [F.floor(v / side).cast("int") for v in (x, y, F.sin(F.radians(lat)))]
+def _on_sphere(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Points of the unit sphere, one row each: no special case at poles or date line."""
+    a, b = np.radians(lat), np.radians(lon)
+    return np.column_stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
 
 
-#: The search for the nearest place widens from the first radius by this factor until every point has one.
-WIDER = 4
-_HALF_ROUND_KM = 20_016.0  # no two points of the earth are further apart
+def _z_order(points: np.ndarray) -> np.ndarray:
+    """The bits of the three coordinates by turns, 20 each: near numbers are mostly near points."""
+    cells = np.clip(((points + 1) / 2 * (1 << 20)).astype(np.int64), 0, (1 << 20) - 1)
+    out = np.zeros(len(points), dtype=np.int64)
+    for bit in range(20):
+        for axis in range(3):
+            out |= ((cells[:, axis] >> bit) & 1) << (3 * bit + axis)
+    return out
+
+
+#: Places of one leaf, and the most leaves whose boxes are held at once.
+LEAF_PLACES, MOST_LEAVES = 256, 1 << 15
+
+
+class Leaves:
+    """The boxes of all leaves and one place of each, as points of the unit sphere."""
+
+    def __init__(self, rows: list):
+        self.leaf = np.array([r["leaf"] for r in rows], dtype=np.int64)
+        self.low = np.array([[r[f"lo_{c}"] for c in "xyz"] for r in rows]).reshape(-1, 3)
+        self.high = np.array([[r[f"hi_{c}"] for c in "xyz"] for r in rows]).reshape(-1, 3)
+        self.place = np.array([[r["one"][c] for c in "xyz"] for r in rows]).reshape(-1, 3)
+
+    def visited(self, points: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(point, leaf) for every leaf whose box is no further than the nearest known place, or than ``reach``."""
+        at, leaf = [], []
+        for low in range(0, len(points), 64):
+            some = points[low : low + 64, None, :]
+            known = np.sqrt(np.square(some - self.place[None]).sum(axis=2)).min(axis=1)
+            outside = np.maximum(np.maximum(self.low[None] - some, some - self.high[None]), 0)
+            box = np.sqrt(np.square(outside).sum(axis=2))
+            x, y = np.nonzero(box <= np.minimum(known, reach)[:, None] + 1e-9)
+            at.append(x + low)
+            leaf.append(self.leaf[y])
+        return np.concatenate(at), np.concatenate(leaf)
+
+
+def _places_in_leaves(gazetteer: DataFrame, fields: list[str], lat: str, lon: str, place_id: str) -> DataFrame:
+    """id, _lat, _lon, fields, x, y, z and leaf of every place with coordinates, as a table.
+
+    Places are sorted along a space-filling curve and cut into leaves of equal counts, so a leaf is small where
+    places are dense and wide where they are rare.
+    """
+
+    @F.pandas_udf("x double, y double, z double, curve long")
+    def put(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        points = _on_sphere(a.to_numpy(dtype=float), b.to_numpy(dtype=float))
+        return pd.DataFrame({"x": points[:, 0], "y": points[:, 1], "z": points[:, 2], "curve": _z_order(points)})
+
+    rows = gazetteer.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    rows = rows.select(F.col(place_id).alias("id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), *fields)
+    rows = rows.withColumn("_p", put(F.col("_lat").cast("double"), F.col("_lon").cast("double")))
+    placed, seen = stage_measured(add_row_id(rows.select("*", "_p.*").drop("_p"), ["curve", "id"], 0, "_at"), "places", n=F.count(F.lit(1)))
+    size = max(LEAF_PLACES, -(-seen["n"] // MOST_LEAVES))
+    return placed.withColumn("leaf", F.floor(F.col("_at") / size).cast("long")).drop("_at", "curve")
+
+
+def leaves_to_visit(where: DataFrame, places: DataFrame, reach: float = 2.0) -> DataFrame:
+    """(_lat, _lon, leaf) for every leaf that may hold the nearest place of a point; ``reach`` is a chord."""
+    boxes = [f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+    rows = places.groupBy("leaf").agg(*boxes, F.first(F.struct("x", "y", "z")).alias("one")).collect()  # at most MOST_LEAVES + 1
+    leaves = where.sparkSession.sparkContext.broadcast(Leaves(rows))
+    fields = T.StructType([*where.select("_lat", "_lon").schema.fields, T.StructField("leaf", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):
+                batch = whole.slice(low, 512)
+                a, b = (np.asarray(c.cast(pa.float64())) for c in batch.columns)
+                at, leaf = leaves.value.visited(_on_sphere(a, b), reach)
+                taken = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(leaf)], names=fields.names)
+
+    return where.select("_lat", "_lon").mapInArrow(run, fields) if rows else where.select("_lat", "_lon", F.lit(0).cast("long").alias("leaf")).limit(0)
 
 
 def nearest_place(
@@ -46,50 +121,21 @@ def nearest_place(
 ) -> DataFrame:
     """Nearest gazetteer entry per distinct coordinate, with its ``fields``; with ``radius_km`` only within it.
 
-    Without a radius, points that have no entry within 25 km are sought again in wider and wider circles; each
-    round takes only the points still without one, so a wide circle is searched for few of them.
+    Places lie in leaves of bounded size. A point is compared with the places of those leaves only whose boxes are no further
+    than the nearest of one known place a leaf; so also a point far from all places meets few of them. Each distinct
+    coordinate is looked up once, however many records share it; equally near places go by their id.
     """
     where = df.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).dropna().distinct()
-    if radius_km is not None:
-        return _within(where, gazetteer, radius_km, fields, lat, lon, place_id)
-    open_points, found, radius = stage(where, "points"), [], 25.0
-    known = gazetteer.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    if known.isEmpty():
-        return _within(open_points, gazetteer, radius, fields, lat, lon, place_id)
-    while True:
-        radius = min(radius, _HALF_ROUND_KM)
-        found.append(stage(_within(open_points, known, radius, fields, lat, lon, place_id), "places"))
-        met = found[-1].select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-        open_points = stage(open_points.join(met, ["_lat", "_lon"], "left_anti"), "points")
-        if radius >= _HALF_ROUND_KM or open_points.isEmpty():
-            return reduce(DataFrame.unionAll, found)
-        radius *= WIDER
-
-
-def _within(
-    where: DataFrame, gazetteer: DataFrame, radius_km: float, fields: list[str], lat: str, lon: str, place_id: str
-) -> DataFrame:
-    """Nearest entry within ``radius_km`` of each distinct point.
-
-    A grid with cells as wide as the radius puts every entry within reach into the same or a touching
-    cell, so entries are copied to those 27 cells and coordinates are joined by their one cell.
-    Each distinct coordinate is looked up once, however many records share it.
-    """
-    side = 2 * math.sin(min(radius_km / (2 * EARTH_KM), math.pi / 2)) + 1e-12
-    where = where.withColumn("id", F.xxhash64("_lat", "_lon"))
-    points = where.withColumn("_cell", F.concat_ws("/", *_cell(F.col("_lat"), F.col("_lon"), side)))
-    places = gazetteer.select(
-        F.col(place_id).alias("id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), *fields
-    ).where(F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
-    for name, c in zip(("_x", "_y", "_z"), _cell(F.col("_lat"), F.col("_lon"), side)):
-        places = places.withColumn(name, F.explode(F.array(c - 1, c, c + 1)))
-    places = places.withColumn("_cell", F.concat_ws("/", "_x", "_y", "_z"))
-    near = join_block(points, places.drop("_x", "_y", "_z"), ["_cell"], "id", False)
+    places = _places_in_leaves(gazetteer, fields, lat, lon, place_id)
+    reach = 2.0 if radius_km is None else 2 * math.sin(min(radius_km / (2 * EARTH_KM), math.pi / 2))
+    points = leaves_to_visit(where, places, reach).withColumn("id", F.xxhash64("_lat", "_lon"))
+    near = join_block(points, places.select("leaf", "id", "_lat", "_lon", *fields), ["leaf"], "id", False)
     km = haversine_km(F.col("_lat_l"), F.col("_lon_l"), F.col("_lat_r"), F.col("_lon_r"))
-    near = near.withColumn("km", km).where(F.col("km") <= radius_km)
+    near = near.withColumn("km", km)
+    if radius_km is not None:
+        near = near.where(F.col("km") <= radius_km)
     payload = F.struct("km", F.col("id_r").alias("place_id"), *[F.col(f"{f}_r").alias(f) for f in fields])
-    best = near.groupBy(F.col("_lat_l").alias(lat), F.col("_lon_l").alias(lon)).agg(F.min(payload).alias("_place"))
-    return best
+    return near.groupBy(F.col("_lat_l").alias(lat), F.col("_lon_l").alias(lon)).agg(F.min(payload).alias("_place"))
 
 
 def reverse_geocode_fix(

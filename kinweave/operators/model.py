@@ -152,8 +152,9 @@ def pattern_counts(
     id_col: str,
     other: DataFrame | None = None,
     tile_rows: int = TILE_ROWS,
+    collapsed: bool = False,
 ) -> DataFrame:
-    """Pairs per gamma pattern among the pairs meeting ``rule``.
+    """Pairs per gamma pattern among the pairs meeting ``rule``. ``collapsed`` tables hold distinct records with ``copies``.
 
     Copies are collapsed first: two distinct records stand for copies·copies pairs, and a record with
     k copies for k(k-1)/2 pairs of equal records. Records are dealt out by block and a task counts the patterns
@@ -161,12 +162,13 @@ def pattern_counts(
     """
     cols = list(dict.fromkeys([*rule, *[c.column for c in comparisons]]))
     names = [f"gamma_{c.name}" for c in comparisons]
-    left = collapse_copies(df, cols, id_col)
-    if other is None:
-        left = stage(left, "profiles")
-        right = left
+    if collapsed:
+        left, right = (None if t is None else t.select(id_col, *cols, "copies") for t in (df, other))
+        right = left if right is None else right
+    elif other is None:
+        left = right = stage(collapse_copies(df, cols, id_col), "profiles")
     else:
-        right = collapse_copies(other, cols, id_col)
+        left, right = collapse_copies(df, cols, id_col), collapse_copies(other, cols, id_col)
     if can_tabulate(left, comparisons) and can_tabulate(right, comparisons):
         weighted = block_patterns(left, right, list(rule), comparisons, id_col, other is None, tile_rows)
         weighted = weighted.withColumnRenamed("n", "w")
@@ -339,10 +341,11 @@ def estimate_m_em(
     other: DataFrame | None = None,
     rounds: int = EM_ROUNDS,
     tolerance: float = EM_CONVERGED,
+    collapsed: bool = False,
 ) -> Session:
     """One EM session on the pairs meeting ``rule``."""
     free = trainable(model, rule)
-    patterns = stage(pattern_counts(df, rule, free, id_col, other), "patterns")
+    patterns = stage(pattern_counts(df, rule, free, id_col, other, collapsed=collapsed), "patterns")
     return run_em(patterns, free, start_prior(model, rule), rule, rounds, tolerance)
 
 

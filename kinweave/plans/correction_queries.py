@@ -146,10 +146,19 @@ doc_words AS (SELECT doc_id, unnest(list_distinct(string_split({clean_sql('text'
 vocabulary AS (SELECT word, count(*) AS frequency FROM doc_words WHERE word <> '' GROUP BY 1),
 lines AS (SELECT item_id, {clean_sql('text')} AS text FROM benchmark),
 tokens AS (SELECT DISTINCT w AS token FROM (SELECT unnest(string_split(text, ' ')) AS w FROM lines) WHERE length(w) > 3),
+thirds AS (SELECT unnest([0, 1, 2]) AS i),
+pieces AS (
+  SELECT word, frequency, length(word) AS len, i, substr(word, i * (length(word) // 3) + 1, CASE i WHEN 2 THEN length(word) ELSE length(word) // 3 END) AS piece
+  FROM vocabulary, thirds),
+probes AS (
+  SELECT DISTINCT token, len, i, substr(token, i * (len // 3) + d + 1, size) AS piece
+  FROM (SELECT token, len, i, d, CASE i WHEN 2 THEN len - 2 * (len // 3) ELSE len // 3 END AS size
+    FROM (SELECT token, length(token) + unnest([-2, -1, 0, 1, 2]) AS len FROM tokens WHERE token NOT IN (SELECT word FROM vocabulary)),
+      thirds, (SELECT unnest([-2, -1, 0, 1, 2]) AS d))
+  WHERE i * (len // 3) + d >= 0 AND i * (len // 3) + d + size <= length(token)),
 candidates AS (
-  SELECT token, word, levenshtein(token, word) AS edits, frequency
-  FROM tokens, vocabulary
-  WHERE token NOT IN (SELECT word FROM vocabulary) AND abs(length(token) - length(word)) <= 2 AND levenshtein(token, word) <= 2),
+  SELECT DISTINCT token, word, levenshtein(token, word) AS edits, frequency
+  FROM probes JOIN pieces USING (len, i, piece) WHERE levenshtein(token, word) <= 2),
 fixes AS (
   SELECT token, word AS replacement FROM candidates
   QUALIFY row_number() OVER (PARTITION BY token ORDER BY edits, frequency DESC, word) = 1)

@@ -18,7 +18,7 @@ from ..operators.cluster import connected_components
 from ..operators.ordering import add_row_id
 from ..operators.skew import left_join_unique
 from ..schema import ENCRYPTED, LABEL_COLUMN, PRESETS, LinkJob, has_labels
-from ..session import stage
+from ..session import scratch, stage, unstage
 from ..sources.tables import read_jdbc, read_table
 from .models import JOBS, JobModel
 
@@ -29,14 +29,20 @@ ID = "unique_id"
 
 
 def train(
-    job: JobModel, df: DataFrame, id_col: str = ID, other: DataFrame | None = None, max_pairs: int = 1_000_000
+    job: JobModel, df: DataFrame, id_col: str = ID, other: DataFrame | None = None, max_pairs: int = 1_000_000,
+    profiles: tuple[DataFrame, DataFrame | None] | None = None,
 ) -> m.Model:
-    """u from sampled pairs, the prior where the job asks for it, m from one EM run per training rule."""
-    model = m.estimate_u(job.model, df, id_col, max_pairs, other=other)
-    if job.prior_rules:
-        model = m.with_estimated_prior(model, df, list(job.prior_rules), id_col, other=other)
-    sessions = [m.estimate_m_em(model, df, rule, id_col, other) for rule in job.training]
-    return m.combine_sessions(model, sessions)
+    """u from sampled pairs, the prior where the job asks for it, m from one EM run per training rule.
+
+    ``profiles`` are the tables' distinct records with ``copies``, if the caller has them.
+    """
+    with scratch(df.sparkSession):
+        model = m.estimate_u(job.model, df, id_col, max_pairs, other=other)
+        if job.prior_rules:
+            model = m.with_estimated_prior(model, df, list(job.prior_rules), id_col, other=other)
+        left, right = profiles or (df, other)
+        sessions = [m.estimate_m_em(model, left, rule, id_col, right, collapsed=bool(profiles)) for rule in job.training]
+        return m.combine_sessions(model, sessions)
 
 
 # ---- clustering records -------------------------------------------------------------------------
@@ -73,8 +79,18 @@ def score_copies(profiles: DataFrame, model: m.Model, carry: list[str] | None =
     return m.add_scores(pairs, model)
 
 
+def staged_profiles(df: DataFrame, other: DataFrame | None, cols: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The distinct records of both tables, written once for training and scoring."""
+    return stage(profiles_of(df, cols, ID), "profiles"), None if other is None else stage(profiles_of(other, cols, ID), "profiles")
+
+
 def cluster_records(
-    df: DataFrame, model: m.Model, threshold: float, other: DataFrame | None = None, tile_rows: int = candidates.TILE_ROWS
+    df: DataFrame,
+    model: m.Model,
+    threshold: float,
+    other: DataFrame | None = None,
+    tile_rows: int = candidates.TILE_ROWS,
+    profiles: tuple[DataFrame, DataFrame | None] | None = None,
 ) -> DataFrame:
     """Every record with the id of its cluster.
 
@@ -83,8 +99,22 @@ def cluster_records(
     record of this content matches itself, and clusters of their own if not.
     """
     cols = model.columns
-    left = stage(profiles_of(df, cols, ID), "profiles")
-    right = None if other is None else stage(profiles_of(other, cols, ID), "profiles")
+    with scratch(df.sparkSession) as made:
+        merged = made.keep(_clusters_of_profiles(df, model, threshold, other, tile_rows, profiles))
+    records = df if other is None else df.unionByName(other, allowMissingColumns=True)
+    if other is not None:
+        # the same content may occur in both tables, and both profiles then carry its cluster
+        merged = merged.groupBy("profile").agg(F.max("_cluster").alias("_cluster"), F.sum("n").alias("n"))
+    keyed = records.withColumn("profile", _digest(cols))
+    joined = left_join_unique(
+        keyed, merged.select("profile", "_cluster"), ["profile"], counts=merged.select("profile", "n")
+    )
+    return joined.select(*records.columns, F.coalesce("_cluster", ID).alias("cluster_id"))
+
+
+def _clusters_of_profiles(df, model, threshold, other, tile_rows, profiles) -> DataFrame:
+    """profile, _cluster and n (copies) of every distinct record, as a table."""
+    left, right = profiles or staged_profiles(df, other, model.columns)
     base = df.select(*model.tf_columns) if model.tf_columns else df
     if other is not None and model.tf_columns:
         base = base.unionAll(other.select(*model.tf_columns))
@@ -95,8 +125,8 @@ def cluster_records(
     links = stage(links.select(f"{ID}_l", f"{ID}_r"), "links")
     found = stage(connected_components(links, f"{ID}_l", f"{ID}_r"), "components")
 
-    profiles = left if right is None else left.unionByName(right)
-    merged = profiles.select("profile", ID, "copies")
+    every = left if right is None else left.unionByName(right)
+    merged = every.select("profile", ID, "copies")
     merged = merged.join(found, merged[ID] == found["node"], "left").drop("node")
     if other is None:
         alike = score_copies(left, model).where(F.col("match_probability") >= threshold)
@@ -104,17 +134,7 @@ def cluster_records(
     else:
         merged = merged.withColumn("_alike", F.lit(None).cast("boolean"))
     target = F.coalesce("component", F.when(F.col("_alike"), F.col(ID)))
-    merged = stage(merged.select("profile", target.alias("_cluster"), F.col("copies").alias("n")), "merged")
-
-    records = df if other is None else df.unionByName(other, allowMissingColumns=True)
-    if other is not None:
-        # the same content may occur in both tables, and both profiles then carry its cluster
-        merged = merged.groupBy("profile").agg(F.max("_cluster").alias("_cluster"), F.sum("n").alias("n"))
-    keyed = records.withColumn("profile", _digest(cols))
-    joined = left_join_unique(
-        keyed, merged.select("profile", "_cluster"), ["profile"], counts=merged.select("profile", "n")
-    )
-    return joined.select(*records.columns, F.coalesce("_cluster", ID).alias("cluster_id"))
+    return stage(merged.select("profile", target.alias("_cluster"), F.col("copies").alias("n")), "merged")
 
 
 def labelled_truth(
@@ -128,6 +148,11 @@ def labelled_truth(
 
     Every distinct weight is a threshold; ``digits`` rounds weights first, for a shorter table.
     """
+    with scratch(df.sparkSession) as made:
+        return made.keep(stage(_truth(df, model, label, other, digits), "truth"))
+
+
+def _truth(df: DataFrame, model: m.Model, label: str, other: DataFrame | None, digits: int | None) -> DataFrame:
     cols = list(dict.fromkeys([*model.columns, label]))
     left = stage(profiles_of(df, cols, ID), "profiles")
     left = compare.with_term_frequencies(left, model.tf_columns, df)
@@ -217,13 +242,14 @@ def _prepared(df: DataFrame, job: LinkJob, gazetteer: DataFrame | None, start: i
         df = geo.reverse_geocode_fix(df, gazetteer, fields)
     others = [c for c in df.columns if c not in preset]
     df = clean_strings(df, skip=("latitude", "longitude", "rec_id", *others))
-    if "rec_id" in df.columns:
-        # repeated or missing record ids are told apart by the other columns
-        order = ["rec_id", *[c for c in df.columns if c in preset and c != "rec_id"]]
-        return stage(add_row_id(df, order, start, ID), "records")
-    # no natural key: ids follow the order of the rows in a table written once, so equal rows spread too
-    lines = stage(df, "lines").withColumn("_line", F.monotonically_increasing_id())
-    return stage(add_row_id(lines, ["_line"], start, ID).drop("_line"), "records")
+    with scratch(df.sparkSession) as made:
+        if "rec_id" in df.columns:
+            # repeated or missing record ids are told apart by a digest of the other columns
+            told = df.withColumn("_digest", _digest([c for c in df.columns if c in preset and c != "rec_id"]))
+            return made.keep(stage(add_row_id(told, ["rec_id", "_digest"], start, ID).drop("_digest"), "records"))
+        # no natural key: ids follow the order of the rows in a table written once, so equal rows spread too
+        lines = stage(df, "lines").withColumn("_line", F.monotonically_increasing_id())
+        return made.keep(stage(add_row_id(lines, ["_line"], start, ID).drop("_line"), "records"))
 
 
 def _complete(model: m.Model, df: DataFrame) -> None:
@@ -261,12 +287,16 @@ def run_job(
         views += [profiling.missingness(hidden), profiling.profile_columns(hidden, cols)]
     views += [None] * (4 - len(views))
 
-    model = train(chosen, df, ID, other)
     threshold = job.cluster_threshold if job_model is None else chosen.threshold
+    profiles = staged_profiles(df, other, chosen.model.columns)
+    model = train(chosen, df, ID, other, profiles=profiles)
     if other is not None:
         df = df.withColumn("source_dataset", F.lit("left"))
         other = other.withColumn("source_dataset", F.lit("right"))
-    clusters = cluster_records(df, model, threshold, other)
+    clusters = cluster_records(df, model, threshold, other, profiles=profiles)
+    for made in profiles:
+        if made is not None:
+            unstage(made)
     measure = None
     if all(has_labels(t) for t in tables):
         measure = partial(labelled_truth, df, model, LABEL_COLUMN, other)

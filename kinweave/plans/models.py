@@ -19,6 +19,8 @@ class JobModel:
     prior_rules: tuple[Rule, ...] = ()
 
 
+# Fixed values in this module: the fields, cuts, rules and thresholds of the standard models, which results depend on.
+
 NAMES = ("given_name", "surname")
 
 # rules that bring two person tables together, strictest first

@@ -445,6 +445,29 @@ def estimate_u(spark, d):
     return found.withColumn("u", F.round("u", 6))
 
 
+_LINK_COMPARISONS = [compare.levenshtein_at("number", [1, 2]), compare.exact_match("nation"), compare.name_comparison("name")]
+_LINK_SAMPLE = f"""
+{_TWO}, k AS (SELECT least((SELECT count(*) FROM a), (SELECT count(*) FROM b), 316) AS small, (SELECT count(*) FROM a) <= (SELECT count(*) FROM b) AS first),
+w AS (SELECT small, first, least(greatest((SELECT count(*) FROM a), (SELECT count(*) FROM b)), 100000 // greatest(small, 1)) AS large FROM k),
+l AS (SELECT * FROM a ORDER BY md5(CAST(id AS VARCHAR) || '|1'), id LIMIT (SELECT CASE WHEN first THEN small ELSE large END FROM w)),
+r AS (SELECT * FROM b ORDER BY md5(CAST(id AS VARCHAR) || '|1'), id LIMIT (SELECT CASE WHEN first THEN large ELSE small END FROM w)),
+sp AS (SELECT {', '.join(f'l.{c.name} AS {c.name}_l, r.{c.name} AS {c.name}_r' for c in _LINK_COMPARISONS)} FROM l, r),
+g AS (SELECT {sqltext.gammas(_LINK_COMPARISONS)} FROM sp),
+n AS ({' UNION ALL '.join(f"SELECT '{c.name}' AS comparison, gamma_{c.name} AS gamma, count(*) AS n FROM g WHERE gamma_{c.name} >= 0 GROUP BY 2" for c in _LINK_COMPARISONS)})
+"""
+
+
+@query(
+    "estimate_u_link",
+    f"WITH {_LINK_SAMPLE} SELECT comparison, gamma, n, round(n / CAST(sum(n) OVER (PARTITION BY comparison) AS DOUBLE), 6) AS u FROM n",
+)
+def estimate_u_link(spark, d):
+    """Levels by chance between two tables, from all pairs of a sample of each."""
+    a, b = _two(spark, d)
+    found = m.u_table(a, _LINK_COMPARISONS, "id", 100_000, other=b)
+    return found.withColumn("u", F.round("u", 6))
+
+
 _UNTRAINED = replace(
     MODEL,
     comparisons=tuple(
@@ -452,7 +475,7 @@ _UNTRAINED = replace(
     ),
 )
 _TRAINING = [("brand", "size"), ("name", "kind")]
-_STEPS = 3
+_STEPS = m.EM_ROUNDS
 
 
 def _session(spark, d, rule) -> m.Session:
@@ -761,6 +784,6 @@ def pair_classifier(spark, d):
     features = compare.compute_features(pairs, _FEATURES, ["id_l", "id_r"])
     labelled = features.withColumn("label", F.expr("CAST(name = 1 AND brand = 1 AS INT)"))
     split = stage(evaluate.stratified_split(labelled, "label", ["id_l", "id_r"]), "split")
-    fitted = classify.fit_pair_classifier(split.where("is_test = 0"), _FEATURE_NAMES, trees=5, depth=3)
+    fitted = classify.fit_pair_classifier(split.where("is_test = 0"), _FEATURE_NAMES)
     found = classify.predict_pairs(fitted, split)
     return found.select("id_l", "id_r", "label", F.col("predict").cast("double").alias("predict"))

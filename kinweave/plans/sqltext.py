@@ -83,7 +83,7 @@ def em(model: Model, rule: tuple[str, ...], source: str, key: str, rounds: int,
     names = ", ".join(f"gamma_{c.name}" for c in cs)
     out = [
         f"{tag}_pairs AS ({rule_pairs(source, key, cols, [rule])})",
-        f"{tag}_g AS (SELECT {names}, count(*) AS n FROM (SELECT {gammas(cs)} FROM {tag}_pairs) GROUP BY ALL)",
+        f"{tag}_g AS MATERIALIZED (SELECT {names}, count(*) AS n FROM (SELECT {gammas(cs)} FROM {tag}_pairs) GROUP BY ALL)",
     ]
     start = [f"CAST({start_prior(model, rule)!r} AS DOUBLE) AS lam"]
     for c in cs:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .tables import CSV_OPTIONS
+from .tables import CSV_OPTIONS, read_csv
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
@@ -58,9 +58,8 @@ def drop_table(spark: SparkSession, name: str) -> None:
 
 
 def csv_to_parquet(
-    spark: SparkSession, source: str, target: str, schema: T.StructType, mode: str = "overwrite", multiline: bool = True
+    spark: SparkSession, source: str, target: str, schema: T.StructType, mode: str = "overwrite", multiline: bool | None = None
 ) -> None:
-    """CSV to snappy Parquet under one fixed schema; ``multiline=False`` splits files by ranges."""
-    options = CSV_OPTIONS | {"enforceSchema": False, "multiLine": multiline}
-    rows = spark.read.schema(schema).options(**options).csv(source)
+    """CSV to snappy Parquet under one fixed schema, ``multiline`` as for :func:`read_table`."""
+    rows = read_csv(spark, source, schema, multiline)
     rows.write.mode(mode).option("compression", "snappy").parquet(target)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators.projection import with_positional_schema
 from ..schema import require_columns
+from .splitcsv import read_split_csv
 
 # standard CSV: a quote inside a field is doubled, blanks belong to the field
 CSV_OPTIONS = {
@@ -32,9 +33,9 @@ def read_table(
 ) -> DataFrame:
     """One table from a file or folder. The format follows the suffix; an unknown suffix reads as CSV.
 
-    CSV fields may hold line breaks, so a CSV file is read by one task; ``multiline=False`` lets large
-    files without line breaks in fields be split. Column-oriented JSON has one document per line, with
-    ``multiline`` one per file.
+    CSV fields may hold line breaks; large files are split all the same, at line ends outside quoted fields. ``multiline=False``
+    says that there are no such breaks, which saves a scan; ``multiline=True`` reads each file by one task, also
+    where it does not keep to the standard. Column-oriented JSON has one document per line, with ``multiline`` one per file.
 
     With ``schema`` nothing is inferred and a missing column raises; ``exactly`` forbids further ones.
     CSV without a schema reads every field as text (no inference pass over the data).
@@ -42,6 +43,8 @@ def read_table(
     kind = (fmt or _FORMATS.get(path.rstrip("/").rsplit(".", 1)[-1].lower(), "csv")).lower()
     if kind == "csv":
         found = spark.read.options(**CSV_OPTIONS, multiLine=multiline is not False).csv(path)
+        if multiline is None:
+            found = read_split_csv(spark, path, found.schema, CSV_OPTIONS)
     elif kind == "parquet":
         found = spark.read.parquet(path)
     elif kind == "json" and json_orient == "lines":
@@ -58,6 +61,18 @@ def read_table(
     return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType, multiline: bool | None = None) -> DataFrame:
+    """CSV files under a stated schema, whose names must be those of the headers; ``multiline`` as for :func:`read_table`."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    options = CSV_OPTIONS | {"enforceSchema": False}
+    if multiline is not None:
+        return spark.read.schema(schema).options(**options, multiLine=multiline).csv(paths)
+    named = spark.read.options(**CSV_OPTIONS, multiLine=True).csv(paths).columns
+    if named != schema.fieldNames():
+        raise ValueError(f"the header has {named}, the schema {schema.fieldNames()}")
+    return read_split_csv(spark, paths, schema, options)
+
+
 def json_columns(
     spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False
 ) -> DataFrame:

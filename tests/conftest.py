@@ -19,6 +19,7 @@ def make_session():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="kinweave-wh-"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="kinweave-cp-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
