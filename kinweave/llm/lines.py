@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import left_join_unique
-from ..session import stage, unstage
+from ..session import scratch, stage
 
 #: Base rules (fixed values of the contract).
 MIN_WORDS = 50
@@ -183,11 +183,10 @@ def judge(
 
     Texts themselves are not shuffled: only line hashes and text keys are.
     """
-    lines, texts = line_table(docs), text_table(docs)
-    frequent = stage(frequent_lines(lines, texts, min_documents, host_percent, keep_percent), "frequent-lines")
-    gone = stage(removed_words(lines, texts, frequent), "removed-words")
-    unstage(lines)
-    unstage(texts)
+    with scratch(docs.sparkSession) as made:
+        lines, texts = line_table(docs), text_table(docs)
+        frequent = stage(frequent_lines(lines, texts, min_documents, host_percent, keep_percent), "frequent-lines")
+        gone = made.keep(stage(removed_words(lines, texts, frequent), "removed-words"))
     own = docs.withColumns({"_host": F.coalesce("source", F.lit("")), "_doc": _text_key()})
     base = _with_base(own, list(dict.fromkeys([*keep, "_host", "_doc"])))
     found = left_join_unique(

@@ -248,6 +248,24 @@ def test_a_changed_context_is_noticed(spark):
         chat.read_back(broken, examples).collect()
 
 
+def test_operators_leave_what_their_result_reads(spark, documents):
+    import corpus_pipeline
+    from kinweave import session
+    from kinweave.llm import lines, neardup
+
+    def left(work):
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session._root(spark))
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = lambda: {f.getPath().getName() for f in fs.listStatus(root)} if fs.exists(root) else set()
+        before = names()
+        assert work().count() > 0
+        return sorted(x.rsplit("-", 1)[0] for x in names() - before)
+
+    assert left(lambda: neardup.classes(documents())) == ["classes", "sketches"]
+    assert left(lambda: lines.judge(documents(), ["doc_id"])) == ["removed-words"]
+    assert left(lambda: corpus_pipeline.run(spark, "/root/testdata/sf0.001")) == ["pipeline-packing"]
+
+
 def test_conversion_runs_in_many_tasks(spark):
     pages = spark.range(400).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat(cast(id AS string), 50) AS html", "'clash' AS file", "'clash' AS seq", "'clash' AS digest")
     folder, out = archives.new_folder(spark, "arc"), archives.new_folder(spark, "warc")
