@@ -44,28 +44,45 @@ def _z_order(points: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Places of one leaf, and the most leaves whose boxes are held at once.
+#: Places of one leaf, and the most leaves that are held at once.
 LEAF_PLACES, MOST_LEAVES = 256, 1 << 15
 
 
+_LEAF = "leaf long, cx double, cy double, cz double, radius double, x double, y double, z double"
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
+def _leaf_of(places: pd.DataFrame) -> pd.DataFrame:
+    """The middle of a leaf, the greatest angle of a place to it, and the place next to it."""
+    points = places[["x", "y", "z"]].to_numpy()
+    middle = points.mean(axis=0)
+    norm = np.linalg.norm(middle)
+    middle = middle / norm if norm > 1e-9 else points[0]
+    angles = _angles(points, middle[None])[:, 0]
+    row = [places["leaf"].iloc[0], *middle, angles.max(), *points[angles.argmin()]]
+    return pd.DataFrame([row], columns=[x.split()[0] for x in _LEAF.split(", ")])
+
+
 class Leaves:
-    """The boxes of all leaves and one place of each, as points of the unit sphere."""
+    """All leaves as caps of the sphere, and one place of each."""
 
-    def __init__(self, rows: list):
-        self.leaf = np.array([r["leaf"] for r in rows], dtype=np.int64)
-        self.low = np.array([[r[f"lo_{c}"] for c in "xyz"] for r in rows]).reshape(-1, 3)
-        self.high = np.array([[r[f"hi_{c}"] for c in "xyz"] for r in rows]).reshape(-1, 3)
-        self.place = np.array([[r["one"][c] for c in "xyz"] for r in rows]).reshape(-1, 3)
+    def __init__(self, rows: pd.DataFrame):
+        self.leaf = rows["leaf"].to_numpy(dtype=np.int64)
+        self.middle = rows[["cx", "cy", "cz"]].to_numpy()
+        self.radius = rows["radius"].to_numpy()
+        self.place = rows[["x", "y", "z"]].to_numpy()
 
     def visited(self, points: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(point, leaf) for every leaf whose box is no further than the nearest known place, or than ``reach``."""
+        """(point, leaf) for every leaf that comes as near as the nearest of the known places, or as ``reach`` (angles)."""
         at, leaf = [], []
         for low in range(0, len(points), 64):
-            some = points[low : low + 64, None, :]
-            known = np.sqrt(np.square(some - self.place[None]).sum(axis=2)).min(axis=1)
-            outside = np.maximum(np.maximum(self.low[None] - some, some - self.high[None]), 0)
-            box = np.sqrt(np.square(outside).sum(axis=2))
-            x, y = np.nonzero(box <= np.minimum(known, reach)[:, None] + 1e-9)
+            some = points[low : low + 64]
+            known = _angles(some, self.place).min(axis=1)
+            # the slack covers the rounding of small angles: about a metre
+            x, y = np.nonzero(_angles(some, self.middle) - self.radius <= np.minimum(known, reach)[:, None] + 2e-7)
             at.append(x + low)
             leaf.append(self.leaf[y])
         return np.concatenate(at), np.concatenate(leaf)
@@ -91,10 +108,9 @@ def _places_in_leaves(gazetteer: DataFrame, fields: list[str], lat: str, lon: st
     return placed.withColumn("leaf", F.floor(F.col("_at") / size).cast("long")).drop("_at", "curve")
 
 
-def leaves_to_visit(where: DataFrame, places: DataFrame, reach: float = 2.0) -> DataFrame:
-    """(_lat, _lon, leaf) for every leaf that may hold the nearest place of a point; ``reach`` is a chord."""
-    boxes = [f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
-    rows = places.groupBy("leaf").agg(*boxes, F.first(F.struct("x", "y", "z")).alias("one")).collect()  # at most MOST_LEAVES + 1
+def leaves_to_visit(where: DataFrame, places: DataFrame, reach: float = math.pi) -> DataFrame:
+    """(_lat, _lon, leaf) for every leaf that may hold the nearest place of a point within an angle of ``reach``."""
+    rows = places.select("leaf", "x", "y", "z").groupBy("leaf").applyInPandas(_leaf_of, _LEAF).toPandas()  # at most MOST_LEAVES
     leaves = where.sparkSession.sparkContext.broadcast(Leaves(rows))
     fields = T.StructType([*where.select("_lat", "_lon").schema.fields, T.StructField("leaf", T.LongType())])
 
@@ -107,7 +123,9 @@ def leaves_to_visit(where: DataFrame, places: DataFrame, reach: float = 2.0) ->
                 taken = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(leaf)], names=fields.names)
 
-    return where.select("_lat", "_lon").mapInArrow(run, fields) if rows else where.select("_lat", "_lon", F.lit(0).cast("long").alias("leaf")).limit(0)
+    if not len(rows):
+        return where.select("_lat", "_lon", F.lit(0).cast("long").alias("leaf")).limit(0)
+    return where.select("_lat", "_lon").mapInArrow(run, fields)
 
 
 def nearest_place(
@@ -121,13 +139,13 @@ def nearest_place(
 ) -> DataFrame:
     """Nearest gazetteer entry per distinct coordinate, with its ``fields``; with ``radius_km`` only within it.
 
-    Places lie in leaves of bounded size. A point is compared with the places of those leaves only whose boxes are no further
-    than the nearest of one known place a leaf; so also a point far from all places meets few of them. Each distinct
+    Places lie in leaves of bounded size. A point is compared with the places of those leaves only that come as near as the
+    nearest of one known place a leaf; so also a point far from all places meets few of them. Each distinct
     coordinate is looked up once, however many records share it; equally near places go by their id.
     """
     where = df.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).dropna().distinct()
     places = _places_in_leaves(gazetteer, fields, lat, lon, place_id)
-    reach = 2.0 if radius_km is None else 2 * math.sin(min(radius_km / (2 * EARTH_KM), math.pi / 2))
+    reach = math.pi if radius_km is None else radius_km / EARTH_KM
     points = leaves_to_visit(where, places, reach).withColumn("id", F.xxhash64("_lat", "_lon"))
     near = join_block(points, places.select("leaf", "id", "_lat", "_lon", *fields), ["leaf"], "id", False)
     km = haversine_km(F.col("_lat_l"), F.col("_lon_l"), F.col("_lat_r"), F.col("_lon_r"))
