@@ -305,6 +305,25 @@ def _sample_rows(df: DataFrame, id_col: str, n: int, total: int, seed: int) -> D
     return add_row_id(keyed, ["_digest", id_col], 0, "_pos").where(F.col("_pos") < n).drop("_digest")
 
 
+def sample_rows(
+    df: DataFrame, id_col: str, max_pairs: int, seed: int, other: DataFrame | None, keep: list[str]
+) -> tuple[DataFrame, DataFrame, int]:
+    """The rows whose pairs make a sample, of one table (twice) or of two, with ``_pos`` from 0; and those of the larger side."""
+    cols = list(dict.fromkeys([id_col, *keep]))
+    if other is None:
+        total = df.count()
+        n = min(rows_for_pairs(max_pairs), total)
+        rows = stage(_sample_rows(df.select(*cols), id_col, n, total, seed), "sample")
+        return rows, rows, n
+    na, nb = df.count(), other.count()
+    # the smaller side keeps up to the square root of the bound, the other fills what is left
+    small = min(na, nb, math.isqrt(max_pairs))
+    large = min(max(na, nb), max_pairs // max(small, 1))
+    m, n = (small, large) if na <= nb else (large, small)
+    left = stage(_sample_rows(df.select(*cols), id_col, m, na, seed), "sample")
+    return left, stage(_sample_rows(other.select(*cols), id_col, n, nb, seed), "sample"), large
+
+
 def sample_pairs(
     df: DataFrame,
     id_col: str,
@@ -321,10 +340,9 @@ def sample_pairs(
     spark = df.sparkSession
     cols = list(dict.fromkeys([id_col, *(keep or [])]))
     p = F.col("id")
+    left, right, _ = sample_rows(df, id_col, max_pairs, seed, other, cols)
+    n = right.count()
     if other is None:
-        total = df.count()
-        n = min(rows_for_pairs(max_pairs), total)
-        rows = _sample_rows(df.select(*cols), id_col, n, total, seed)
         numbers = spark.range(n * (n - 1) // 2)
         j = F.floor((1 + F.sqrt(1 + 8 * p)) / 2).cast("long")
         j = F.when(j * (j - 1) / 2 > p, j - 1).when((j + 1) * j / 2 <= p, j + 1).otherwise(j)
@@ -332,16 +350,8 @@ def sample_pairs(
             (p - (F.col("_j") * (F.col("_j") - 1) / 2).cast("long")).alias("_pos_l"),
             F.col("_j").alias("_pos_r"),
         )
-        left = right = rows
     else:
-        na, nb = df.count(), other.count()
-        # the smaller side keeps up to the square root of the bound, the other fills what is left
-        small = min(na, nb, math.isqrt(max_pairs))
-        large = min(max(na, nb), max_pairs // max(small, 1))
-        m, n = (small, large) if na <= nb else (large, small)
-        left = _sample_rows(df.select(*cols), id_col, m, na, seed)
-        right = _sample_rows(other.select(*cols), id_col, n, nb, seed)
-        numbers = spark.range(m * n).select(
+        numbers = spark.range(left.count() * n).select(
             F.floor(p / n).cast("long").alias("_pos_l"), (p % n).alias("_pos_r")
         )
     # a lopsided link sample may keep many rows of the larger side, so its broadcast is checked

@@ -121,8 +121,12 @@ def cosine_join(
     def prepared(df: DataFrame) -> DataFrame:
         return df.select(id_col, *keys, unit(F.col(vec)).alias(vec)).where(F.col(vec).isNotNull())
 
-    r = prepared(right)
+    r = stage(prepared(right), "units")
     l = r if same else prepared(left)
+    tiles = -(-r.count() // tile_rows)
+    if not keys and tiles <= 1:  # groups could not spare a copy
+        alone = [t.withColumn("_pivot", F.lit(0)) for t in (l, r)]
+        return _matrix_pairs(*alone, ["_pivot"], vec, id_col, threshold, same, tile_rows, best)
     # a bounded number of vectors, chosen by hash, serves as pivots
     chosen = r.orderBy(F.xxhash64(id_col)).limit(pivots).select(vec).collect()
     if not chosen:
@@ -155,7 +159,6 @@ def cosine_join(
         return pd.Series([np.nonzero(row)[0].astype("int32") for row in near & inside])
 
     l, seen = stage_measured(l.withColumn("_visits", visits(vec)), "visits", n=F.count(F.lit(1)), copies=F.sum(F.size("_visits")))
-    tiles = -(-r.count() // tile_rows)
     if not keys and seen["n"] and seen["copies"] >= tiles * seen["n"]:
         l, r = (t.withColumn("_pivot", F.lit(0)) for t in (l.drop("_visits"), r.select(id_col, vec)))
     else:

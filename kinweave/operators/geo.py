@@ -44,8 +44,9 @@ def _z_order(points: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Places of one leaf, and the most leaves that are held at once.
-LEAF_PLACES, MOST_LEAVES = 256, 1 << 15
+#: Leaves are cut so that looking through them costs a point about as much as looking through the places of those it visits:
+#: the square root of so many times the places, up to a number that is held at once. A leaf has at least so many places.
+LEAVES_SQUARED, MOST_LEAVES, LEAF_PLACES = 15, 1 << 15, 8
 
 
 _LEAF = "leaf long, cx double, cy double, cz double, radius double, x double, y double, z double"
@@ -104,7 +105,7 @@ def _places_in_leaves(gazetteer: DataFrame, fields: list[str], lat: str, lon: st
     rows = rows.select(F.col(place_id).alias("id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), *fields)
     rows = rows.withColumn("_p", put(F.col("_lat").cast("double"), F.col("_lon").cast("double")))
     placed, seen = stage_measured(add_row_id(rows.select("*", "_p.*").drop("_p"), ["curve", "id"], 0, "_at"), "places", n=F.count(F.lit(1)))
-    size = max(LEAF_PLACES, -(-seen["n"] // MOST_LEAVES))
+    size = max(LEAF_PLACES, math.ceil(seen["n"] / min(MOST_LEAVES, math.isqrt(LEAVES_SQUARED * seen["n"]) + 1)))
     return placed.withColumn("leaf", F.floor(F.col("_at") / size).cast("long")).drop("_at", "curve")
 
 

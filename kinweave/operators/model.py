@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import length_allows, register
 from ..session import stage
-from .candidates import TILE_ROWS, Rule, block_rules, join_block, new_pairs, sample_pairs
+from .candidates import TILE_ROWS, Rule, block_rules, join_block, new_pairs, sample_pairs, sample_rows
 from .compare import Comparison, Level, add_gammas, with_term_frequencies
 from .evidence import reaching_pairs
 from .patterns import block_patterns, can_tabulate
@@ -81,10 +81,13 @@ def log_odds(p: float) -> float:
 # ---- u ------------------------------------------------------------------------------------------
 
 
-def level_counts(gammas: DataFrame, comparisons: list[Comparison]) -> DataFrame:
-    """Pairs per (comparison, gamma), missing sides left out: patterns are counted, then taken apart."""
+#: Pieces of the larger side of a sample whose pairs are counted.
+U_PIECES = 8
+
+
+def level_counts(patterns: DataFrame, comparisons: list[Comparison]) -> DataFrame:
+    """Pairs per (comparison, gamma) from the pairs ``n`` of each pattern, missing sides left out."""
     names = [f"gamma_{c.name}" for c in comparisons]
-    patterns = gammas.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     return (
         patterns.unpivot(["n"], names, "name", "gamma")
         .where(F.col("gamma") >= 0)
@@ -103,8 +106,15 @@ def u_table(
 ) -> DataFrame:
     """(comparison, gamma, n, u): level shares among randomly sampled pairs."""
     keep = list(dict.fromkeys(c.column for c in comparisons))
-    pairs = sample_pairs(df, id_col, max_pairs, seed, other, keep)
-    counts = level_counts(add_gammas(pairs, comparisons), comparisons)
+    if can_tabulate(df, comparisons) and (other is None or can_tabulate(other, comparisons)):
+        left, right, rows = sample_rows(df, id_col, max_pairs, seed, other, keep)
+        left, right = (t.withColumns({"_all": F.lit(1), "copies": F.lit(1).cast("long")}) for t in (left, right))
+        # one block of all sampled rows, in as many cells as keep the tasks busy
+        patterns = block_patterns(left, right, ["_all"], comparisons, id_col, other is None, max(rows // U_PIECES, 1))
+    else:
+        pairs = add_gammas(sample_pairs(df, id_col, max_pairs, seed, other, keep), comparisons)
+        patterns = pairs.groupBy(*[f"gamma_{c.name}" for c in comparisons]).agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(level_counts(patterns, comparisons), "levels")
     totals = counts.groupBy("comparison").agg(F.sum("n").alias("_all"))
     # a handful of rows per comparison
     return counts.join(F.broadcast(totals), "comparison").select(
