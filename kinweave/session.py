@@ -118,8 +118,9 @@ def stage_measured(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFr
 
 
 def unstage(df: DataFrame) -> None:
-    """Delete a staged table that no later plan reads (superseded rounds of an iteration)."""
-    _delete(df.sparkSession, df._staged_at)
+    """Delete a staged table that no later plan reads (superseded rounds of an iteration); other tables stay."""
+    if (path := vars(df).get("_staged_at")) is not None:
+        _delete(df.sparkSession, path)
 
 
 def _row_bytes(df: DataFrame) -> Column:
