@@ -82,28 +82,35 @@ class LibraryEncoder:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.code).tobytes() for x in got]
 
-    def _learn(self, fresh: set[str]) -> None:
-        """Encodes new pieces. Those that begin a word at a blank are encoded as one long text and cut again
+    def _encoded(self, fresh: set[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """(pieces, their ids one after the other, where each piece ends) for new pieces.
+
+        Those that begin a word at a blank are encoded as one long text and cut again
         where the bytes of the tokens reach the ends of the pieces; that spares an object for each piece.
         """
         joined = [p for p in fresh if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+        rest = list(fresh.difference(joined))
         for low in range(0, len(joined), 50_000):
             part = joined[low : low + 50_000]
             ids = np.array(
                 self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=self.code
             )
             upto = np.cumsum(self.bytes_of[ids])
-            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in part])
+            ends = np.cumsum(pc.binary_length(pa.array(part, type=pa.string())).to_numpy(), dtype=np.int64)
             at = np.searchsorted(upto, ends)
-            if not len(upto) or upto[-1] < ends[-1] or not (upto[at] == ends).all():
-                # a token reaches over the end of a piece: these pieces are encoded one by one
-                self.known.update(zip(part, self._whole(part), strict=True))
-                continue
-            cuts = ((at + 1) * self.code.itemsize).tolist()
+            if len(upto) and upto[-1] >= ends[-1] and (upto[at] == ends).all():
+                yield part, ids, at + 1
+            else:  # a token reaches over the end of a piece: these pieces are encoded one by one
+                rest += part
+        if rest:
+            got = self._whole(rest)
+            yield rest, np.frombuffer(b"".join(got), dtype=self.code), np.cumsum([len(x) // self.code.itemsize for x in got])
+
+    def _learn(self, fresh: set[str]) -> None:
+        for part, ids, upto in self._encoded(fresh):
+            cuts = (upto * self.code.itemsize).tolist()
             packed = ids.tobytes()
             self.known.update(zip(part, map(packed.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
-        other = list(fresh.difference(joined))
-        self.known.update(zip(other, self._whole(other) if other else [], strict=True))
 
     def _cut(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
         """Distinct pieces of plain texts: (piece numbers, pieces, number of pieces of each text).
@@ -141,10 +148,8 @@ class LibraryEncoder:
             part = plain[low:high]
             number, distinct, sizes = self._cut([texts[i] for i in part])
             self.counts = forget(self.counts, REMEMBERED // 2)
-            fresh = set(filterfalse(self.counts.__contains__, distinct))
-            self._learn(fresh)
-            pop = self.known.pop
-            self.counts.update((p, len(pop(p)) // self.code.itemsize) for p in fresh)
+            for fresh, _, until in self._encoded(set(filterfalse(self.counts.__contains__, distinct))):
+                self.counts.update(zip(fresh, np.diff(until, prepend=0).tolist(), strict=True))
             each = np.fromiter(map(self.counts.__getitem__, distinct), dtype=np.int64, count=len(distinct))
             upto = np.concatenate(([0], np.cumsum(each[number])))
             ends = np.cumsum(sizes)
