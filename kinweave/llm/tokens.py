@@ -125,20 +125,15 @@ class LibraryEncoder:
         sizes = np.diff(lists.offsets.to_numpy())
         return coded.indices.to_numpy(), coded.dictionary.to_pylist(), sizes
 
-    def _codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in one array, number of ids of each text) for plain texts."""
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of plain texts: those of their pieces one after the other."""
         number, distinct, sizes = self._cut(texts)
         self.known = forget(self.known)
         self._learn(set(filterfalse(self.known.__contains__, distinct)))
-        packed = list(map(self.known.__getitem__, distinct))
-        table = np.frombuffer(b"".join(packed), dtype=self.code)
-        length = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.code.itemsize
-        start = np.cumsum(length) - length
-        n = length[number]
-        total = np.cumsum(n)
-        at = np.repeat(start[number] - (total - n), n) + np.arange(total[-1] if len(total) else 0)
-        ends = np.concatenate(([0], total))[np.cumsum(sizes)]
-        return table[at], np.diff(ends, prepend=0)
+        of_piece = list(map(self.known.__getitem__, distinct))
+        pieces = list(map(of_piece.__getitem__, number.tolist()))
+        ends = np.cumsum(sizes).tolist()
+        return [b"".join(pieces[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def count(self, texts: list[str]) -> list[int]:
         """Number of ids of each text; only the counts of pieces are remembered."""
@@ -169,11 +164,8 @@ class LibraryEncoder:
         plain = [i for i, t in enumerate(texts) if self._plain(t)]
         for low, high in text_slices([texts[i] for i in plain], ENCODED_CHARS):
             part = plain[low:high]
-            ids, counts = self._codes([texts[i] for i in part])
-            cuts = np.cumsum(counts) * self.code.itemsize
-            packed = ids.tobytes()
-            for i, a, b in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                out[i] = packed[a:b]
+            for i, x in zip(part, self._packed([texts[i] for i in part]), strict=True):
+                out[i] = x
         odd = sorted(set(range(len(texts))).difference(plain))
         for i, x in zip(odd, self._whole([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = x
