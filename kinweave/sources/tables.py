@@ -62,13 +62,16 @@ def read_table(
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType, multiline: bool | None = None) -> DataFrame:
-    """CSV files under a stated schema, whose names must be those of the headers; ``multiline`` as for :func:`read_table`."""
+    """CSV files under a stated schema, whose names must be those of the headers; ``multiline`` as for :func:`read_table`.
+
+    Of files that are split at line breaks outside fields, the header of one is compared with the schema.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     options = CSV_OPTIONS | {"enforceSchema": False}
     if multiline is not None:
         return spark.read.schema(schema).options(**options, multiLine=multiline).csv(paths)
     named = spark.read.options(**CSV_OPTIONS, multiLine=True).csv(paths).columns
-    if named != schema.fieldNames():
+    if [n.lower() for n in named] != [n.lower() for n in schema.fieldNames()]:
         raise ValueError(f"the header has {named}, the schema {schema.fieldNames()}")
     return read_split_csv(spark, paths, schema, options)
 
