@@ -19,7 +19,6 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -82,14 +81,15 @@ class LibraryEncoder:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.code).tobytes() for x in got]
 
-    def _encoded(self, fresh: set[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    def _encoded(self, fresh: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
         """(pieces, their ids one after the other, where each piece ends) for new pieces.
 
         Those that begin a word at a blank are encoded as one long text and cut again
         where the bytes of the tokens reach the ends of the pieces; that spares an object for each piece.
         """
-        joined = [p for p in fresh if len(p) > 1 and p[0] == " " and not p[1].isspace()]
-        rest = list(fresh.difference(joined))
+        joined, rest = [], []
+        for p in fresh:
+            (joined if p[:1] == " " and p != " " and not p[1].isspace() else rest).append(p)
         for low in range(0, len(joined), 50_000):
             part = joined[low : low + 50_000]
             ids = np.array(
@@ -106,7 +106,7 @@ class LibraryEncoder:
             got = self._whole(rest)
             yield rest, np.frombuffer(b"".join(got), dtype=self.code), np.cumsum([len(x) // self.code.itemsize for x in got])
 
-    def _learn(self, fresh: set[str]) -> None:
+    def _learn(self, fresh: list[str]) -> None:
         for part, ids, upto in self._encoded(fresh):
             cuts = (upto * self.code.itemsize).tolist()
             packed = ids.tobytes()
@@ -128,12 +128,20 @@ class LibraryEncoder:
     def _packed(self, texts: list[str]) -> list[bytes]:
         """The packed ids of plain texts: those of their pieces one after the other."""
         number, distinct, sizes = self._cut(texts)
-        self.known = forget(self.known)
-        self._learn(set(filterfalse(self.known.__contains__, distinct)))
-        of_piece = list(map(self.known.__getitem__, distinct))
-        pieces = list(map(of_piece.__getitem__, number.tolist()))
-        ends = np.cumsum(sizes).tolist()
-        return [b"".join(pieces[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        self.known = known = forget(self.known)
+        of_piece = list(map(known.get, distinct))
+        if fresh := [p for p, x in zip(distinct, of_piece, strict=True) if x is None]:
+            self._learn(fresh)
+            of_piece = [known[p] if x is None else x for p, x in zip(distinct, of_piece, strict=True)]
+        table = np.frombuffer(b"".join(of_piece), dtype=self.code)
+        length = np.fromiter(map(len, of_piece), dtype=np.int64, count=len(of_piece)) // self.code.itemsize
+        start = np.cumsum(length) - length
+        n = length[number]
+        total = np.cumsum(n)
+        at = np.repeat(start[number] - (total - n), n) + np.arange(total[-1] if len(total) else 0)
+        packed = table[at].tobytes()
+        ends = (np.concatenate(([0], total))[np.cumsum(sizes)] * self.code.itemsize).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def count(self, texts: list[str]) -> list[int]:
         """Number of ids of each text; only the counts of pieces are remembered."""
@@ -142,10 +150,13 @@ class LibraryEncoder:
         for low, high in text_slices([texts[i] for i in plain], ENCODED_CHARS):
             part = plain[low:high]
             number, distinct, sizes = self._cut([texts[i] for i in part])
-            self.counts = forget(self.counts, REMEMBERED // 2)
-            for fresh, _, until in self._encoded(set(filterfalse(self.counts.__contains__, distinct))):
-                self.counts.update(zip(fresh, np.diff(until, prepend=0).tolist(), strict=True))
-            each = np.fromiter(map(self.counts.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+            self.counts = counts = forget(self.counts, REMEMBERED // 2)
+            each = list(map(counts.get, distinct))
+            if new := [p for p, n in zip(distinct, each, strict=True) if n is None]:
+                for fresh, _, until in self._encoded(new):
+                    counts.update(zip(fresh, np.diff(until, prepend=0).tolist(), strict=True))
+                each = [counts[p] if n is None else n for p, n in zip(distinct, each, strict=True)]
+            each = np.array(each, dtype=np.int64)
             upto = np.concatenate(([0], np.cumsum(each[number])))
             ends = np.cumsum(sizes)
             for i, n in zip(part, (upto[ends] - upto[ends - sizes]).tolist(), strict=True):
