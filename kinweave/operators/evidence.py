@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import length_allows
 from ..session import stage
-from .candidates import TILE_ROWS, Rule, by_size, join_block, large_keys, same_on
+from .candidates import TILE_ROWS, Rule, by_size, join_block, large_keys, once, same_on
 from .compare import Comparison, add_gammas
 from .valueindex import can_index, candidate_pairs
 
@@ -131,7 +131,7 @@ def _by_evidence(
     left = reduce(DataFrame.unionAll, ways)
     right = r.withColumn("_value", F.col(col))
     pairs = join_block(left, right, [*keys, "_value"], id_col, False, tile_rows).drop("_value_l", "_value_r")
-    return pairs.where(F.col(f"{id_col}_l") < F.col(f"{id_col}_r")) if same else pairs
+    return pairs.where(once(l, id_col)) if same else pairs
 
 
 def reaching_pairs(

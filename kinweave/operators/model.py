@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import length_allows, register
 from ..session import stage
-from .candidates import TILE_ROWS, Rule, block_rules, join_block, new_pairs, sample_pairs, sample_rows
+from .candidates import BUNDLE, IDS, TILE_ROWS, Rule, block_rules, bundles, can_bundle, join_block, new_pairs, sample_pairs, sample_rows, unfold
 from .compare import Comparison, Level, add_gammas, with_term_frequencies
 from .evidence import reaching_pairs
 from .patterns import block_patterns, can_tabulate
@@ -496,6 +496,11 @@ def with_model_frequencies(
     return left, None if other is None else with_term_frequencies(other, todo, base)
 
 
+def _even(model: Model) -> bool:
+    """True if no comparison can tell which record is on the left."""
+    return all(l.metric is not None for c in model.comparisons for l in c.levels)
+
+
 def predict(
     df: DataFrame,
     model: Model,
@@ -505,6 +510,7 @@ def predict(
     retain_intermediate: bool = False,
     carry: list[str] | None = None,
     tile_rows: int = TILE_ROWS,
+    distinct: bool = False,
 ) -> DataFrame:
     """Scores every pair the model's rules bring together; with ``threshold`` only pairs reaching it.
 
@@ -512,14 +518,20 @@ def predict(
     agree on, and similarities are measured only where they can decide. The result is the same.
     Compared fields and term frequencies travel with the records through the blocking join, so the
     pairs themselves are never shuffled. ``carry`` names further record columns to keep. Records that
-    hold ``tf_<col>`` already keep those.
+    hold ``tf_<col>`` already keep those. Equal records are scored once, as bundles, unless ``distinct`` says there are none;
+    a table of bundles gives pairs of bundles.
     """
     df, other = with_model_frequencies(model, df, other)
     keep = list(dict.fromkeys([*model.columns, *[f"tf_{c}" for c in model.tf_columns], *(carry or [])]))
+    if id_col != BUNDLE and not distinct and _even(model) and can_bundle(df, keep, id_col) and can_bundle(other, keep, id_col):
+        left, right = (None if t is None else bundles(t, keep, id_col, other is not None) for t in (df, other))
+        found = predict(left, model, BUNDLE, right, threshold, retain_intermediate, carry, tile_rows)
+        return unfold(found, id_col, other is None)
     repeated = False
     if threshold is None:
         pairs = block_rules(df, list(model.rules), id_col, other, keep, tile_rows)
     else:
+        keep = [*keep, IDS] if id_col == BUNDLE else keep
         need = list(dict.fromkeys([id_col, *keep]))
         left = df.select(*need)
         right = left if other is None else other.select(*need)
@@ -536,6 +548,7 @@ def predict(
         # found by several fields; only pairs at the threshold are left here
         scored = scored.dropDuplicates([f"{id_col}_l", f"{id_col}_r"])
     cols = [f"{id_col}_l", f"{id_col}_r", "match_weight", "match_probability", "match_key"]
+    cols += [f"{IDS}_{s}" for s in ("l", "r")] if id_col == BUNDLE else []
     cols += [f"{c}_{s}" for c in (carry or []) for s in ("l", "r")]
     if retain_intermediate:
         cols += [c for c in scored.columns if c.startswith(("gamma_", "bf_", "tf_"))]
