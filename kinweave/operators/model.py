@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import length_allows, register
 from ..session import stage
-from .candidates import BUNDLE, IDS, TILE_ROWS, Rule, block_rules, bundles, can_bundle, join_block, new_pairs, sample_pairs, sample_rows, unfold
+from .candidates import BUNDLE, IDS, TILE_ROWS, Rule, block_rules, bundles, can_bundle, join_block, new_pairs, sample_pairs, sample_rows, unfold, unique_ids
 from .compare import Comparison, Level, add_gammas, with_term_frequencies
 from .evidence import reaching_pairs
 from .patterns import block_patterns, can_tabulate
@@ -525,8 +525,26 @@ def predict(
     keep = list(dict.fromkeys([*model.columns, *[f"tf_{c}" for c in model.tf_columns], *(carry or [])]))
     if id_col != BUNDLE and not distinct and _even(model) and can_bundle(df, keep, id_col) and can_bundle(other, keep, id_col):
         left, right = (None if t is None else bundles(t, keep, id_col, other is not None) for t in (df, other))
-        found = predict(left, model, BUNDLE, right, threshold, retain_intermediate, carry, tile_rows)
-        return unfold(found, id_col, other is None)
+        found, repeated = _predicted(left, model, BUNDLE, right, threshold, retain_intermediate, carry, keep, tile_rows)
+        out = unfold(found, id_col, other is None)
+        # where pairs found by several fields are told apart, those of repeated ids are too
+        again = repeated and any(t is not None and not unique_ids(t, id_col) for t in (df, other))
+        return out.dropDuplicates([f"{id_col}_l", f"{id_col}_r"]) if again else out
+    return _predicted(df, model, id_col, other, threshold, retain_intermediate, carry, keep, tile_rows)[0]
+
+
+def _predicted(
+    df: DataFrame,
+    model: Model,
+    id_col: str,
+    other: DataFrame | None,
+    threshold: float | None,
+    retain_intermediate: bool,
+    carry: list[str] | None,
+    keep: list[str],
+    tile_rows: int,
+) -> tuple[DataFrame, bool]:
+    """The scored pairs of records with term frequencies, and True if several fields found them."""
     repeated = False
     if threshold is None:
         pairs = block_rules(df, list(model.rules), id_col, other, keep, tile_rows)
@@ -552,7 +570,7 @@ def predict(
     cols += [f"{c}_{s}" for c in (carry or []) for s in ("l", "r")]
     if retain_intermediate:
         cols += [c for c in scored.columns if c.startswith(("gamma_", "bf_", "tf_"))]
-    return scored.select(*cols)
+    return scored.select(*cols), repeated
 
 
 def preview(predictions: DataFrame, n: int, id_col: str) -> DataFrame:
