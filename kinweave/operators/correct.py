@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import edit_ratio, digit_tokens
 from ..session import broadcast_if_small, is_small, stage
-from .candidates import sorted_neighbourhood
+from .candidates import BUNDLE, bundles, can_bundle, known_ids, sorted_neighbourhood, unfold
 from .cluster import connected_components
 from .fuzzyjoin import cosine_join, edit_join
 from .ordering import dense_positions
@@ -202,7 +202,9 @@ def correction_ratio(original: str, corrected: str) -> Column:
 def provider_near_duplicates(
     df: DataFrame, col: str, id_col: str, window: int = 5, threshold: float = 0.80
 ) -> DataFrame:
-    """Sorted-neighbourhood pairs whose names are at least ``threshold`` alike."""
+    """Sorted-neighbourhood pairs whose names are at least ``threshold`` alike. Bundles give pairs of bundles."""
+    if id_col != BUNDLE and can_bundle(df, [col], id_col) and known_ids(df, id_col):
+        return unfold(provider_near_duplicates(bundles(df, [col], id_col), col, BUNDLE, window, threshold), id_col)
     pairs = sorted_neighbourhood(df, col, id_col, window, keep=[col])
     scored = pairs.withColumn("score", edit_ratio(F.col(f"{col}_l"), F.col(f"{col}_r")))
     return scored.where(F.col("score") >= threshold)
