@@ -1,9 +1,11 @@
 """Equal records as bundles: the pairs, scores, labels and links of their records are those of the records one by one."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import candidates, compare, evaluate
+from kinweave.operators import candidates, compare, correct, evaluate
 from kinweave.operators import model as m
 from kinweave.operators.cluster import connected_components
 from kinweave.plans.pair_queries import MODEL
@@ -101,3 +103,62 @@ def test_a_row_is_copied_to_a_bounded_number_of_tiles(spark):
     assert l.count() + r.count() <= 2000 * (candidates.MOST_PIECES + 1)
     pairs = candidates.join_block(df, df, ["k"], "id", True, 2)
     assert pairs.count() == 2000 * 1999 // 2
+
+
+def split_by_hand(rows, share):
+    """Marks of (key, label) rows from a sort by digest: how many of each label are marked, and which keys that are there once."""
+    marks = {}
+    for label in {l for _, l in rows if l is not None}:
+        keys = sorted((hashlib.md5(f"{k}|10".encode()).hexdigest(), k) for k, l in rows if l == label)
+        marks[label] = [k for _, k in keys[: int(len(keys) * share + 0.5)]]
+    return marks
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 1.0])
+def test_split_orders_few_rows(spark, share, monkeypatch):
+    """Only rows near the cut of a label are sorted; the marks are those of a sort of all rows."""
+    monkeypatch.setattr(evaluate, "LEAD", 2)
+    sorted_sizes, whole = [], evaluate.add_row_id
+    monkeypatch.setattr(evaluate, "add_row_id", lambda df, *a: (sorted_sizes.append(df.count()), whole(df, *a))[1])
+    rows = [(k, [None, 0, 1, 1][k % 4]) for k in range(4000)]
+    df = spark.createDataFrame(rows, "key long, label int")
+    got = evaluate.stratified_split(df, "label", ["key"], share).collect()
+    assert len(got) == len(rows) and all(r["is_test"] is None for r in got if r["label"] is None)
+    want = split_by_hand(rows, share)
+    assert {l: sorted(r["key"] for r in got if r["label"] == l and r["is_test"] == 1) for l in want} == {l: sorted(k) for l, k in want.items()}
+    assert sum(sorted_sizes) < 100
+
+
+def test_split_of_repeated_keys_and_of_whole_numbers(spark):
+    """Rows of one key are told apart at the cut; a digest of 64 bits marks as many rows."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("key"), F.lit(1).alias("label"))
+    for digest in (None, F.xxhash64("key")):
+        got = evaluate.stratified_split(df, "label", ["key"], digest=digest)
+        assert got.groupBy("is_test").count().orderBy("is_test").collect() == [(0, 900), (1, 100)]
+    many = spark.range(5000).withColumn("label", F.col("id") % 2)
+    marked = evaluate.stratified_split(many, "label", ["id"], digest=F.xxhash64("id"))
+    assert sorted(marked.groupBy("label", "is_test").count().collect()) == [(0, 0, 2250), (0, 1, 250), (1, 0, 2250), (1, 1, 250)]
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_neighbours_of_equal_names_are_bundles(spark, odd, monkeypatch):
+    """Equal names are scored once; ids that are missing or repeated are paired row by row, as they may pair with themselves."""
+    monkeypatch.setattr(candidates, "BUNDLE_IDS", 7)
+    names = ["red ring", "red rings", "blue bolt", None, "red rung"]
+    rows = [(i, names[i % 5]) for i in range(60)] + ([(None, "red ring"), (3, "red rung"), (0, "red rings")] if odd else [])
+    df = spark.createDataFrame(rows, "id long, name string")
+    place = {n: k for k, n in enumerate(sorted({n for n in names if n}))}
+    known = [(i, n) for i, n in rows if n is not None]
+    near = []
+    for a, n in known:
+        for b, o in known:
+            if place[n] < place[o] <= place[n] + 1 or (n == o and None not in (a, b) and a < b):
+                near.append((a, b, n, o) if None not in (a, b) and a < b else (b, a, o, n))
+    got = candidates.sorted_neighbourhood(df, "name", "id", 3, keep=["name"])
+    assert sorted_rows(got, "id_l", "id_r", "name_l", "name_r") == sorted(near, key=repr)
+    alike = [p for p in near if p[2] == p[3] or {p[2], p[3]} == {"red ring", "red rings"}]
+    assert sorted_rows(correct.provider_near_duplicates(df, "name", "id", 3), "id_l", "id_r", "name_l", "name_r") == sorted(alike, key=repr)
+    if not odd:
+        found = correct.provider_near_duplicates(candidates.bundles(df, ["name"], "id"), "name", candidates.BUNDLE, 3)
+        assert found.count() < len(alike) / 4
+        assert found.agg(F.sum(candidates.pair_count())).first()[0] == len(alike)
