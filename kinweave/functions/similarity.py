@@ -49,22 +49,27 @@ def _measure(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np
         used_b[rows, lo + hit[rows].argmax(axis=1)] = True
         used_a[:, i] = found
     m = used_a.sum(axis=1)
-    k = int(m.max()) if n else 0
     out = np.zeros(n)
-    if k == 0:
-        return out
+    some = np.flatnonzero(m)
+    if len(some):
+        out[some] = scored_matches(ca[some], cb[some], la[some], lb[some], used_a[some], used_b[some])
+    return out
+
+
+def scored_matches(ca: np.ndarray, cb: np.ndarray, la: np.ndarray, lb: np.ndarray, used_a: np.ndarray, used_b: np.ndarray) -> np.ndarray:
+    """Jaro-Winkler of texts (as letter codes) whose matching letters are marked; each pair has some."""
+    m = used_a.sum(axis=1)
+    k = int(m.max())
     first_a = np.argsort(~used_a, axis=1, kind="stable")[:, :k]
     first_b = np.argsort(~used_b, axis=1, kind="stable")[:, :k]
     differ = np.take_along_axis(ca, first_a, 1) != np.take_along_axis(cb, first_b, 1)
     swaps = (differ & (np.arange(k)[None, :] < m[:, None])).sum(axis=1) // 2
-    some = m > 0
-    mm = m[some].astype(float)
-    jaro = (mm / la[some] + mm / lb[some] + (mm - swaps[some]) / mm) / 3.0
-    p = min(PREFIX_LENGTH, wa, wb)
+    mm = m.astype(float)
+    jaro = (mm / la + mm / lb + (mm - swaps) / mm) / 3.0
+    p = min(PREFIX_LENGTH, ca.shape[1], cb.shape[1])
     same = (ca[:, :p] == cb[:, :p]) & (np.arange(p)[None, :] < np.minimum(la, lb)[:, None])
-    lead = np.cumprod(same, axis=1).sum(axis=1)[some]
-    out[some] = np.where(jaro > BOOST_ABOVE, jaro + PREFIX_WEIGHT * lead * (1.0 - jaro), jaro)
-    return out
+    lead = np.cumprod(same, axis=1).sum(axis=1)
+    return np.where(jaro > BOOST_ABOVE, jaro + PREFIX_WEIGHT * lead * (1.0 - jaro), jaro)
 
 
 def jaro_winkler_pairs(a: pd.Series, b: pd.Series) -> np.ndarray:

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import length_allows
 from ..session import stage
-from .candidates import TILE_ROWS, Rule, by_size, join_block, large_keys, once, same_on
+from .candidates import TILE_ROWS, Rule, attach_records, by_size, join_block, large_keys, once, same_on
 from .compare import Comparison, add_gammas
+from .patterns import block_reaching, can_tabulate, rare_exact
 from .valueindex import can_index, candidate_pairs
 
 
@@ -144,12 +145,22 @@ def reaching_pairs(
     same: bool,
     keep: list[str],
     tile_rows: int,
+    told: bool = False,
 ) -> tuple[DataFrame, bool]:
     """Every pair of the rules that can gain ``needed`` (and others); True if pairs may come twice.
 
     Blocks of ordinary size are joined as they are, larger ones by evidence, and those that no
-    evidence can narrow are tiled.
+    evidence can narrow are tiled. Where ``told`` says that no id is missing or occurs twice in a table, ordinary blocks, and those that
+    would be tiled, are looked through as arrays, and only the pairs that gain ``needed`` become rows.
     """
+    told = told and rare_exact(comparisons) is not None and all(can_tabulate(t, comparisons) for t in (left, right))
+
+    def joined(l: DataFrame, r: DataFrame, keys: list[str], tiles: int | None) -> DataFrame:
+        if not told:
+            return join_block(l, r, keys, id_col, same, tiles)
+        ids = stage(block_reaching(l, r, keys, comparisons, needed, id_col, same, tiles), "reaching")
+        return attach_records(ids, l, id_col, None if same else r)
+
     out = [f"{id_col}_l", f"{id_col}_r"]
     out += [f"{c}_{s}" for c in keep if c != id_col for s in ("l", "r")]
     parts, repeated = [], False
@@ -161,12 +172,12 @@ def reaching_pairs(
             in_large, rest_l = by_size(left, large, keys)
             plan = plan_evidence(comparisons, rule, needed, _extra_weights(in_large, comparisons))
         if plan is None:
-            found = [join_block(left, right, keys, id_col, same, tile_rows if large is not None else None)]
+            found = [joined(left, right, keys, tile_rows if large is not None else None)]
         else:
             repeated = repeated or len(plan) > 1
             l = in_large
             r, rest_r = (in_large, rest_l) if same else by_size(right, large, keys)
-            found = [join_block(rest_l, rest_r, keys, id_col, same, None)]
+            found = [joined(rest_l, rest_r, keys, None)]
             found += [_by_evidence(l, r, keys, id_col, same, e, tile_rows) for e in plan]
         for pairs in found:
             for earlier in rules[:k]:

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from ..functions.similarity import length_allows, register
 from ..session import stage
 from .candidates import BUNDLE, IDS, TILE_ROWS, Rule, block_rules, bundles, can_bundle, join_block, new_pairs, sample_pairs, sample_rows, unfold, unique_ids
-from .compare import Comparison, Level, add_gammas, with_term_frequencies
+from .compare import Comparison, Level, add_gammas, exact_match, with_term_frequencies
 from .evidence import reaching_pairs
-from .patterns import block_patterns, can_tabulate
+from .patterns import block_patterns, can_tabulate, rare_exact
 
 # fixed values: prior of a fresh model, share of m on the exact level before training, EM stopping
 DEFAULT_PRIOR = 0.0001
@@ -464,8 +464,12 @@ def within_reach(pairs: DataFrame, model: Model, threshold: float) -> DataFrame:
 
 def add_scores(pairs: DataFrame, model: Model) -> DataFrame:
     """Adds ``gamma_*``, ``bf_*`` (and ``bf_tf_*``), ``match_weight`` and ``match_probability``."""
+    return _weighed(add_gammas(pairs, [filled(c) for c in model.comparisons]), model)
+
+
+def _weighed(out: DataFrame, model: Model) -> DataFrame:
+    """What :func:`add_scores` adds to pairs, or patterns of pairs, that have their levels."""
     cs = [filled(c) for c in model.comparisons]
-    out = add_gammas(pairs, cs)
     weights = {f"_w_{c.name}": _weight(c) for c in cs}
     weights |= {f"_t_{c.name}": t for c in cs if (t := _tf_weight(c)) is not None}
     out = out.withColumns(weights)
@@ -496,6 +500,46 @@ def with_model_frequencies(
     return left, None if other is None else with_term_frequencies(other, todo, base)
 
 
+#: Patterns are numbered by whole numbers below this.
+MOST_PATTERNS = 1 << 62
+
+
+def score_counts(
+    df: DataFrame, model: Model, id_col: str, label: str, other: DataFrame | None = None, tile_rows: int = TILE_ROWS
+) -> DataFrame | None:
+    """(match_weight, label, pairs) of all pairs the rules bring together, counted by pattern; no row is made for a pair.
+
+    Records are distinct, with ``copies``, ``tf_*`` and ids that are known and not repeated. ``label`` is 1 where the pair is
+    equal in that column. None if levels or columns are of kinds that cannot be counted so.
+    """
+    cs = [filled(c) for c in model.comparisons]
+    taken = {c.column for c in cs}
+    cs += [exact_match(c) for c in dict.fromkeys([*[c for r in model.rules for c in r], label]) if c not in taken]
+    rare = rare_exact(cs)
+    right = df if other is None else other
+    if rare is None or any(c.name != c.column for c in cs) or not all(can_tabulate(t, cs) for t in (df, right)):
+        return None
+    kinds = [F.count_distinct(f"tf_{c}") for c in rare]
+    most = math.prod(len(c.scored) + 1 for c in cs)
+    for t in (df, right) if rare else ():
+        most *= math.prod(n + 1 for n in t.agg(*kinds).first())
+    if most >= MOST_PATTERNS:
+        return None
+    need = list(dict.fromkeys([id_col, "copies", *[c.column for c in cs], *[f"tf_{c}" for c in rare]]))
+    left, right = df.select(*need), right.select(*need)
+    top = {c.column: len(c.scored) - 1 for c in cs}
+    parts = []
+    for k, rule in enumerate(model.rules):
+        found = block_patterns(left, right, list(rule), cs, id_col, other is None, tile_rows, rare)
+        for earlier in model.rules[:k]:
+            found = found.where(~reduce(lambda a, b: a & b, [F.col(f"gamma_{c}") == top[c] for c in earlier]))
+        parts.append(found)
+    found = stage(reduce(DataFrame.unionAll, parts), "patterns")
+    sides = {f"tf_{c}_{s}": F.col(f"tf_{c}") for c in rare for s in ("l", "r")}
+    scored = _weighed(found.withColumns(sides) if sides else found, model)
+    return scored.select("match_weight", (F.col(f"gamma_{label}") == top[label]).cast("int").alias("label"), F.col("n").alias("pairs"))
+
+
 def _even(model: Model) -> bool:
     """True if no comparison can tell which record is on the left."""
     return all(l.metric is not None for c in model.comparisons for l in c.levels)
@@ -518,7 +562,7 @@ def predict(
     agree on, and similarities are measured only where they can decide. The result is the same.
     Compared fields and term frequencies travel with the records through the blocking join, so the
     pairs themselves are never shuffled. ``carry`` names further record columns to keep. Records that
-    hold ``tf_<col>`` already keep those. Equal records are scored once, as bundles, unless ``distinct`` says there are none;
+    hold ``tf_<col>`` already keep those. Equal records are scored once, as bundles, unless ``distinct`` says there are none, and that each has an id of its own;
     a table of bundles gives pairs of bundles.
     """
     df, other = with_model_frequencies(model, df, other)
@@ -530,7 +574,7 @@ def predict(
         # where pairs found by several fields are told apart, those of repeated ids are too
         again = repeated and any(t is not None and not unique_ids(t, id_col) for t in (df, other))
         return out.dropDuplicates([f"{id_col}_l", f"{id_col}_r"]) if again else out
-    return _predicted(df, model, id_col, other, threshold, retain_intermediate, carry, keep, tile_rows)[0]
+    return _predicted(df, model, id_col, other, threshold, retain_intermediate, carry, keep, tile_rows, distinct)[0]
 
 
 def _predicted(
@@ -543,6 +587,7 @@ def _predicted(
     carry: list[str] | None,
     keep: list[str],
     tile_rows: int,
+    told: bool = False,
 ) -> tuple[DataFrame, bool]:
     """The scored pairs of records with term frequencies, and True if several fields found them."""
     repeated = False
@@ -556,7 +601,7 @@ def _predicted(
         cs = [filled(c) for c in model.comparisons]
         gain = log_odds(threshold) - log_odds(model.prior) if 0 < threshold < 1 else -math.inf
         pairs, repeated = reaching_pairs(
-            left, right, list(model.rules), cs, gain, id_col, other is None, keep, tile_rows
+            left, right, list(model.rules), cs, gain, id_col, other is None, keep, tile_rows, told
         )
         pairs = within_reach(pairs, model, threshold)
     scored = add_scores(pairs, model)

@@ -165,9 +165,12 @@ def _truth(df: DataFrame, model: m.Model, label: str, other: DataFrame | None, d
         right = None
     same = F.coalesce(F.col(f"{label}_l") == F.col(f"{label}_r"), F.lit(False)).cast("int")
     score = F.col("match_weight") if digits is None else F.round("match_weight", digits).alias("match_weight")
-    scored = m.predict(left, model, ID, right, carry=[label, "copies"], distinct=True).select(
-        score, same.alias("label"), (F.col("copies_l") * F.col("copies_r")).alias("pairs")
-    )
+    scored = m.score_counts(left, model, ID, label, right)
+    if scored is None:
+        scored = m.predict(left, model, ID, right, carry=[label, "copies"], distinct=True).select(
+            "match_weight", same.alias("label"), (F.col("copies_l") * F.col("copies_r")).alias("pairs")
+        )
+    scored = scored.select(score, "label", "pairs")
     if other is None:
         own = score_copies(left, model, [label]).select(
             score, same.alias("label"), (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("pairs")
