@@ -92,6 +92,28 @@ def bundles(df: DataFrame, cols: list[str], id_col: str, nulls: bool = False) ->
     return stage(rows.withColumn(BUNDLE, F.monotonically_increasing_id()), "bundles")
 
 
+def bundles_apart(df: DataFrame, cols: list[str], id_col: str) -> tuple[DataFrame, bool]:
+    """:func:`bundles` in which records of a repeated id have bundles of their own, with keys below 0; and True if there are any.
+
+    So all bundles with other keys have ids that occur once, and pairs of ids among them belong to one pair of bundles only.
+    """
+    repeated = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = stage(repeated, "repeated")
+    if repeated.isEmpty():
+        return bundles(df, cols, id_col), False
+    marked = left_join_unique(df, repeated.select(id_col, F.lit(True).alias("_again")), [id_col], counts=repeated)
+    marked = marked.withColumn("_again", F.when(F.col("_again"), F.col(id_col)))
+    rows = bundles(marked, [*cols, "_again"], id_col)
+    key = F.when(F.col("_again").isNull(), F.col(BUNDLE)).otherwise(-1 - F.col(BUNDLE))
+    return rows.withColumn(BUNDLE, key).drop("_again"), True
+
+
+def by_repeats(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of :func:`bundles_apart` without and with repeated ids."""
+    single = (F.col(f"{BUNDLE}_l") >= 0) & (F.col(f"{BUNDLE}_r") >= 0)
+    return pairs.where(single), pairs.where(~single)
+
+
 def unfold(pairs: DataFrame, id_col: str, same: bool = True) -> DataFrame:
     """The pairs of records of pairs of bundles, with all further columns; with ``same`` the lower id is on the left."""
     a, b = f"{id_col}_l", f"{id_col}_r"
@@ -115,9 +137,17 @@ def unfold(pairs: DataFrame, id_col: str, same: bool = True) -> DataFrame:
 
 
 def pair_count() -> Column:
-    """How many pairs of records a pair of bundles of one table stands for, if ids are unique."""
+    """How many pairs of records a pair of bundles of one table stands for, if ids are unique or told :func:`bundles_apart`."""
     n, k = F.size(f"{IDS}_l").cast("long"), F.size(f"{IDS}_r")
-    return F.when(F.col(f"{BUNDLE}_l") == F.col(f"{BUNDLE}_r"), F.expr(f"cast(size({IDS}_l) as long) * (size({IDS}_l) - 1) div 2")).otherwise(n * k)
+    a, b = F.col(f"{BUNDLE}_l"), F.col(f"{BUNDLE}_r")
+    # records of one id are no pair
+    none = (a < 0) & (b < 0) & (F.col(f"{IDS}_l")[0] == F.col(f"{IDS}_r")[0])
+    return F.when(none, F.lit(0).cast("long")).when(a == b, F.expr(f"cast(size({IDS}_l) as long) * (size({IDS}_l) - 1) div 2")).otherwise(n * k)
+
+
+def spread(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs spread by ``keys`` over as many tasks as a shuffle has: few bytes of bundles may unfold to very many pairs."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def spanning_links(pairs: DataFrame, id_col: str) -> DataFrame:
@@ -401,7 +431,7 @@ def canonical_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
 def union_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     """Both candidate lists, each pair once; pairs of bundles are told apart by their keys."""
     both = a.unionByName(b)
-    return both.dropDuplicates(BUNDLED[:2]) if set(BUNDLED) <= set(both.columns) else both.dropDuplicates()
+    return spread(both, BUNDLED[:2]).dropDuplicates(BUNDLED[:2]) if set(BUNDLED) <= set(both.columns) else both.dropDuplicates()
 
 
 def rows_for_pairs(max_pairs: int) -> int:
@@ -507,6 +537,8 @@ def attach_records(
 
 def attach_predictions(features: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
     """Features with their prediction, joined on the pair key rather than on row position."""
+    if set(BUNDLED) <= set(features.columns):
+        features, predictions = spread(features, keys), spread(predictions, keys)
     return features.join(predictions, keys, "left")
 
 

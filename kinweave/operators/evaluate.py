@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
-from .candidates import canonical_pairs
+from .candidates import canonical_pairs, spread
 from .ordering import add_row_id, running_totals
 from .skew import left_join_unique
 
@@ -28,6 +28,8 @@ def label_pairs(
         {"_lo": F.least(left, right), "_hi": F.greatest(left, right)}
     )
     true = true.withColumnsRenamed({left: "_lo", right: "_hi"})
+    if alike:
+        keyed, true = spread(keyed, ["_lo", "_hi"]), spread(true, ["_lo", "_hi"])
     return keyed.join(true, ["_lo", "_hi"], "left").fillna(0, [out]).drop("_lo", "_hi")
 
 

@@ -3,11 +3,13 @@
 import hashlib
 
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.operators import candidates, compare, correct, evaluate
 from kinweave.operators import model as m
 from kinweave.operators.cluster import connected_components
+from kinweave.plans import pair_queries
 from kinweave.plans.pair_queries import MODEL
 
 RULES = [("name", "brand"), ("kind", "size", "brand")]
@@ -162,3 +164,62 @@ def test_neighbours_of_equal_names_are_bundles(spark, odd, monkeypatch):
         found = correct.provider_near_duplicates(candidates.bundles(df, ["name"], "id"), "name", candidates.BUNDLE, 3)
         assert found.count() < len(alike) / 4
         assert found.agg(F.sum(candidates.pair_count())).first()[0] == len(alike)
+
+
+def part_table(folder, rows):
+    """A table of parts from (key, name, brand, type, size)."""
+    schema = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+    SparkSession.active().createDataFrame(rows, schema).write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def some_parts():
+    """Copies, a missing key, and three keys that are there several times."""
+    names = ["hot bolt", "red ring", "hot belt"]
+    rows = [(i, names[i % 3], f"B{i % 2}", ["SMALL", "LARGE"][i % 5 % 2], i % 4) for i in range(80)]
+    return rows + rows[:1] + [(3, "hot bolt", "B1", "SMALL", 3), (3, "red ring", "B1", "LARGE", 1), (7, "hot bolt", "B1", "SMALL", 3), (None, "hot bolt", "B1", "SMALL", 3)]
+
+
+def test_labels_and_unions_of_repeated_ids(spark, tmp_path):
+    d = part_table(tmp_path / "t", some_parts())
+    df = pair_queries._part(spark, d)
+    each = plain_pairs(df).select("id_l", "id_r", "kind_l", "kind_r", "name_l", "name_r", "brand_l", "brand_r").collect()
+    got = sorted_rows(pair_queries.union_candidates(spark, d), "id_l", "id_r")
+    assert got == sorted({(r.id_l, r.id_r) for r in each}, key=repr)
+    # two ids are a true link if any two of their records are
+    linked = {(r.id_l, r.id_r) for r in each if r.kind_l == r.kind_r and r.name_l == r.name_r and r.brand_l == r.brand_r}
+    want = [(r.id_l, r.id_r, int((r.id_l, r.id_r) in linked)) for r in each]
+    assert sorted_rows(pair_queries.label_pairs(spark, d), "id_l", "id_r", "label") == sorted(want, key=repr)
+    counts = [(k, sum(1 for w in want if w[2] == k)) for k in (0, 1)]
+    assert sorted_rows(pair_queries.label_counts(spark, d), "label", "pairs") == counts
+    # a prediction meets all pairs of its two ids
+    alike = [(r.id_l, r.id_r) for r in each if r.kind_l == r.kind_r]
+    want = [(r.id_l, r.id_r, int(r.name_l == r.name_r), p) for r in each for p in [1] * alike.count((r.id_l, r.id_r)) or [None]]
+    assert sorted_rows(pair_queries.attach_predictions(spark, d), "id_l", "id_r", "name", "predict") == sorted(want, key=repr)
+    table = pair_queries.truth_table_labels_column(spark, d).orderBy("threshold").first()
+    assert table.tp + table.fp == len(each)
+
+
+def test_one_repeated_id_leaves_all_others_in_bundles(spark, tmp_path, monkeypatch):
+    """900 equal parts, one id twice: before, each of the 400,000 pairs was joined with the labels and predictions."""
+    d = part_table(tmp_path / "t", [(i, "hot bolt", "B", "SMALL", 1) for i in range(900)] + [(5, "hot bolt", "B", "SMALL", 1)])
+    seen = []
+    for module, name in ((evaluate, "label_pairs"), (candidates, "attach_predictions"), (candidates, "union_candidates")):
+        work = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda a, *rest, work=work, **how: seen.append(a.count()) or work(a, *rest, **how))
+    pairs = 899 * 898 // 2 + 2 * 899
+    assert pair_queries.label_pairs(spark, d).count() == pairs
+    # each of the two records of the repeated id has the predictions of both
+    assert pair_queries.attach_predictions(spark, d).count() == pairs + 2 * 899
+    assert pair_queries.union_candidates(spark, d).count() == 900 * 899 // 2
+    assert sum(seen) < 5000
+    assert [tuple(r) for r in pair_queries.label_counts(spark, d).collect()] == [(1, pairs)]
+
+
+def test_pairs_of_bundles_are_unfolded_by_many_tasks(spark, tmp_path):
+    """Few bytes unfold to many pairs, so tasks must not be put together by bytes."""
+    d = part_table(tmp_path / "t", some_parts()[:80])
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("union_candidates", "attach_predictions", "label_pairs"):
+        found = getattr(pair_queries, name)(spark, d)
+        assert found.rdd.getNumPartitions() == n, name
