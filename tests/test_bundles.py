@@ -223,3 +223,17 @@ def test_pairs_of_bundles_are_unfolded_by_many_tasks(spark, tmp_path):
     for name in ("union_candidates", "attach_predictions", "label_pairs"):
         found = getattr(pair_queries, name)(spark, d)
         assert found.rdd.getNumPartitions() == n, name
+
+
+def test_rows_of_two_bundles_are_not_held_at_once(spark):
+    """Both explodes in one compiled loop keep all rows of a pair of bundles before the first is handed on."""
+    rows = candidates.bundles(spark.range(300).selectExpr("id", "'x' as size"), ["size"], "id")
+    found = candidates.unfold(candidates.block(rows, ["size"], candidates.BUNDLE), "id")
+    assert found.distinct().count() == 300 * 299 // 2
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = candidates.unfold(rows.selectExpr("_bundle _bundle_l", "_bundle _bundle_r", "_ids _ids_l", "_ids _ids_r"), "id")
+        lines = [l for l in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode" in l]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(lines) == 2 and sum("*(" in l for l in lines) == 1
