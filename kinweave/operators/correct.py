@@ -215,18 +215,21 @@ def cluster_addresses(
 ) -> DataFrame:
     """Group number per address: same numbers in the text and cosine at least ``threshold``; 0 = none.
 
-    Equal numbers are an equality key of the join, as a digest that is checked on the joined rows. Groups are
+    Equal numbers are an equality key of the join, as a digest that is checked on the records, or on the joined rows where two texts share one. Groups are
     connected components, named by their least id plus one, or, where ids are not whole numbers, numbered from 1 in the
     order of their least ids. A missing text or id has no group.
     """
     numbers = F.array_join(digit_tokens(F.col(text)), " ")
     keyed = df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull())
-    keyed = keyed.select(id_col, vec, F.xxhash64(numbers).alias("_numbers"), numbers.alias("_text"))
+    keyed = stage(keyed.select(id_col, vec, F.xxhash64(numbers).alias("_numbers"), numbers.alias("_text")), "numbers")
     near = cosine_join(keyed.drop("_text"), keyed.drop("_text"), vec, id_col, threshold, ["_numbers"], same=True)
-    own = keyed.select(id_col, "_text")
-    for side in ("l", "r"):
-        near = near.join(own.withColumnsRenamed({c: f"{c}_{side}" for c in own.columns}), f"{id_col}_{side}")
-    near = near.where("_text_l = _text_r")
+    # where each digest is that of one text only, the pairs need no check
+    texts = keyed.groupBy("_numbers").agg(F.min("_text").alias("first"), F.max("_text").alias("last"))
+    if not texts.where("first <> last").isEmpty():
+        own = keyed.select(id_col, "_text")
+        for side in ("l", "r"):
+            near = near.join(own.withColumnsRenamed({c: f"{c}_{side}" for c in own.columns}), f"{id_col}_{side}")
+        near = near.where("_text_l = _text_r")
     found = stage(connected_components(near, f"{id_col}_l", f"{id_col}_r"), "components")
     if isinstance(df.schema[id_col].dataType, T.IntegralType):
         numbered = found.withColumn("group_id", F.col("component") + 1)

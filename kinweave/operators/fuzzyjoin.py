@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import dot, unit
-from ..session import stage, stage_measured
-from .candidates import TILE_ROWS, by_size, join_block, large_keys, split_cells
+from ..session import stage
+from .candidates import MOST_PIECES, TILE_ROWS, by_size, join_block, large_keys, split_cells
 
 # ---- edit distance ------------------------------------------------------------------------------
 #
@@ -92,6 +92,8 @@ def edit_join(
 
 #: Groups with more records than this are compared by matrix products.
 MATRIX_ROWS = 256
+#: A tile has at least so many vectors and at most so many bytes of them, and a product at most so many entries.
+LEAST_TILE, TILE_BYTES, ENTRIES = 2_000, 16 << 20, 1 << 22
 
 
 def cosine_join(
@@ -103,7 +105,7 @@ def cosine_join(
     keys: list[str] | None = None,
     same: bool = False,
     pivots: int = 32,
-    tile_rows: int = 2_000,
+    tile_rows: int | None = None,
     best: bool = False,
 ) -> DataFrame:
     """Pairs with cosine at least ``threshold``, as (id_l, id_r, cosine).
@@ -111,9 +113,9 @@ def cosine_join(
     Each right vector belongs to its nearest pivot. By the triangle inequality on angles a left
     vector need only meet a pivot's group if the group's angle range comes within arccos(threshold)
     of its own angle, and if the pivot is not further than twice that from its own nearest pivot; so
-    groups are skipped without losing a pair. Where that would copy the left side more often than plain tiles do, groups
-    are left out. ``keys`` add plain equality. Big groups are tiled and compared by matrix products; with ``best`` only the
-    best partner of each left vector leaves a tile (the least id among equal ones).
+    groups are skipped without losing a pair. Where their tiles would take more copies of the vectors than plain tiles do, groups
+    are left out. ``keys`` add plain equality. Big groups are tiled and compared by matrix products, with ``same`` and no pivots each
+    two tiles once; with ``best`` only the best partner of each left vector leaves a tile (the least id among equal ones).
     """
     keys = keys or []
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
@@ -123,8 +125,8 @@ def cosine_join(
 
     r = stage(prepared(right), "units")
     l = r if same else prepared(left)
-    tiles = -(-r.count() // tile_rows)
-    if not keys and tiles <= 1:  # groups could not spare a copy
+    tile_rows = tile_rows or _tile_rows(r, vec)
+    if not keys and r.count() <= tile_rows:  # groups could not spare a copy
         alone = [t.withColumn("_pivot", F.lit(0)) for t in (l, r)]
         return _matrix_pairs(*alone, ["_pivot"], vec, id_col, threshold, same, tile_rows, best)
     # a bounded number of vectors, chosen by hash, serves as pivots
@@ -158,21 +160,24 @@ def cosine_join(
         inside = (angle + reach >= low) & (angle - reach <= high)
         return pd.Series([np.nonzero(row)[0].astype("int32") for row in near & inside])
 
-    l, seen = stage_measured(l.withColumn("_visits", visits(vec)), "visits", n=F.count(F.lit(1)), copies=F.sum(F.size("_visits")))
-    if not keys and seen["n"] and seen["copies"] >= tiles * seen["n"]:
-        l, r = (t.withColumn("_pivot", F.lit(0)) for t in (l.drop("_visits"), r.select(id_col, vec)))
-    else:
-        l = l.withColumn("_pivot", F.explode("_visits")).drop("_visits")
-        r = r.select(id_col, *keys, vec, F.col("_home.p").alias("_pivot"))
+    l = stage(l.withColumn("_visits", visits(vec)), "visits")
     on = [*keys, "_pivot"]
+    plain = [t.select(id_col, *keys, vec, F.lit(0).alias("_pivot")) for t in (l, r)]
+    grouped = [
+        l.select(id_col, *keys, vec, F.explode("_visits").alias("_pivot")),
+        r.select(id_col, *keys, vec, F.col("_home.p").alias("_pivot")),
+    ]
+    whole = _copies(*plain, on, same and not best, tile_rows) <= _copies(*grouped, on, False, tile_rows)
+    l, r = plain if whole else grouped
+    halves = same and not best and whole
     if not keys:
-        return _matrix_pairs(l, r, on, vec, id_col, threshold, same, tile_rows, best)
+        return _matrix_pairs(l, r, on, vec, id_col, threshold, same, tile_rows, best, halves)
     # groups of many records become matrix products, the many small ones plain joins
     large = large_keys(l, r, on, False, MATRIX_ROWS)
     parts = []
     if large is not None:
         (large_l, l), (large_r, r) = by_size(l, large, on), by_size(r, large, on)
-        parts.append(_matrix_pairs(large_l, large_r, on, vec, id_col, threshold, same, tile_rows, best))
+        parts.append(_matrix_pairs(large_l, large_r, on, vec, id_col, threshold, same, tile_rows, best, halves))
     pairs = join_block(l, r, on, id_col, False, None)
     if same:
         pairs = pairs.where(F.col(f"{id_col}_l") < F.col(f"{id_col}_r"))
@@ -182,6 +187,24 @@ def cosine_join(
     return reduce(DataFrame.unionAll, [scored.where(F.col("cosine") >= threshold), *parts])
 
 
+def _tile_rows(df: DataFrame, vec: str) -> int:
+    """Vectors of a tile: few enough to give all tasks a cell, many enough to spare copies, and bounded in bytes."""
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("size")).first()
+    across = math.isqrt(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    return max(LEAST_TILE, min(-(-seen["n"] // across), TILE_BYTES // (8 * max(seen["size"] or 1, 1))))
+
+
+def _copies(l: DataFrame, r: DataFrame, on: list[str], halves: bool, tile_rows: int) -> int:
+    """How many vectors the cells of :func:`split_cells` take, over all groups."""
+    a, b = (t.groupBy(*on).agg(F.count(F.lit(1)).alias(n)) for t, n in ((l, "_a"), (r, "_b")))
+
+    def pieces(n: str) -> Column:
+        return F.least(F.ceil(F.col(n) / tile_rows), F.lit(MOST_PIECES))
+
+    taken = F.col("_a") * (pieces("_a") + 1) if halves else F.col("_a") * pieces("_b") + F.col("_b") * pieces("_a")
+    return a.join(b, on).agg(F.sum(taken)).first()[0] or 0
+
+
 def bounded_product(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray | None:
     """``a @ b`` of unit vectors, or None as soon as a first part shows that no entry reaches ``threshold``."""
     part = max(a.shape[1] // 4, 1)
@@ -193,13 +216,16 @@ def bounded_product(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarra
 
 
 def _matrix_pairs(
-    l: DataFrame, r: DataFrame, on: list[str], vec: str, id_col: str, threshold: float, same: bool, tile_rows: int, best: bool
+    l: DataFrame, r: DataFrame, on: list[str], vec: str, id_col: str, threshold: float, same: bool, tile_rows: int, best: bool,
+    halves: bool = False,
 ) -> DataFrame:
     """The pairs of each group as one matrix product per cell; only close pairs become rows.
 
-    A cell holds about ``tile_rows`` vectors per side, whatever the size of its group.
+    A cell holds about ``tile_rows`` vectors per side, up to a group of ``MOST_PIECES`` tiles. With ``halves`` both sides are one table, and a cell
+    of two tiles has the pairs in either direction, whose lower id is put left.
     """
-    l, r, on = split_cells(l, r, on, id_col, False, tile_rows)
+    l, r, on = split_cells(l, r, on, id_col, halves, tile_rows)
+    turned = halves and "_i" in on
     left_id, right_id = f"{id_col}_l", f"{id_col}_r"
     id_type = l.schema[id_col].dataType
     schema = T.StructType(
@@ -218,9 +244,11 @@ def _matrix_pairs(
         ids_a, ids_b = a[left_id].to_numpy(), b[right_id].to_numpy()
         right_side = np.stack(b[f"{vec}_r"].to_numpy()).astype(np.float64).T
         parts = []
-        for at in range(0, len(a), 512):
-            some = ids_a[at : at + 512]
-            left_side = np.stack(a[f"{vec}_l"].to_numpy()[at : at + 512]).astype(np.float64)
+        across = turned and a["_i_l"].iloc[0] != a["_j_l"].iloc[0]
+        step = max(1, min(512, ENTRIES // len(b)))
+        for at in range(0, len(a), step):
+            some = ids_a[at : at + step]
+            left_side = np.stack(a[f"{vec}_l"].to_numpy()[at : at + step]).astype(np.float64)
             product = bounded_product(left_side, right_side, threshold)
             if product is None:
                 continue
@@ -230,10 +258,11 @@ def _matrix_pairs(
                 y = y[x]
             else:
                 x, y = np.nonzero(product >= threshold)
-            if same:
-                keep = some[x] < ids_b[y]
-                x, y = x[keep], y[keep]
-            parts.append(pd.DataFrame({left_id: some[x], right_id: ids_b[y], "cosine": product[x, y]}))
+            one, other = some[x], ids_b[y]
+            if across:  # equal ids are in one tile
+                one, other = np.where(one < other, one, other), np.where(one < other, other, one)
+            found = pd.DataFrame({left_id: one, right_id: other, "cosine": product[x, y]})
+            parts.append(found[(one < other).astype(bool)] if same else found)
         if not parts:
             return pd.DataFrame({left_id: ids_a[:0], right_id: ids_b[:0], "cosine": np.zeros(0)})
         return pd.concat(parts, ignore_index=True)

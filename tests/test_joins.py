@@ -179,3 +179,25 @@ def test_attach_records_and_union(people):
     got = candidates.attach_records(both, df.select("id", "a"), "id").where(F.col("id_l") == 0).collect()
     by_id = {r[0]: r[1] for r in rows}
     assert all(g["a_r"] == by_id[g["id_r"]] for g in got)
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_vectors_without_structure_are_copied_to_few_cells(spark, keys, monkeypatch):
+    """Each two tiles meet once. Before, all vectors went to most pivots, and from there to all tiles of their groups."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(400, 12))
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(vectors)], "id int, k int, v array<double>")
+    copied, cells = [], fuzzyjoin.split_cells
+
+    def counted(*how):
+        l, r, on = cells(*how)
+        copied.append(l.count() + r.count())
+        return l, r, on
+
+    monkeypatch.setattr(fuzzyjoin, "split_cells", counted)
+    monkeypatch.setattr(fuzzyjoin, "MATRIX_ROWS", 20)
+    got = fuzzyjoin.cosine_join(df, df, "v", "id", 0.5, keys, True, 8, 50).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    x, y = np.nonzero(np.triu(unit @ unit.T, 1) >= 0.5)
+    assert sorted((r["id_l"], r["id_r"]) for r in got) == sorted(zip(x.tolist(), y.tolist(), strict=True))
+    assert sum(copied) <= 400 * 9
