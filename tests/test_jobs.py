@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.privacy import decrypt_columns
 from kinweave.operators import correct, evaluate, geo
+from kinweave.operators.compare import Feature
 from kinweave.plans import jobs
 from kinweave.schema import ENCRYPTED, LinkJob
 from kinweave.session import checkpoint_root
@@ -124,3 +125,27 @@ def test_split_and_matrix_keep_every_row(spark):
     assert split.count() == 40 and split.where("label is null and is_test is null").count() == 10
     matrix = {r["actual"]: r for r in evaluate.confusion_matrix(df).collect()}
     assert sum(r[f"predicted_{k}"] for r in matrix.values() for k in range(3)) == 40
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_classified_pairs_are_not_shuffled(spark, repeated, monkeypatch):
+    """Records bring their fields and true links. Before, all pairs were shuffled to be told apart, filled and labelled."""
+    rows = [(f"r{i:03}", ["ann", "anna", None][i % 3], str(i % 4) if i % 11 else None, f"s{i % 9}") for i in range(90)]
+    rows += rows[:1] if repeated else []
+    df = spark.createDataFrame(rows, "id string, name string, code string, surname string")
+    truth = spark.createDataFrame([("r010", "r006"), ("r001", "r005"), ("r005", "r001"), ("r002", "r003"), ("r000", "r088"), ("r007", "none")], "id_l string, id_r string")
+    staged, whole = {}, jobs.stage
+    monkeypatch.setattr(jobs, "stage", lambda t, label: staged.setdefault(label, t) and whole(t, label))
+    found, _ = jobs.classify_pairs(df, truth, [Feature("name", "exact")], ["code"], "surname", "id", trees=2)
+    near = {f"s{k}": k for k in range(9)}
+    true = {("r006", "r010"), ("r001", "r005"), ("r002", "r003"), ("r000", "r088")}
+    want = set()
+    for a, n, c, s in rows:
+        for b, m, e, t in rows:
+            if a < b and ((c is not None and c == e) or abs(near[s] - near[t]) <= 2):
+                want.add((a, b, int(n is not None and n == m), int((a, b) in true)))
+    got = [(r["id_l"], r["id_r"], r["name"], r["label"]) for r in found.collect()]
+    assert set(got) == want and len(got) >= len(want) and (repeated or len(got) == len(want))
+    plan = staged["labelled"]._jdf.queryExecution().optimizedPlan().toString()
+    assert repeated or (plan.startswith("Union") and "Aggregate" not in plan)
+    assert found.columns == ["id_l", "id_r", "name", "label", "is_test", "predict"]
